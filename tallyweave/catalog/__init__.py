@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("panels",)
+FAMILIES = ("sources", "panels")
 
 
 def load() -> tuple[dict, dict]:
