@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("sources", "panels")
+FAMILIES = ("sources", "panels", "graphs")
 
 
 def load() -> tuple[dict, dict]:

@@ -87,10 +87,10 @@ def _normalized(spark, folder):
 @query(
     "s05_normalize_transfers",
     f"""WITH {SRC} SELECT event_id AS block_number, 'TOK' || CAST(k % 5 + 1 AS VARCHAR) AS asset, CAST(cents AS VARCHAR) AS raw_value,
-  {r('cents / pow(CAST(10 AS DOUBLE), 2 * (k % 5 + 1))', 14)} AS value FROM src""",
+  {r('cents / pow(CAST(10 AS DOUBLE), 2 * (k % 5 + 1))', 11)} AS value FROM src""",
 )
 def normalize_transfers(spark, folder):
-    return rounded(_normalized(spark, folder).select("block_number", "asset", "raw_value", "value"), 14)
+    return rounded(_normalized(spark, folder).select("block_number", "asset", "raw_value", "value"), 11)
 
 
 @query(
