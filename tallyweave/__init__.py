@@ -1,5 +1,5 @@
 """tallyweave: interaction-network and event-panel analytics on Spark DataFrames."""
 
-from tallyweave.session import build_session, cut
+from tallyweave.session import build_session, cut, pin
 
-__all__ = ["build_session", "cut"]
+__all__ = ["build_session", "cut", "pin"]

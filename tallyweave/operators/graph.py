@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators.sizing import small_side
-from tallyweave.session import cut, shuffle_width
+from tallyweave.session import cut, pin, shuffle_width
 
 CELL_ROWS = 2_000_000  # arcs of one source kept in one join cell
 _ALL = "_graph"
@@ -85,7 +85,7 @@ class Arcs:
             salt = F.when(F.col("_fan").isNotNull(), F.pmod(F.xxhash64("dst"), F.col("_fan"))).otherwise(F.lit(0))
             placed = placed.withColumn("_salt", salt.cast("int")).drop("_fan")
             self.keys = [*self.keys, "_salt"]
-        self.table = cut(placed.repartition(width, *self.keys))
+        self.table = pin(placed.repartition(width, *self.keys))
 
     def gather(self, state: DataFrame, sends: list[str], aggregates: list[Column], extra: list[str | Column] = (), lanes: list[str] = ()) -> DataFrame:
         """Send ``sends`` from every node along its arcs and aggregate at the targets.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators.sizing import attach
-from tallyweave.session import cut, shuffle_width
+from tallyweave.session import cut, pin, shuffle_width
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
@@ -22,7 +22,7 @@ def global_ordinal(
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     width = partitions or shuffle_width(df.sparkSession)
-    placed = cut(df.repartitionByRange(width, *order).sortWithinPartitions(*order))
+    placed = pin(df.repartitionByRange(width, *order).sortWithinPartitions(*order))
     placed = placed.withColumn("_mid", F.monotonically_increasing_id())
     placed = placed.withColumn("_part", F.shiftright("_mid", _ROW_BITS))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))

@@ -1,8 +1,9 @@
-"""Session settings and the one way this library cuts lineage."""
+"""Session settings and the two ways this library cuts lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ def build_session(app: str = "tallyweave", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
@@ -38,19 +40,36 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="spark-")
+    if current is None:
+        current = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(current)
+    return current
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage and forget how it was made.
+    """Write ``df`` to the shared folder and read it back, forgetting how it was made.
 
-    Reliable checkpoints survive the loss of an executor. Partitioning is kept, so a table
-    that was hash-partitioned on a join key is not shuffled again by the next join.
+    The written table survives the loss of any executor, and unlike a checkpointed plan it
+    carries its real size, so later joins are planned from facts rather than from estimates
+    that multiply round after round. The tables go when the application ends.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint that keeps the partitioning and row order of ``df``.
+
+    For layouts that later jobs rely on: a table hash-partitioned on a join key is not
+    shuffled again, and sorted ranges keep their order.
+    """
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
