@@ -243,3 +243,108 @@ def katz_concentration(spark, folder):
     return rounded(
         activity.groupBy("chain_id").agg(F.count(F.lit(1)).alias("nodes"), (F.sum(x * x) / (F.sum(x) * F.sum(x))).alias("structural_hhi"))
     )
+
+
+from tallyweave.operators import coreperiphery as CP  # noqa: E402
+from tallyweave.operators.ordering import group_ordinal  # noqa: E402
+
+_TABLES: dict = {}
+
+
+def flat_graph(spark, folder):
+    return cut(G.undirected(G.role_edges(T.actions(spark, folder), []), []))
+
+
+def node_tables(spark, folder):
+    """Node table, fits and binary summary, computed once per application and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TABLES:
+        table, fits, summary = CP.node_table(T.actions(spark, folder))
+        _TABLES[key] = (cut(table), cut(fits), cut(summary))
+    return _TABLES[key]
+
+
+ONE_GRAPH = """e AS (SELECT actor_address AS src, beneficiary_address AS dst, count(*) AS w FROM actions WHERE actor_address <> beneficiary_address GROUP BY ALL),
+flat AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, CAST(sum(w) AS BIGINT) AS w FROM e GROUP BY ALL),
+sym AS (SELECT src, dst, w FROM flat UNION ALL SELECT dst, src, w FROM flat),
+deg AS (SELECT src AS node, count(*) AS degree, CAST(sum(w) AS BIGINT) AS weighted_degree FROM sym GROUP BY ALL)"""
+
+
+@query(
+    "g08_rombach_template",
+    f"""WITH {ACTIONS}, {ONE_GRAPH}, o AS (SELECT node, row_number() OVER (ORDER BY degree, node) AS i, count(*) OVER () AS n FROM deg),
+p AS (SELECT node, i, n, greatest(1, least(n - 1, floor(n * CAST(0.8 AS DOUBLE)))) AS b FROM o),
+t AS (SELECT node, i, CASE WHEN i <= b THEN 0.5 * i / (2 * b) ELSE (i - b) * CAST(0.5 AS DOUBLE) / (2 * (n - b)) + CAST(0.75 AS DOUBLE) END AS v FROM p)
+SELECT node, i AS ordinal, {r('v / sum(v) OVER ()', 12)} AS profile FROM t""",
+)
+def rombach_template(spark, folder):
+    arcs = G.both_ways(flat_graph(spark, folder), [])
+    degree = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    out = CP.template_table(group_ordinal(degree, [], ["degree", "node"]), 0.5, 0.8)
+    return rounded(out.select("node", "ordinal", "profile"), 12)
+
+
+@query("g09_rombach_parameter_fits")
+def rombach_parameter_fits(spark, folder):
+    return rounded(node_tables(spark, folder)[1])
+
+
+@query("g10_rombach_coreness")
+def rombach_coreness(spark, folder):
+    return rounded(node_tables(spark, folder)[0].select("address", "rombach_coreness"))
+
+
+BE_SCORE = """CASE WHEN k <= 0 OR k >= n OR ones >= pairs THEN 0 ELSE ((m - p) / pairs - m / pairs * ones / pairs) / sqrt(m / pairs * (1 - m / pairs) * (ones / pairs) * (1 - ones / pairs)) END"""
+
+
+@query(
+    "g11_core_size_scan",
+    f"""WITH {ACTIONS}, {ONE_GRAPH}, ords AS (SELECT 'unweighted_degree' AS ordering, node, row_number() OVER (ORDER BY degree DESC, node) AS i FROM deg
+  UNION ALL SELECT 'weighted_degree', node, row_number() OVER (ORDER BY weighted_degree DESC, node) FROM deg),
+sz AS (SELECT ordering, i AS k FROM ords), nm AS (SELECT (SELECT count(*) FROM deg) AS n, (SELECT count(*) FROM flat) AS m),
+mr AS (SELECT a.ordering, least(a.i, b.i) AS i FROM flat JOIN ords a ON a.node = flat.src JOIN ords b ON b.node = flat.dst AND a.ordering = b.ordering),
+pe AS (SELECT sz.ordering, sz.k, (SELECT m FROM nm) - count(mr.i) AS p FROM sz LEFT JOIN mr ON mr.ordering = sz.ordering AND mr.i <= sz.k GROUP BY ALL),
+sc AS (SELECT ordering, k, p, CAST(n AS DOUBLE) AS n, CAST(m AS DOUBLE) AS m, n * (n - 1) / CAST(2 AS DOUBLE) AS pairs, n * (n - 1) / CAST(2 AS DOUBLE) - (n - k) * (n - k - 1) / CAST(2 AS DOUBLE) AS ones FROM pe, nm WHERE k >= 2)
+SELECT ordering, k AS core_size, p AS peripheral_edge_count, {r(BE_SCORE)} AS score FROM sc""",
+)
+def core_size_scan(spark, folder):
+    flat = flat_graph(spark, folder)
+    scores = G.both_ways(flat, []).groupBy(F.col("src").alias("node")).agg(
+        F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weighted_degree")
+    )
+    orderings = CP.be_orderings(scores, ("unweighted_degree", "weighted_degree"))
+    scan = CP.scan_core_sizes(flat, orderings, ["ordering"])
+    return rounded(scan.select("ordering", "core_size", "peripheral_edge_count", "score"))
+
+
+@query("g12_g13_binary_core")
+def binary_core(spark, folder):
+    return rounded(node_tables(spark, folder)[2])
+
+
+@query("g15_method_agreement")
+def method_agreement(spark, folder):
+    return rounded(CP.method_agreement(node_tables(spark, folder)[0]))
+
+
+@query("g15_node_table")
+def node_table(spark, folder):
+    return rounded(node_tables(spark, folder)[0])
+
+
+@query("g16_backbone")
+def backbone(spark, folder):
+    display, _ = CP.backbone(flat_graph(spark, folder), node_tables(spark, folder)[0])
+    return rounded(display.select("address", "display_reason", "rombach_percentile"))
+
+
+@query("g16_backbone_edges")
+def backbone_edges(spark, folder):
+    return CP.backbone(flat_graph(spark, folder), node_tables(spark, folder)[0])[1]
+
+
+@query("a27_scale_diagnostics")
+def scale_diagnostics(spark, folder):
+    summary = CP.method_agreement(node_tables(spark, folder)[0])
+    out = G.scale_diagnostics(summary)
+    return rounded(out.select("node_count", "scaled_pagerank_hhi", "effective_pagerank_fraction", "be_containment", "persistent_share"))
