@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("sources", "panels", "graphs")
+FAMILIES = ("sources", "panels", "graphs", "inference", "gates", "entities")
 
 
 def load() -> tuple[dict, dict]:

@@ -74,7 +74,7 @@ def participation_panel(
         "top10pct_share",
         F.col("nakamoto").alias("nakamoto_51"),
     )
-    dense = spine(inside, by, minimum, maximum, week).join(measures, [*by, week], "left").join(flow, [*by, week], "left")
+    dense = spine(weekly, by, minimum, maximum, week).join(measures, [*by, week], "left").join(flow, [*by, week], "left")
     dense = fill_zero(dense, [*by, week])
     order = Window.partitionBy(*by).orderBy(week)
     prior = F.coalesce(F.lag("active_beneficiary_addresses").over(order), F.lit(0))
