@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("sources", "panels", "graphs", "inference", "gates", "entities")
+FAMILIES = ("sources", "panels", "graphs", "inference", "gates", "entities", "studies")
 
 
 def load() -> tuple[dict, dict]:

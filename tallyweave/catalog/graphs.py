@@ -348,3 +348,18 @@ def scale_diagnostics(spark, folder):
     summary = CP.method_agreement(node_tables(spark, folder)[0])
     out = G.scale_diagnostics(summary)
     return rounded(out.select("node_count", "scaled_pagerank_hhi", "effective_pagerank_fraction", "be_containment", "persistent_share"))
+
+
+NODE_SQL = f"""WITH {ACTIONS}, e AS (SELECT 0 AS g, actor_address AS src, beneficiary_address AS dst, count(*) AS w FROM actions WHERE actor_address <> beneficiary_address GROUP BY ALL),
+sym AS MATERIALIZED (SELECT DISTINCT g, src, dst FROM (SELECT g, src, dst FROM e UNION ALL SELECT g, dst, src FROM e)), {cores_sql('g', 14)}, {pagerank_sql('g', 24)},
+st AS (SELECT node, sum(o) AS o, sum(i) AS i FROM (SELECT src AS node, CAST(w AS DOUBLE) AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, w FROM e) GROUP BY ALL)
+SELECT st.node AS address, CASE WHEN st.o > 0 AND st.i > 0 THEN 'actor_and_beneficiary' WHEN st.o > 0 THEN 'actor_only' ELSE 'beneficiary_only' END AS address_role, CAST(st.o AS DOUBLE) AS weighted_out_degree, CAST(st.i AS DOUBLE) AS weighted_in_degree,
+ {r('rank')} AS pagerank, core AS core_number, core = max(core) OVER () AS maximum_k_core_member FROM st JOIN k14 ON k14.node = st.node JOIN pr ON pr.node = st.node"""
+
+
+@query("g15_node_measures", NODE_SQL)
+def node_measures(spark, folder):
+    table = node_tables(spark, folder)[0]
+    return rounded(
+        table.select("address", "address_role", "weighted_out_degree", "weighted_in_degree", "pagerank", "core_number", "maximum_k_core_member")
+    )

@@ -108,6 +108,17 @@ def normal_diagnostics(spark, folder):
     return rounded(I.did_estimates(all_gaps(spark, folder), ["chain", "outcome_id"], specs(spark, WIDE), 3))
 
 
+@query(
+    "i04_normal_intervals",
+    f"""WITH {ORDER_ACTIONS}, {GAPS}, {SPEC_SQL}, {SPECCED}, {hac2_sql('chain, outcome_id, specification', 'dd', 'post', 'gap')}
+SELECT chain, outcome_id, specification, {r('b1 / se1', 6)} AS z, {r('b1 - 1.96 * se1', 8)} AS ci_lower, {r('b1 + 1.96 * se1', 8)} AS ci_upper FROM hac""",
+)
+def normal_intervals(spark, folder):
+    out = I.did_estimates(all_gaps(spark, folder), ["chain", "outcome_id"], specs(spark, WIDE), 3)
+    out = rounded(out.select("chain", "outcome_id", "specification", "z", "ci_lower", "ci_upper"), 8)
+    return out.withColumn("z", F.round("z", 6) + F.lit(0.0))
+
+
 @query(
     "i05_change_table",
     f"""WITH {ORDER_ACTIONS}, {GAPS}, {SPEC_SQL}, dd AS (SELECT chain, outcome_id, specification, event_week >= post_min AS post, v FROM long JOIN specs ON event_week BETWEEN pre_min AND pre_max OR event_week BETWEEN post_min AND post_max)
@@ -169,7 +180,7 @@ def significant_digits(spark, folder):
     return order_panel(spark, folder).select("chain", F.col("event_week").cast("bigint").alias("event_week"), significant("hhi", 6).alias("hhi_6"))
 
 
-@query("i13_ledger_recompute")
+@query("i13_ledger_recompute", "SELECT CAST(0 AS BIGINT) AS differing_rows")
 def ledger_recompute(spark, folder):
     from tallyweave.operators.contracts import frames_equal
     from tallyweave.session import cut

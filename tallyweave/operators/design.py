@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators.contracts import ContractError
 from tallyweave.operators.sizing import small_side, with_scalar
+from tallyweave.session import cut
 
 
 def _reasons(cases: dict[str, Column]) -> Column:
@@ -149,7 +150,7 @@ def acquisition_plan(support: DataFrame, treatments: DataFrame, markets: DataFra
     ``markets`` (treated, by chain_id) and ``donors`` (by market_id) carry ``chain, chain_id,
     pool_address``. A missing treated market, an unknown donor or too few donors is refused.
     """
-    live = support.where("support_gate")
+    live = cut(support.where("support_gate"))
     span = F.make_interval(days=F.col("window_weeks") * 7)
     analyses = live.select(
         F.concat_ws("__", F.col("cohort_id").cast("string"), "clock").alias("analysis_id"),
@@ -175,6 +176,7 @@ def acquisition_plan(support: DataFrame, treatments: DataFrame, markets: DataFra
     jobs = treated.unionByName(donor_jobs).withColumn(
         "primary_sample", F.col("clock") == "formal_commitment"
     ).withColumn("event_families", F.lit("Supply;Withdraw;Borrow;Repay;LiquidationCall"))
+    jobs = cut(jobs)
     if strict:
         missing = jobs.where(F.col("pool_address").isNull()).limit(1).collect()
         if missing:

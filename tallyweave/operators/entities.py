@@ -9,6 +9,7 @@ from tallyweave.functions.columns import blank_to_null, is_hex, ratio, role_text
 from tallyweave.operators.concentration import unit_weights
 from tallyweave.operators.contracts import ContractError, duplicate_keys
 from tallyweave.operators.sizing import attach, with_scalar
+from tallyweave.session import cut
 
 ROLES = {"actor": "actor_address", "beneficiary": "beneficiary_address", "counterparty": "counterparty_address"}
 
@@ -129,6 +130,7 @@ def versioned_registry(universe: DataFrame, facts: DataFrame, labels: DataFrame,
 
     A labelled address without code evidence fails the job; so does a repeated key.
     """
+    universe, facts, labels = cut(universe), cut(facts), cut(labels)  # read by the checks and the join
     for name, side in (("universe", universe), ("code facts", facts), ("labels", labels)):
         if duplicate_keys(side, ["address"]).limit(1).count():
             raise ContractError(f"{name} has repeated addresses")
@@ -178,13 +180,20 @@ def _grouped_hhi(units: DataFrame, by: list[str], key: Column, name: str) -> Dat
     return out
 
 
-def measurement_panel(incidences: DataFrame, registry: DataFrame, by: list[str]) -> DataFrame:
-    """Entity-sensitivity measures per group.
+def registry_units(incidences: DataFrame, registry: DataFrame, by: list[str]) -> DataFrame:
+    """Incidence counts per group and address with the registry fields they need.
 
-    Incidences are first counted per address; the registry is joined to those counts, and
-    every measure is a sum over them, so the registry join never sees single events.
+    Incidences are counted first and the registry is joined to the counts, so the join never
+    sees single events.
     """
-    units = attach_registry(unit_weights(incidences, by, "address"), registry, "address", REGISTRY_FIELDS)
+    side = cut(registry.select("address", *REGISTRY_FIELDS))
+    return attach_registry(unit_weights(incidences, by, "address"), side, "address", REGISTRY_FIELDS)
+
+
+def measurement_panel(units: DataFrame, by: list[str]) -> DataFrame:
+    """Entity-sensitivity measures per group from :func:`registry_units` of the same or a
+    finer grouping; every measure is a sum over addresses."""
+    units = units.groupBy(*by, "address", *REGISTRY_FIELDS).agg(F.sum("weight").alias("weight"))
     w = F.col("weight").cast("double")
     accepted = F.col("high_confidence_entity_label")
 
@@ -233,8 +242,9 @@ def measurement_panels(incidences: DataFrame, registry: DataFrame, minimum: int,
 
     weeks = spine(incidences, [], minimum, maximum, week)
     cells = weeks.withColumn("action", F.explode(F.array(*[F.lit(a) for a in actions])))
-    by_action = cells.join(measurement_panel(incidences, registry, [week, "action"]), [week, "action"], "left")
-    weekly = weeks.join(measurement_panel(incidences, registry, [week]), week, "left")
+    units = cut(registry_units(incidences, registry, [week, "action"]))
+    by_action = cells.join(measurement_panel(units, [week, "action"]), [week, "action"], "left")
+    weekly = weeks.join(measurement_panel(units, [week]), week, "left")
     return fill_zero(by_action, [week, "action"]), fill_zero(weekly, [week])
 
 

@@ -144,7 +144,7 @@ def in_log_order(logs: DataFrame) -> DataFrame:
 
 
 def _topic_word(i: int) -> Column:
-    return F.substring(F.element_at("topics", i + 2), 3, 64)
+    return F.substring(F.try_element_at("topics", F.lit(i + 2)), 3, 64)
 
 
 def _data_word(i: int) -> Column:
@@ -204,7 +204,7 @@ def decode_logs(
     carries ``failed_rules`` and :func:`tallyweave.operators.contracts.split_valid` parts them.
     """
     base = canonicalize_logs(logs)
-    base = base.withColumn("topic0", F.when(F.size("topics") > 0, F.element_at("topics", 1)))
+    base = base.withColumn("topic0", F.when(F.size("topics") > 0, F.try_element_at("topics", F.lit(1))))
     tagged = reject_rows(base, log_rules(specs))
     good = F.size("failed_rules") == 0
     action, signature = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -252,12 +252,12 @@ def decode_logs(
 def decode_beneficiaries(logs: DataFrame, specs: tuple[EventSpec, ...] = EVENT_SPECS) -> DataFrame:
     """Event family and beneficiary only, read from one indexed topic; zero address rejected."""
     base = canonicalize_logs(logs)
-    base = base.withColumn("topic0", F.when(F.size("topics") > 0, F.element_at("topics", 1)))
+    base = base.withColumn("topic0", F.when(F.size("topics") > 0, F.try_element_at("topics", F.lit(1))))
     family, topic = F.lit(None).cast("string"), F.lit(None).cast("string")
     for spec in specs:
         enough = _is(spec) & (F.size("topics") > spec.beneficiary_topic)
         family = F.when(_is(spec), F.lit(spec.family)).otherwise(family)
-        topic = F.when(enough, F.element_at("topics", spec.beneficiary_topic + 1)).otherwise(topic)
+        topic = F.when(enough, F.try_element_at("topics", F.lit(spec.beneficiary_topic + 1))).otherwise(topic)
     base = base.withColumns({"event_family": family, "_topic": topic})
     address = F.concat(F.lit("0x"), F.substring("_topic", 27, 40))
     rules = {
@@ -283,7 +283,7 @@ def batch_rules(contract: str, topics: list[str], first_block: int, last_block:
     return {
         "block_in_range": F.col("block_number").between(first_block, last_block),
         "expected_contract": F.col("address") == contract.lower(),
-        "allowed_topic": F.element_at("topics", 1).isin(*[t.lower() for t in topics]),
+        "allowed_topic": F.try_element_at("topics", F.lit(1)).isin(*[t.lower() for t in topics]),
         "not_removed": ~removed,
     }
 
@@ -294,7 +294,7 @@ def decode_messages(logs: DataFrame, chain_id: int, topic_index: int) -> DataFra
         raise ValueError("the message id must be an indexed topic")
     base = canonicalize_logs(logs)
     present = F.size("topics") > topic_index
-    base = base.withColumn("message_id", F.when(present, F.element_at("topics", topic_index + 1)))
+    base = base.withColumn("message_id", F.when(present, F.try_element_at("topics", F.lit(topic_index + 1))))
     rules = {
         "message_topic_present": present,
         "message_id_shape": is_hex("message_id", 32),
