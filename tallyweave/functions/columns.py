@@ -127,3 +127,18 @@ def significant_text(c: Column | str, digits: int = 15) -> Column:
 def role_text(c: Column) -> Column:
     """Sorted set of strings joined by a bar, the stored form of role and action sets."""
     return F.array_join(F.array_sort(F.collect_set(c)), "|")
+
+
+def flags(cases: dict[str, Column]) -> Column:
+    """Names of the conditions that hold, as an array.
+
+    Built from conditional one-element arrays, which generated code evaluates; a filter over
+    an array of nullable names would be interpreted row by row.
+    """
+    none = F.array().cast("array<string>")
+    return F.concat(none, *[F.when(condition, F.array(F.lit(name))).otherwise(none) for name, condition in cases.items()])
+
+
+def distinct_present(cells: list[Column]) -> Column:
+    """Distinct non-null members of a row's cells."""
+    return F.array_except(F.array(*cells), F.array(F.nullif(cells[0], cells[0])))

@@ -6,6 +6,8 @@ sums combine map-side like any other sum, and the carry is resolved once per out
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +82,16 @@ def parts_double(prefix: str) -> Column:
 def hex_word_to_decimal(word: Column | str) -> Column:
     """A 64-digit hexadecimal word as decimal text.
 
-    The word is eight 32-bit pieces; each piece times its power of two is linear in decimal
-    limbs, so the conversion is a small constant matrix followed by one carry pass.
+    Words below 2**60 and 2**124 are converted with bigint and decimal arithmetic inside the
+    generated code. A larger word is eight 32-bit pieces; each piece times its power of two is
+    linear in decimal limbs, so it takes a small constant matrix and one carry pass.
     """
     word = F.col(word) if isinstance(word, str) else word
+    low, high = F.substring(word, 49, 16), F.substring(word, 33, 16)
+    small = F.substring(word, 1, 49) == "0" * 49
+    medium = F.substring(word, 1, 33) == "0" * 33
+    shifted = F.conv(high, 16, 10).cast("decimal(17,0)") * F.lit(Decimal(2**64)).cast("decimal(20,0)")
+    wide = shifted.cast("decimal(38,0)") + F.conv(low, 16, 10).cast("decimal(20,0)")
     pieces = [F.conv(F.substring(word, 57 - 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
     limbs = []
     for j in range(LIMBS):
@@ -93,10 +101,6 @@ def hex_word_to_decimal(word: Column | str) -> Column:
             if factor:
                 terms = terms + piece * F.lit(factor).cast("bigint")
         limbs.append(terms)
-    return _resolve(limbs)
-
+    exact = F.when(medium, wide.cast("decimal(38,0)").cast("string")).otherwise(_resolve(limbs))
+    return F.when(small, F.conv(low, 16, 10)).otherwise(exact)
 
-def decimal_to_hex_word(text: Column | str) -> Column:
-    """Decimal text below 2**63 as a 64-digit hexadecimal word (log encoding)."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.lpad(F.lower(F.hex(text.cast("bigint"))), 64, "0")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.functions.columns import blank_to_null, distinct_present
 from tallyweave.operators.ordering import running_before
 from tallyweave.operators.sizing import attach
 
@@ -168,8 +169,7 @@ def gini(df: DataFrame, by: list[str], unit: str, weight: str | None = None, rea
 
 def incidences(df: DataFrame, roles: list[str], address: str = "address") -> DataFrame:
     """One row per event and distinct participating address."""
-    cells = F.array(*[F.when(F.trim(F.col(r).cast("string")) != "", F.col(r)) for r in roles])
-    return df.withColumn(address, F.explode(F.array_distinct(F.array_compact(cells))))
+    return df.withColumn(address, F.explode(distinct_present([blank_to_null(r) for r in roles])))
 
 
 def hhi_sensitivity(df: DataFrame, by: list[str], activity: str, marginal: str) -> DataFrame:

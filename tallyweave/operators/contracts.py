@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.columns import present, strict_bool
+from tallyweave.functions.columns import flags, present, strict_bool
 from tallyweave.operators.sizing import with_scalar
 
 
@@ -107,8 +107,7 @@ def enforce(df: DataFrame, contract: Contract, label: str = "table") -> DataFram
 
 def reject_rows(df: DataFrame, rules: dict[str, Column], name: str = "failed_rules") -> DataFrame:
     """Tag every row with the names of the rules it breaks (an empty array when none)."""
-    flags = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(label)) for label, rule in rules.items()]
-    return df.withColumn(name, F.array_compact(F.array(*flags)))
+    return df.withColumn(name, flags({label: ~F.coalesce(rule, F.lit(False)) for label, rule in rules.items()}))
 
 
 def split_valid(tagged: DataFrame, name: str = "failed_rules") -> tuple[DataFrame, DataFrame]:
@@ -122,10 +121,10 @@ def reconcile(left: DataFrame, right: DataFrame, on: list[str], pairs: dict[str,
     """
     other = right.select(*on, F.lit(True).alias("_found"), *[F.col(b).alias(f"_r_{n}") for n, (_, b) in pairs.items()])
     joined = left.join(other, on, "left")
-    issues = [F.when(F.col("_found").isNull(), F.lit("missing"))]
+    issues = {"missing": F.col("_found").isNull()}
     for name, (a, _) in pairs.items():
-        issues.append(F.when(F.col("_found").isNotNull() & ~F.col(a).eqNullSafe(F.col(f"_r_{name}")), F.lit(name)))
-    joined = joined.withColumn("mismatches", F.array_compact(F.array(*issues)))
+        issues[name] = F.col("_found").isNotNull() & ~F.col(a).eqNullSafe(F.col(f"_r_{name}"))
+    joined = joined.withColumn("mismatches", flags(issues))
     return joined.where(F.size("mismatches") > 0).drop("_found", *[f"_r_{n}" for n in pairs])
 
 
@@ -142,10 +141,7 @@ def frames_equal(left: DataFrame, right: DataFrame, keys: list[str], rtol: float
     a = left.select(*keys, F.lit(True).alias("_in_left"), *[F.col(c).alias(f"_a_{c}") for c in values])
     b = right.select(*keys, F.lit(True).alias("_in_right"), *[F.col(c).alias(f"_b_{c}") for c in values])
     joined = a.join(b, keys, "full_outer")
-    issues = [
-        F.when(F.col("_in_left").isNull(), F.lit("only_right")),
-        F.when(F.col("_in_right").isNull(), F.lit("only_left")),
-    ]
+    issues = {"only_right": F.col("_in_left").isNull(), "only_left": F.col("_in_right").isNull()}
     matched = F.col("_in_left").isNotNull() & F.col("_in_right").isNotNull()
     for c in values:
         x, y = F.col(f"_a_{c}"), F.col(f"_b_{c}")
@@ -153,8 +149,8 @@ def frames_equal(left: DataFrame, right: DataFrame, keys: list[str], rtol: float
         if kinds[c] in ("double", "float"):
             near = F.abs(x - y) <= F.lit(atol) + F.lit(rtol) * F.abs(y)
             same = same | F.coalesce(near, F.lit(False))
-        issues.append(F.when(matched & ~same, F.lit(c)))
-    joined = joined.withColumn("differences", F.array_compact(F.array(*issues)))
+        issues[c] = matched & ~same
+    joined = joined.withColumn("differences", flags(issues))
     return joined.where(F.size("differences") > 0).select(*keys, "differences")
 
 
@@ -176,16 +172,14 @@ def package_audit(manifest: DataFrame, tables: dict[str, DataFrame]) -> DataFram
         )
         observed = row if observed is None else observed.unionByName(row)
     joined = manifest.join(observed, "name", "full_outer")
-    issues = [
-        F.when(F.col("rows").isNull(), F.lit("not_in_manifest")),
-        F.when(F.col("observed_rows").isNull(), F.lit("table_missing")),
-        F.when(F.col("rows") != F.col("observed_rows"), F.lit("row_count")),
-        F.when(F.col("fields") != F.col("observed_fields"), F.lit("fields")),
-        F.when(~F.col("evidence_status").eqNullSafe(F.col("expected_status")) & F.col("rows").isNotNull(), F.lit("evidence_status")),
-    ]
-    return joined.select(
-        "name", "rows", "observed_rows", F.array_join(F.array_compact(F.array(*issues)), ";").alias("issues")
-    )
+    issues = {
+        "not_in_manifest": F.col("rows").isNull(),
+        "table_missing": F.col("observed_rows").isNull(),
+        "row_count": F.col("rows") != F.col("observed_rows"),
+        "fields": F.col("fields") != F.col("observed_fields"),
+        "evidence_status": ~F.col("evidence_status").eqNullSafe(F.col("expected_status")) & F.col("rows").isNotNull(),
+    }
+    return joined.select("name", "rows", "observed_rows", F.array_join(flags(issues), ";").alias("issues"))
 
 
 def evidence_guard(df: DataFrame, column: str, expected: str) -> DataFrame:
@@ -219,12 +213,11 @@ def crosswalk(index: DataFrame, mapping: DataFrame, key: str, fields: list[str])
     a = index.select(key, F.lit(True).alias("_a"), *[F.col(f).alias(f"_a_{f}") for f in fields])
     b = mapping.select(key, F.lit(True).alias("_b"), *[F.col(f).alias(f"_b_{f}") for f in fields])
     joined = a.join(b, key, "full_outer")
-    issues = [F.when(F.col("_a").isNull(), F.lit("orphan_in_crosswalk")), F.when(F.col("_b").isNull(), F.lit("orphan_in_index"))]
+    issues = {"orphan_in_crosswalk": F.col("_a").isNull(), "orphan_in_index": F.col("_b").isNull()}
     for f in fields:
         x, y = F.split(F.col(f"_a_{f}").cast("string"), ";"), F.split(F.col(f"_b_{f}").cast("string"), ";")
-        differs = F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~x.eqNullSafe(y)
-        issues.append(F.when(differs, F.lit(f)))
-    return joined.select(key, F.array_join(F.array_compact(F.array(*issues)), ";").alias("issues"))
+        issues[f] = F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~x.eqNullSafe(y)
+    return joined.select(key, F.array_join(flags(issues), ";").alias("issues"))
 
 
 def coverage_gate(
@@ -316,10 +309,10 @@ def accepted_constraints(gated: DataFrame) -> DataFrame:
     return gated.withColumn("constraint_id", checked).drop("failed_rules")
 
 
-def load_registry(df: DataFrame, flags: tuple[str, ...] = ("contract_observed", "high_confidence_entity_label", "economic_actor_resolved")) -> DataFrame:
+def load_registry(df: DataFrame, booleans: tuple[str, ...] = ("contract_observed", "high_confidence_entity_label", "economic_actor_resolved")) -> DataFrame:
     """Registry with strict booleans and the derived infrastructure flag; keys must be unique."""
-    typed = df.withColumns({c: strict_bool(c) for c in flags})
-    enforce(typed, Contract(columns=("address", "entity_scope", *flags), keys=(("address",),)), "registry")
+    typed = df.withColumns({c: strict_bool(c) for c in booleans})
+    enforce(typed, Contract(columns=("address", "entity_scope", *booleans), keys=(("address",),)), "registry")
     infrastructure = F.col("high_confidence_entity_label") & F.coalesce(F.col("entity_scope").isin(*INFRASTRUCTURE_SCOPES), F.lit(False))
     return typed.withColumn("curated_infrastructure", infrastructure)
 

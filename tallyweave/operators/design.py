@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.functions.columns import flags
 from tallyweave.operators.contracts import ContractError
 from tallyweave.operators.sizing import small_side, with_scalar
 from tallyweave.session import cut
 
 
 def _reasons(cases: dict[str, Column]) -> Column:
-    return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in cases.items()])), ";")
+    return F.array_join(flags(cases), ";")
 
 
 def donor_support(weeks: DataFrame, cohorts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.columns import blank_to_null, is_hex, ratio, role_text
+from tallyweave.functions.columns import blank_to_null, distinct_present, flags, is_hex, ratio, role_text
 from tallyweave.operators.concentration import unit_weights
 from tallyweave.operators.contracts import ContractError, duplicate_keys
 from tallyweave.operators.sizing import attach, with_scalar
@@ -21,16 +21,11 @@ def event_incidences(events: DataFrame, roles: dict[str, str] = ROLES) -> DataFr
     shuffled; the event key must be unique (see the action contract).
     """
     cells = [blank_to_null(F.col(c)) for c in roles.values()]
-    people = F.array_distinct(F.array_compact(F.array(*cells)))
+    people = distinct_present(cells)
 
-    def held(address: Column) -> Column:
-        names = [F.when(cell == address, F.lit(name)) for name, cell in sorted(zip(roles, cells), key=lambda p: p[0])]
-        return F.struct(address.alias("address"), F.array_compact(F.array(*names)).alias("roles"))
-
-    exploded = events.withColumn("_p", F.explode(F.transform(people, held)))
-    return exploded.withColumns(
-        {"address": F.col("_p.address"), "roles_in_event": F.array_join("_p.roles", "|"), "_roles": F.col("_p.roles")}
-    ).drop("_p")
+    exploded = events.withColumn("address", F.explode(people))
+    exploded = exploded.withColumn("_roles", flags({name: cell == F.col("address") for name, cell in sorted(zip(roles, cells), key=lambda pair: pair[0])}))
+    return exploded.withColumn("roles_in_event", F.array_join("_roles", "|"))
 
 
 def address_universe(events: DataFrame, by: list[str] = ["chain_id"], roles: dict[str, str] = ROLES) -> tuple[DataFrame, DataFrame]:
