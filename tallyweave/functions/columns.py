@@ -58,11 +58,10 @@ def is_hex(c: Column | str, n_bytes: int | None = None) -> Column:
 def hex_to_long(c: Column | str) -> Column:
     """``0x``-prefixed quantity to bigint; null when it is malformed or beyond 63 bits."""
     text = F.lower(F.trim(col(c)))
-    digits = F.regexp_extract(text, "^0x0*([0-9a-f]{0,16})$", 1)
-    valid = text.rlike("^0x[0-9a-f]+$") & text.rlike("^0x0*[0-9a-f]{0,15}$")
-    valid = valid | text.rlike("^0x0*[0-7][0-9a-f]{15}$")
+    digits = F.ltrim(F.substring(text, 3, 80), F.lit("0"))
+    fits = (F.length(digits) <= 15) | ((F.length(digits) == 16) & (F.substring(digits, 1, 1) < "8"))
     padded = F.when(digits == "", F.lit("0")).otherwise(digits)
-    return F.when(valid, F.conv(padded, 16, 10).cast("bigint"))
+    return F.when(fits & text.rlike("^0x[0-9a-f]+$"), F.conv(padded, 16, 10).cast("bigint"))
 
 
 def exact_integer(c: Column | str, kind: str) -> Column:

@@ -8,14 +8,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.erfc(v) if v == v else float("nan"))
 
 
-@F.pandas_udf("struct<beta:array<double>,inverse:array<double>>")
+SOLUTION = T.StructType(
+    [T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))]
+)
+
+
+@F.pandas_udf(SOLUTION)
 def solve_normal(xtx: pd.Series, xty: pd.Series) -> pd.DataFrame:
     """Pseudo-inverse solution of each group's k-by-k normal equations."""
     right = np.stack(xty.to_numpy())

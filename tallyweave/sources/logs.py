@@ -106,13 +106,14 @@ ACTION_FIELDS = {
     "receive_a_token": "bool",
 }
 
-_WORD_SHAPE = {
-    "address": "^0{24}[0-9a-f]{40}$",
-    "uint256": "^[0-9a-f]{64}$",
-    "uint16": "^0{60}[0-9a-f]{4}$",
-    "uint8": "^0{62}[0-9a-f]{2}$",
-    "bool": "^0{63}[01]$",
-}
+_ZERO_DIGITS = {"address": 24, "uint256": 0, "uint16": 60, "uint8": 62, "bool": 63}  # leading zeros of a word
+
+
+def _in_domain(word: Column, kind: str) -> Column:
+    """Range check of a hexadecimal word by its leading zeros."""
+    zeros = _ZERO_DIGITS[kind]
+    fits = word.startswith("0" * zeros) if zeros else F.lit(True)
+    return fits & F.substring(word, 64, 1).isin("0", "1") if kind == "bool" else fits
 
 
 def read_raw_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -151,8 +152,17 @@ def _data_word(i: int) -> Column:
     return F.substring("data", 3 + 64 * i, 64)
 
 
-def _is(spec: EventSpec) -> Column:
-    return F.col("topic0") == F.lit(spec.topic0)
+def _with_spec(logs: DataFrame, specs: tuple[EventSpec, ...]) -> DataFrame:
+    """Add ``topic0`` and the index of its spec, so later branches compare a small integer."""
+    base = logs.withColumn("topic0", F.try_element_at("topics", F.lit(1)))
+    index = F.lit(-1)
+    for i, spec in enumerate(specs):
+        index = F.when(F.col("topic0") == spec.topic0, F.lit(i)).otherwise(index)
+    return base.withColumn("_spec", index)
+
+
+def _is(spec: EventSpec, specs: tuple[EventSpec, ...]) -> Column:
+    return F.col("_spec") == specs.index(spec)
 
 
 def _decode(word: Column, kind: str) -> Column:
@@ -170,17 +180,18 @@ def log_rules(specs: tuple[EventSpec, ...] = EVENT_SPECS) -> dict[str, Column]:
     n_topics, known = F.size("topics"), F.lit(False)
     arity, words, domain = F.lit(False), F.lit(False), F.lit(False)
     for spec in specs:
-        mine = _is(spec)
+        mine = _is(spec, specs)
         known = known | mine
         arity = arity | (mine & (n_topics == len(spec.indexed) + 1))
         words = words | (mine & (F.length("data") == 2 + 64 * len(spec.data)))
         valid = mine
         for i, (_, kind) in enumerate(spec.indexed):
-            valid = valid & _topic_word(i).rlike(_WORD_SHAPE[kind])
+            valid = valid & _in_domain(_topic_word(i), kind)
         for i, (_, kind) in enumerate(spec.data):
-            valid = valid & _data_word(i).rlike(_WORD_SHAPE[kind])
-        domain = domain | valid
-    shape = F.forall("topics", lambda t: t.rlike("^0x[0-9a-f]{64}$"))
+            valid = valid & _in_domain(_data_word(i), kind)
+        domain = domain | (valid & (F.length("data") >= 2 + 64 * len(spec.data)))
+    shape = F.array_join("topics", "").rlike("^(0x[0-9a-f]{64})*$")
+    hexadecimal = F.col("data").rlike("^0x[0-9a-f]*$")
     return {
         "has_topics": n_topics > 0,
         "known_topic": known,
@@ -189,7 +200,7 @@ def log_rules(specs: tuple[EventSpec, ...] = EVENT_SPECS) -> dict[str, Column]:
         "data_prefix": F.col("data").startswith("0x"),
         "data_aligned": (F.length("data") - 2) % 64 == 0,
         "data_word_count": words,
-        "word_domain": domain,
+        "word_domain": domain & hexadecimal,
         "position_numeric": F.col("block_number").isNotNull() & F.col("log_index").isNotNull() & F.col("tx_index").isNotNull(),
     }
 
@@ -203,28 +214,27 @@ def decode_logs(
     Python. With ``strict`` the job fails at the first undecodable log; otherwise each row
     carries ``failed_rules`` and :func:`tallyweave.operators.contracts.split_valid` parts them.
     """
-    base = canonicalize_logs(logs)
-    base = base.withColumn("topic0", F.when(F.size("topics") > 0, F.try_element_at("topics", F.lit(1))))
+    base = _with_spec(canonicalize_logs(logs), specs)
     tagged = reject_rows(base, log_rules(specs))
     good = F.size("failed_rules") == 0
     action, signature = F.lit(None).cast("string"), F.lit(None).cast("string")
     for spec in specs:
-        action = F.when(_is(spec), F.lit(spec.action)).otherwise(action)
-        signature = F.when(_is(spec), F.lit(spec.signature)).otherwise(signature)
+        action = F.when(_is(spec, specs), F.lit(spec.action)).otherwise(action)
+        signature = F.when(_is(spec, specs), F.lit(spec.signature)).otherwise(signature)
     columns = {}
     for name, kind in ACTION_FIELDS.items():
         word = F.lit(None).cast("string")
         for spec in specs:
             for i, (target, _) in enumerate(spec.indexed):
                 if target == name:
-                    word = F.when(_is(spec), _topic_word(i)).otherwise(word)
+                    word = F.when(_is(spec, specs), _topic_word(i)).otherwise(word)
             for i, (target, _) in enumerate(spec.data):
                 if target == name:
-                    word = F.when(_is(spec), _data_word(i)).otherwise(word)
+                    word = F.when(_is(spec, specs), _data_word(i)).otherwise(word)
         if name == "actor_address":  # a withdrawal names one user for both roles
             for spec in specs:
                 if not any(target == name for target, _ in (*spec.indexed, *spec.data)):
-                    word = F.when(_is(spec), _topic_word(1)).otherwise(word)
+                    word = F.when(_is(spec, specs), _topic_word(1)).otherwise(word)
         columns[f"_w_{name}"] = F.when(good, word)
     picked = tagged.withColumns(columns)
     chain = chain_id if isinstance(chain_id, Column) else F.lit(chain_id).cast("bigint")
@@ -251,12 +261,11 @@ def decode_logs(
 
 def decode_beneficiaries(logs: DataFrame, specs: tuple[EventSpec, ...] = EVENT_SPECS) -> DataFrame:
     """Event family and beneficiary only, read from one indexed topic; zero address rejected."""
-    base = canonicalize_logs(logs)
-    base = base.withColumn("topic0", F.when(F.size("topics") > 0, F.try_element_at("topics", F.lit(1))))
+    base = _with_spec(canonicalize_logs(logs), specs)
     family, topic = F.lit(None).cast("string"), F.lit(None).cast("string")
     for spec in specs:
-        enough = _is(spec) & (F.size("topics") > spec.beneficiary_topic)
-        family = F.when(_is(spec), F.lit(spec.family)).otherwise(family)
+        enough = _is(spec, specs) & (F.size("topics") > spec.beneficiary_topic)
+        family = F.when(_is(spec, specs), F.lit(spec.family)).otherwise(family)
         topic = F.when(enough, F.try_element_at("topics", F.lit(spec.beneficiary_topic + 1))).otherwise(topic)
     base = base.withColumns({"event_family": family, "_topic": topic})
     address = F.concat(F.lit("0x"), F.substring("_topic", 27, 40))

@@ -11,7 +11,7 @@ def spark():
     from tallyweave.session import build_session
 
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__ui__showConsoleProgress="false"
+        "tests", "local[8]", spark__sql__shuffle__partitions="2", spark__driver__memory="4g", spark__ui__showConsoleProgress="false"
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

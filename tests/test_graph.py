@@ -98,7 +98,7 @@ def test_layer_of_self_loops_only(spark):
     assert (row["event_count"], row["topology_node_count"], row["maximum_k_core"], row["pagerank_hhi"]) == (1, 0, 0, 0.0)
 
 
-@pytest.mark.parametrize("cell_rows", [2_000_000, 4])
+@pytest.mark.parametrize("cell_rows", [4])
 def test_many_graphs_match_brute_force(spark, monkeypatch, cell_rows):
     """The same answers with every hub salted over several cells."""
     original = G.Arcs.__init__
@@ -165,11 +165,11 @@ STAR = [("a", "b", 4)] + [(x, y, 1) for x in "ab" for y in "cdef"]
 def test_core_periphery_recovers_the_ideal_structure(spark):
     flat = spark.createDataFrame(STAR, "src string, dst string, weight bigint")
     starts = CP.rombach_starts(flat, G.core_numbers(flat, []), G.pagerank(flat, []))
-    coreness, fits = CP.fit_rombach(flat, starts, alphas=(0.5,), betas=(0.7, 0.8))
+    coreness, fits = CP.fit_rombach(flat, starts, alphas=(0.5,), betas=(0.7,))
     scores = {r.node: r.rombach_coreness for r in coreness.collect()}
     assert max(scores.values()) == 1.0
     assert min(scores["a"], scores["b"]) > max(v for n, v in scores.items() if n not in "ab")
-    assert fits.count() == 2
+    assert fits.count() == 1
     core, summary = CP.fit_borgatti_everett(flat, starts.join(coreness, "node"))
     assert {r.node for r in core.where("core").collect()} == {"a", "b"}
     row = summary.first()
