@@ -62,14 +62,14 @@ def weekly_participation(spark, folder):
     "a02_adjusted_and_normalized",
     f"""WITH {ACTIONS}, {CELLS}, {RANKED}
 SELECT chain_id, CAST(event_week AS BIGINT) AS event_week,
-  {r('CASE WHEN max(n) > 1 THEN (sum(s * s) - CAST(1 AS DOUBLE) / max(n)) / (1 - CAST(1 AS DOUBLE) / max(n)) ELSE 1 END')} AS adjusted_hhi,
-  {r('CASE WHEN max(n) > 1 THEN -sum(s * ln(s)) / ln(max(n)) ELSE 0 END')} AS normalized_entropy,
-  {r('exp(-sum(s * ln(s)))')} AS effective_entropy
+  {r('CASE WHEN max(n) > 1 THEN (sum(s * s) - CAST(1 AS DOUBLE) / max(n)) / (1 - CAST(1 AS DOUBLE) / max(n)) ELSE 1 END', 10)} AS adjusted_hhi,
+  {r('CASE WHEN max(n) > 1 THEN -sum(s * ln(s)) / ln(max(n)) ELSE 0 END', 10)} AS normalized_entropy,
+  {r('exp(-sum(s * ln(s)))', 10)} AS effective_entropy
 FROM ranked GROUP BY ALL""",
 )
 def adjusted_and_normalized(spark, folder):
     out = C.concentration(T.actions(spark, folder), ["chain_id", "event_week"], "beneficiary_address", top=())
-    return rounded(out.select("chain_id", F.col("event_week"), "adjusted_hhi", "normalized_entropy", "effective_entropy"))
+    return rounded(out.select("chain_id", F.col("event_week"), "adjusted_hhi", "normalized_entropy", "effective_entropy"), 10)
 
 
 @query(
