@@ -13,6 +13,7 @@ from tallyweave.operators.sizing import small_side
 from tallyweave.session import cut, pin, shuffle_width
 
 CELL_ROWS = 2_000_000  # arcs of one source kept in one join cell
+TASK_ARCS = 50_000  # below shuffle-width times this, a graph uses fewer tasks
 _ALL = "_graph"
 
 
@@ -74,13 +75,15 @@ class Arcs:
 
     def __init__(self, arcs: DataFrame, by: list[str], cell_rows: int = CELL_ROWS):
         self.by = by
-        width = shuffle_width(arcs.sparkSession)
         degree = arcs.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("_degree"))
-        hot = cut(degree.where(F.col("_degree") > cell_rows).select(*by, "src", F.ceil(F.col("_degree") / cell_rows).cast("int").alias("_fan")))
-        self.hot = small_side(hot) if hot.limit(1).count() else None
+        total, top = degree.agg(F.sum("_degree"), F.max("_degree")).first()
+        width = max(1, min(shuffle_width(arcs.sparkSession), -(-(total or 0) // TASK_ARCS)))
+        self.hot = None
         self.keys = [*by, "src"]
         placed = arcs
-        if self.hot is not None:
+        if (top or 0) > cell_rows:
+            fan = F.ceil(F.col("_degree") / cell_rows).cast("int").alias("_fan")
+            self.hot = small_side(cut(degree.where(F.col("_degree") > cell_rows).select(*by, "src", fan)))
             placed = arcs.join(self.hot, self.keys, "left")
             salt = F.when(F.col("_fan").isNotNull(), F.pmod(F.xxhash64("dst"), F.col("_fan"))).otherwise(F.lit(0))
             placed = placed.withColumn("_salt", salt.cast("int")).drop("_fan")

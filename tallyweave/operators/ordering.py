@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators.sizing import attach
-from tallyweave.session import cut, pin, shuffle_width
+from tallyweave.session import cut, pin
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
@@ -21,8 +21,8 @@ def global_ordinal(
     partition count. ``order`` must end in a unique column so that ranges stay balanced.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    width = partitions or shuffle_width(df.sparkSession)
-    placed = pin(df.repartitionByRange(width, *order).sortWithinPartitions(*order))
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    placed = pin(ranged.sortWithinPartitions(*order))
     placed = placed.withColumn("_mid", F.monotonically_increasing_id())
     placed = placed.withColumn("_part", F.shiftright("_mid", _ROW_BITS))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
