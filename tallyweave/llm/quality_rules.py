@@ -53,10 +53,18 @@ def _repeat_words(spoken: Column) -> Column:
         gaps = _bind(twice, lambda t: F.transform(t, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(t, k + 1) - i, F.lit(WINDOW)))))
         return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
-    hashes = _bind(
-        F.transform(spoken, lambda w: F.xxhash64(w)),
-        lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW))),
-    )
+    def doubled(hashes: Column, width: int) -> Column:
+        """Hashes of twice as many words, from those of ``width`` words."""
+        return _bind(
+            hashes,
+            lambda h: F.zip_with(
+                F.slice(h, F.lit(1), F.size(h) - width), F.slice(h, F.lit(width + 1), F.size(h) - width), lambda a, b: F.xxhash64(a, b)
+            ),
+        )
+
+    hashes = F.transform(spoken, lambda w: F.xxhash64(w))
+    for width in (1, 2, 4):
+        hashes = doubled(hashes, width)
     return F.when(F.size(spoken) < WINDOW, 0).otherwise(
         _bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(marked(h)))
     )
