@@ -25,21 +25,21 @@ def key_match(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys])
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join per-key facts to all rows of the key, null keys included, whatever the skew.
 
     ``groups`` has one row per key with its number of rows in ``size`` and is read several times
-    (pass a written table). Up to ``BROADCAST_ROWS`` keys are broadcast. Beyond that, keys with
+    (pass a written table). Up to ``limit`` keys are broadcast. Beyond that, keys with
     more than one row in ``HOT_SHARE`` of all are broadcast, which are ``HOT_SHARE`` at most, and
     the others are joined by a shuffle in which no key is large.
     """
     named = groups.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     drop = [f"_k_{k}" for k in keys]
-    if groups.count() <= BROADCAST_ROWS:
+    if groups.count() <= limit:
         side = F.broadcast(named)
         return rows.join(side, key_match(rows, side, keys), how).drop(*drop)
     total = groups.agg(F.sum(size)).first()[0]
-    hot = F.col(size) * HOT_SHARE > F.lit(total)
+    hot = F.col(size) * min(HOT_SHARE, limit) > F.lit(total)
     heads = F.broadcast(named.filter(hot))
     marked = rows.join(heads, key_match(rows, heads, keys), "left_semi"), rows.join(heads, key_match(rows, heads, keys), "left_anti")
     tails = named.filter(~hot)

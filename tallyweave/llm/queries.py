@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import quality_rules, sharding
+from tallyweave.llm import chat_format, packing, quality_rules, secret_scan, sharding, token_counts, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +31,57 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests read back from all formatted conversations and from one that quotes control strings."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.digests(chat_format.format_chats(turns))
+
+
+@register
+def op3_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram token counts of every whole document."""
+    return token_counts.token_counts(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@register
+def op4_first_fit_decreasing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 4096 tokens."""
+    packed = packing.pack_documents(_table(spark, folder, "documents").select("doc_id", "text"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@register
+def op5_warc_content_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Record facts of all pages, read back from their archive."""
+    place = warc_archive.archive_folder(spark)
+    warc_archive.write_archive(_table(spark, folder, "pages").select("page_id", "url", "html"), place)
+    facts = warc_archive.read_archive(spark, place)
+    return facts.select(
+        F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to")
+    )
+
+
+@register
+def op8_crf_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and digests of the secret spans of every document."""
+    found = secret_scan.scan_secrets(_table(spark, folder, "documents").select("doc_id", "text"))
+
+    def of(kind: str):  # noqa: ANN202
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
+
+    def joined(spans):  # noqa: ANN001, ANN202
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), of("crf").alias("n_crf"),
+    )
+
+
 @register
 def op9_consistent_hash_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document on a ring of 24 shards with equal counts."""
@@ -39,3 +90,29 @@ def op9_consistent_hash_shards(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("home").cast("int").alias("home"),
     )
+
+
+ORACLE["op5_warc_content_store"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+g AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS d, max(page_id) OVER (PARTITION BY body) AS owner FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> owner THEN owner END AS refers_to
+FROM g"""
+
+ORACLE["op2_chat_format"] = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+         sum(length(text) + length(regexp_replace(text, '[^\\\\<\\[\\]]', '', 'g'))
+             + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11
+                    ELSE 16 + length(role) + length(regexp_replace(role, '[^\\\\<\\[\\]]', '', 'g')) END) + 3 * ((count(*) + 511) // 512) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_rewrites
+FROM c"""
