@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import chat_format, packing, quality_rules, secret_scan, sharding, token_counts, warc_archive
+from tallyweave.llm import chat_format, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,6 +64,13 @@ def op5_warc_content_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op7_bayes_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of links of every document under 5-gram Jaccard similarity of 0.8 or more."""
+    joined = ngram_join.jaccard_join(_table(spark, folder, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 @register
 def op8_crf_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and digests of the secret spans of every document."""
