@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def load() -> tuple[dict, dict]:
-    """Registered queries and their SQL."""
+    """Registered queries, the corpus pipeline among them, and their SQL."""
+    import corpus_pipeline
     from tallyweave.llm.queries import ORACLE, QUERIES
 
-    return dict(QUERIES), dict(ORACLE)
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return QUERIES | {"pipeline": corpus_pipeline.run}, ORACLE | sql

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import chat_format, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts, warc_archive
+from tallyweave.llm import chat_format, decontaminate, ngram_join, packing, quality_classifier, quality_rules, secret_scan, sharding, token_counts, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,6 +64,16 @@ def op5_warc_content_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op6_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item that occurs in it within the error budget."""
+    found = decontaminate.find_items(
+        _table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark").select("item_id", "text")
+    )
+    hit = found.filter(F.size("items") > 0).select("doc_id", F.explode("items").alias("hit"))
+    return hit.select("doc_id", F.col("hit.item_id").alias("item_id"), F.col("hit.distance").alias("distance"), F.col("hit.end").alias("match_end"))
+
+
 @register
 def op7_bayes_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class and number of links of every document under 5-gram Jaccard similarity of 0.8 or more."""
@@ -99,6 +109,15 @@ def op9_consistent_hash_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op10_neighbour_vote_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document; the labels of a third of the keys are never learned."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    space = quality_classifier.train(docs, _table(spark, folder, "labels"))
+    scored = quality_classifier.score_quality(docs, space)
+    return scored.select("doc_id", F.coalesce(quality_classifier.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 ORACLE["op5_warc_content_store"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 g AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS d, max(page_id) OVER (PARTITION BY body) AS owner FROM p)
