@@ -25,8 +25,8 @@ SPREADS = 3
 #: Measure: (smallest interquartile range that is believed, whether small values are judged too).
 MEASURES = {
     "symbol_ppm": (15_000, False),
-    "dup_line_ppm": (60_000, False),
-    "repeat_ppm": (60_000, False),
+    "dup_line_ppm": (150_000, False),
+    "repeat_ppm": (100_000, False),
     "word_length": (400, True),  # thousandths of a code point
 }
 

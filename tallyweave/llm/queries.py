@@ -142,3 +142,58 @@ c AS (
 SELECT conv_id, n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256,
        CAST(formatted_chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_rewrites
 FROM c"""
+
+_FENCED = ", ".join(
+    f"max(q3 + {quality_rules.SPREADS} * greatest(q3 - q1, {least})) FILTER (measure = '{name}') AS {name}_hi,"
+    f" max(q1 - {quality_rules.SPREADS} * greatest(q3 - q1, {least})) FILTER (measure = '{name}') AS {name}_lo"
+    for name, (least, _) in quality_rules.MEASURES.items()
+)
+_WITHIN = " AND ".join(
+    f"{name} <= coalesce({name}_hi, {name})" + (f" AND {name} >= coalesce({name}_lo, {name})" if low else "")
+    for name, (_, low) in quality_rules.MEASURES.items()
+)
+
+ORACLE["op1_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lang, source FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM d),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
+x AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         n_symbols * 1000000 // greatest(word_chars, 1) AS symbol_ppm, n_dup_lines * 1000000 // greatest(n_lines, 1) AS dup_line_ppm,
+         n_repeat_words * 1000000 // greatest(n_words, 1) AS repeat_ppm, word_chars * 1000 // greatest(n_words, 1) AS word_length
+  FROM m),
+long AS (UNPIVOT (SELECT lang, source, symbol_ppm, dup_line_ppm, repeat_ppm, word_length FROM x WHERE NOT base_failed)
+         ON symbol_ppm, dup_line_ppm, repeat_ppm, word_length INTO NAME measure VALUE v),
+s AS (
+  SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bucket, count(*) AS n
+  FROM long GROUP BY ALL),
+levels AS (
+  SELECT 0 AS level, lang, source, measure, bucket, sum(n) AS n FROM s GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, measure, bucket, sum(n) FROM s GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, measure, bucket, sum(n) FROM s GROUP BY ALL),
+ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto,
+         sum(n) OVER (PARTITION BY level, lang, source, measure) AS total
+  FROM levels),
+quart AS (
+  SELECT level, lang, source, measure, max(total) AS n, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3
+  FROM ranked GROUP BY ALL),
+f AS (SELECT level, lang, source, max(n) AS n, {_FENCED} FROM quart GROUP BY ALL),
+own AS (
+  SELECT x.*, CASE WHEN f0.n >= {quality_rules.MIN_GROUP} THEN 0 WHEN f1.n >= {quality_rules.MIN_GROUP} THEN 1 ELSE 2 END AS level
+  FROM x LEFT JOIN f f0 ON f0.level = 0 AND f0.lang IS NOT DISTINCT FROM x.lang AND f0.source IS NOT DISTINCT FROM x.source
+         LEFT JOIN f f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM x.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {_WITHIN} AS kept, own.level
+FROM own LEFT JOIN f ON f.level = own.level
+  AND (own.level = 2 OR f.lang IS NOT DISTINCT FROM own.lang) AND (own.level > 0 OR f.source IS NOT DISTINCT FROM own.source)"""
