@@ -296,7 +296,7 @@ SELECT cal AS calendar_cohort_id, el.id AS cohort_id, count(*) AS weeks, strftim
 def donor_calendar(spark, folder):
     base = cohorts(spark, folder)
     donors = base.select("cohort_id", "chain", F.col("cohort_id").alias("chain_id"), "market_available_by_utc", F.col("anticipation_utc").alias("own_anticipation_utc"))
-    out = K.donor_calendar(K.event_calendar(base, 16, 16), donors)
+    out = K.donor_calendar(K.event_calendar(base, 16, 16), donors, strict=False)
     return out.groupBy("calendar_cohort_id", "cohort_id").agg(
         F.count(F.lit(1)).alias("weeks"), F.to_date(F.min("window_start_utc")).cast("string").alias("first_day")
     )

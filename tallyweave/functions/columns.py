@@ -68,13 +68,14 @@ def exact_integer(c: Column | str, kind: str) -> Column:
     """Exact integer as ``decimal(38,0)``, or null where the value is fractional or lossy.
 
     ``kind`` names the source type: ``text``, ``integer``, ``decimal``, ``double`` or
-    ``boolean`` (never an integer). Text beyond 38 digits is kept out of the decimal range and
-    handled by :func:`is_exact_integer_text`.
+    ``boolean`` (never an integer). Text of more than 38 digits is an integer that the type
+    can't hold, so it fails; :func:`exact_integer_text` takes any length.
     """
     c = col(c)
     if kind == "text":
-        trimmed = F.trim(c)
-        return F.when(trimmed.rlike(r"^[+-]?\d+$"), trimmed.try_cast("decimal(38,0)"))
+        whole = exact_integer_text(c, "text")
+        wide = F.raise_error(F.concat(F.lit("integer text beyond 38 digits: "), whole)).cast("decimal(38,0)")
+        return F.when(F.length(F.ltrim(whole, F.lit("-"))) > 38, wide).otherwise(whole.cast("decimal(38,0)"))
     if kind == "integer":
         return c.cast("decimal(38,0)")
     if kind == "decimal":
@@ -85,6 +86,28 @@ def exact_integer(c: Column | str, kind: str) -> Column:
     return F.lit(None).cast("decimal(38,0)")
 
 
+def exact_integer_text(c: Column | str, kind: str = "text") -> Column:
+    """Exact integer of any length as plain decimal text, or null where it is fractional or lossy."""
+    c = col(c)
+    if kind != "text":
+        return exact_integer(c, kind).cast("string")
+    trimmed = F.trim(c)
+    digits = F.regexp_replace(trimmed, r"^[+-]?0*(?=[0-9])", "")
+    sign = F.when(trimmed.startswith("-") & (digits != "0"), F.lit("-")).otherwise(F.lit(""))
+    return F.when(trimmed.rlike(r"^[+-]?[0-9]+$"), F.concat(sign, digits))
+
+
+def integer_kind(dtype: str) -> str:
+    """``kind`` of :func:`exact_integer` for a simple type name."""
+    if dtype == "string":
+        return "text"
+    if dtype in ("double", "float"):
+        return "double"
+    if dtype.startswith("decimal"):
+        return "decimal"
+    return "boolean" if dtype == "boolean" else "integer"
+
+
 def is_exact_integer_text(c: Column | str) -> Column:
     """Exact-integer test on text of any length, as uint256 amounts exceed decimals."""
     return F.coalesce(F.trim(col(c)).rlike(r"^[+-]?\d+$"), F.lit(False))
@@ -117,10 +140,22 @@ def significant(c: Column | str, digits: int) -> Column:
 
 
 def significant_text(c: Column | str, digits: int = 15) -> Column:
-    """Plain decimal text with at most ``digits`` significant digits."""
-    rounded = F.format_string(f"%.{digits - 1}e", col(c).cast("double"))
-    plain = rounded.cast("double").cast("decimal(38,20)").cast("string")
-    return F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """Plain decimal text with at most ``digits`` significant digits, of any magnitude; null if not finite.
+
+    The text is built from mantissa and exponent, so nothing is cut and nothing overflows.
+    """
+    value = col(c).cast("double")
+    written = F.format_string(f"%.{digits - 1}e", value)
+    sign = F.when(written.startswith("-") & (value != 0), F.lit("-")).otherwise(F.lit(""))
+    figures = F.replace(F.ltrim(F.substring_index(written, "e", 1), F.lit("-")), F.lit("."), F.lit(""))
+    power = F.substring_index(written, "e", -1).cast("int")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
+    split = F.concat(F.substr(figures, F.lit(1), power + 1), F.lit("."), F.substr(figures, power + 2))
+    large = F.concat(figures, F.repeat(F.lit("0"), power - (digits - 1)))
+    plain = F.when(power < 0, small).when(power < digits - 1, split).otherwise(large)
+    short = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    finite = ~F.isnan(value) & ~value.isin(float("inf"), float("-inf"))
+    return F.when(finite, F.when(value == 0, F.lit("0")).otherwise(F.concat(sign, short)))
 
 
 def role_text(c: Column) -> Column:

@@ -35,7 +35,9 @@ def _resolve(limbs: list[Column]) -> Column:
 
 def _decimal_limbs(text: Column) -> list[Column]:
     width = LIMB_DIGITS * LIMBS
-    padded = F.lpad(F.regexp_replace(F.trim(text), r"^\+?0*", ""), width, "0")
+    digits = F.regexp_replace(F.trim(text), r"^\+?0*", "")
+    wide = F.raise_error(F.concat(F.lit("amount beyond 256 bits: "), digits))
+    padded = F.when(F.length(digits) > width, wide).otherwise(F.lpad(digits, width, "0"))
     return [
         F.substring(padded, width - LIMB_DIGITS * (i + 1) + 1, LIMB_DIGITS).cast("bigint")
         for i in range(LIMBS)

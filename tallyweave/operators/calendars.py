@@ -26,11 +26,12 @@ def boundary_targets(calendar: DataFrame, key: str = "cohort_id") -> DataFrame:
     return starts.unionByName(closing)
 
 
-def donor_calendar(calendar: DataFrame, donor: DataFrame) -> DataFrame:
+def donor_calendar(calendar: DataFrame, donor: DataFrame, strict: bool = True) -> DataFrame:
     """A treated calendar re-keyed to each donor whose market and clocks cover all of it.
 
     ``donor`` holds ``cohort_id, chain, chain_id, market_available_by_utc,
-    own_anticipation_utc``. Donors that fail a clock are dropped from the result.
+    own_anticipation_utc``. A donor that fails a clock of a calendar fails the job; without
+    ``strict`` the pair is left out, as when donors are searched for.
     """
     span = calendar.groupBy("cohort_id").agg(
         F.min("window_start_utc").alias("_first"), F.max("window_end_utc_exclusive").alias("_last")
@@ -38,7 +39,13 @@ def donor_calendar(calendar: DataFrame, donor: DataFrame) -> DataFrame:
     treated = span.withColumnRenamed("cohort_id", "calendar_cohort_id")
     fits = (F.col("market_available_by_utc") <= F.col("_first")) & (F.col("own_anticipation_utc") >= F.col("_last"))
     pairs = small_side(donor.select("cohort_id", "chain", "chain_id", "market_available_by_utc", "own_anticipation_utc"))
-    eligible = treated.join(pairs, fits & (F.col("cohort_id") != F.col("calendar_cohort_id")))
+    other = F.col("cohort_id") != F.col("calendar_cohort_id")
+    if strict:
+        eligible = treated.join(pairs, other)
+        late = F.raise_error(F.concat(F.lit("donor does not cover the calendar: "), F.col("cohort_id").cast("string"))).cast("boolean")
+        eligible = eligible.where(F.coalesce(fits, F.lit(False)) | late)
+    else:
+        eligible = treated.join(pairs, fits & other)
     weeks = calendar.select(
         F.col("cohort_id").alias("calendar_cohort_id"), "event_week", "window_start_utc", "window_end_utc_exclusive"
     )
@@ -119,6 +126,46 @@ def first_at_or_after(headers: DataFrame, targets: list, ts: str = "timestamp",
     )
 
 
+def boundary_blocks(headers: DataFrame, targets: DataFrame, key: str = "cohort_id", ts: str = "timestamp", block: str = "block_number") -> DataFrame:
+    """Boundary block of every target of every cohort, with the time of the header before it.
+
+    ``targets`` holds ``key, boundary_event_week, target_utc`` and, where a cohort's own
+    activation block is known, ``activation_block`` on the row of its activation instant (null
+    elsewhere). Such a row takes that very block, also if several blocks share its second, and
+    fails unless the block's time is the target. Other rows take the first block at or after the
+    target. Headers are reduced to one row per cohort and stretch between targets, so the rest
+    works on tables of calendar size.
+    """
+    instants = targets.groupBy(key).agg(F.array_sort(F.collect_set("target_utc")).alias("_instants"))
+    near = headers.select(key, F.col(block).alias("_b"), F.col(ts).alias("_t")).join(small_side(instants), key)
+    slot = F.size(F.filter("_instants", lambda t: t <= F.col("_t")))
+    point, place = F.struct(F.col("_b").alias("b"), F.col("_t").alias("t")), F.struct("_t", "_b")
+    reduced = near.groupBy(key, slot.alias("_slot")).agg(F.min_by(point, place).alias("first"), F.max_by(point, place).alias("last"))
+    wanted = targets.join(small_side(instants), key).withColumn("_at", F.array_position("_instants", F.col("target_utc")).cast("int"))
+    sides = wanted.join(reduced, key).groupBy(key, "boundary_event_week").agg(
+        F.min_by("first", F.when(F.col("_slot") >= F.col("_at"), F.col("_slot"))).alias("_first"),
+        F.max_by("last", F.when(F.col("_slot") < F.col("_at"), F.col("_slot"))).alias("_last"),
+        F.max(F.when(F.col("_slot") >= F.col("_at"), True)).alias("_reached"), F.max(F.when(F.col("_slot") < F.col("_at"), True)).alias("_preceded"),
+    )
+    anchors = targets.where("activation_block is not null").select(key, F.col("activation_block").alias("_anchor"))
+    around = headers.select(key, F.col(block).alias("_b"), F.col(ts).alias("_t")).join(small_side(anchors), key).where("_b <= _anchor")
+    anchored = around.groupBy(key, "_anchor").agg(
+        F.max(F.when(F.col("_b") == F.col("_anchor"), F.col("_t"))).alias("_time"), F.max_by("_t", F.when(F.col("_b") < F.col("_anchor"), F.col("_b"))).alias("_previous"),
+        F.max(F.when(F.col("_b") < F.col("_anchor"), True)).alias("_has_previous"),
+    )
+    out = targets.join(sides, [key, "boundary_event_week"], "left").join(anchored, [key], "left")
+    mine = F.col("activation_block").isNotNull()
+    wrong = F.raise_error(F.concat(F.lit("activation block isn't at its instant: "), F.col("activation_block").cast("string")))
+    kind = headers.schema[ts].dataType
+    time = F.when(~mine, F.when(F.col("_reached"), F.col("_first.t"))).when(F.col("_time") == F.col("target_utc"), F.col("_time")).otherwise(wrong.cast(kind))
+    before = F.when(mine, F.when(F.col("_has_previous"), F.col("_previous"))).otherwise(F.when(F.col("_preceded"), F.col("_last.t")))
+    return out.select(
+        key, "boundary_event_week", "target_utc", F.when(mine, F.col("activation_block")).otherwise(F.when(F.col("_reached"), F.col("_first.b"))).alias("start_block"),
+        time.alias("start_block_timestamp"), before.alias("previous_block_timestamp"),
+        (F.unix_seconds(time.cast("timestamp")) - F.unix_seconds(F.col("target_utc").cast("timestamp"))).alias("lag_seconds"),
+    )
+
+
 def first_code_block(snapshots: DataFrame, address: str = "address", block: str = "block_number", code: str = "code") -> DataFrame:
     """First block at which each contract shows runtime code."""
     there = ~F.coalesce(F.col(code), F.lit("0x")).isin("0x", "0x0")
@@ -170,14 +217,19 @@ def pre_flags(calendar: DataFrame, anticipation: str = "anticipation_utc") -> Da
     )
 
 
-def calendar_checks(boundaries: DataFrame, key: str = "cohort_id", minimum: int = -16, maximum: int = 16) -> DataFrame:
-    """One verdict row per cohort: complete weeks, increasing blocks, header proof, lag, hash."""
+def calendar_checks(boundaries: DataFrame, key: str = "cohort_id", minimum: int = -16, maximum: int = 16, policy: str | None = None) -> DataFrame:
+    """One verdict row per cohort: complete weeks, increasing blocks, header proof, lag, hash.
+
+    Week zero is ``anchored`` (the block at the activation instant itself, which others may share)
+    or ``adjacent`` (the first block at or after it, as every other week); ``policy`` names a
+    column that says which, anchored without it.
+    """
     order = Window.partitionBy(key).orderBy("boundary_event_week")
     seen = boundaries.withColumn("_before", F.lag("start_block").over(order)).withColumn(
         "_week_before", F.lag("boundary_event_week").over(order)
     )
     target, first, previous = F.col("target_utc"), F.col("start_block_timestamp"), F.col("previous_block_timestamp")
-    zero = F.col("boundary_event_week") == 0
+    zero = (F.col("boundary_event_week") == 0) & (F.col(policy) == "anchored" if policy else F.lit(True))
     adjacent = F.when(zero, (first == target) & (previous <= target)).otherwise((first >= target) & (previous < target))
     lag = F.unix_seconds(first.cast("timestamp")) - F.unix_seconds(target.cast("timestamp"))
     bad = {

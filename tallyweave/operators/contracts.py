@@ -115,13 +115,14 @@ def split_valid(tagged: DataFrame, name: str = "failed_rules") -> tuple[DataFram
 
 
 def reconcile(left: DataFrame, right: DataFrame, on: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """Rows of ``left`` whose match in ``right`` is missing or differs, null-safe.
+    """Rows of ``left`` whose match in ``right`` is missing, repeated or differs, null-safe.
 
     ``pairs`` names each compared field as (left column, right column).
     """
-    other = right.select(*on, F.lit(True).alias("_found"), *[F.col(b).alias(f"_r_{n}") for n, (_, b) in pairs.items()])
+    found = F.count(F.lit(1)).alias("_found")
+    other = right.groupBy(*on).agg(found, *[F.min(b).alias(f"_r_{n}") for n, (_, b) in pairs.items()])
     joined = left.join(other, on, "left")
-    issues = {"missing": F.col("_found").isNull()}
+    issues = {"missing": F.col("_found").isNull(), "repeated": F.coalesce(F.col("_found") > 1, F.lit(False))}
     for name, (a, _) in pairs.items():
         issues[name] = F.col("_found").isNotNull() & ~F.col(a).eqNullSafe(F.col(f"_r_{name}"))
     joined = joined.withColumn("mismatches", flags(issues))
@@ -129,8 +130,10 @@ def reconcile(left: DataFrame, right: DataFrame, on: list[str], pairs: dict[str,
 
 
 def frames_equal(left: DataFrame, right: DataFrame, keys: list[str], rtol: float = 1e-10, atol: float = 1e-12) -> DataFrame:
-    """Rows that differ between two tables, matched on a key. Empty means equal.
+    """Keys that differ between two tables. Empty means equal.
 
+    A key that occurs more than once on a side is a difference of its own (``repeated_left``,
+    ``repeated_right``); null keys are keys like others.
     Doubles agree when ``abs(a - b) <= atol + rtol * abs(b)`` or both are null or NaN; every
     other type is compared null-safe.
     """
@@ -138,13 +141,20 @@ def frames_equal(left: DataFrame, right: DataFrame, keys: list[str], rtol: float
     if sorted(left.columns) != sorted(right.columns):
         raise ContractError(f"columns differ: {sorted(set(left.columns) ^ set(right.columns))}")
     kinds = dict(left.dtypes)
-    a = left.select(*keys, F.lit(True).alias("_in_left"), *[F.col(c).alias(f"_a_{c}") for c in values])
-    b = right.select(*keys, F.lit(True).alias("_in_right"), *[F.col(c).alias(f"_b_{c}") for c in values])
-    joined = a.join(b, keys, "full_outer")
-    issues = {"only_right": F.col("_in_left").isNull(), "only_left": F.col("_in_right").isNull()}
-    matched = F.col("_in_left").isNotNull() & F.col("_in_right").isNotNull()
+    # one grouping of both sides counts each key, null keys too, and brings its rows together
+    sides = [df.select(*keys, F.lit(side).alias("_side"), *[F.col(c).alias(f"_v_{c}") for c in values]) for side, df in (("a", left), ("b", right))]
+    held = [
+        F.first(F.when(F.col("_side") == side, F.struct(F.lit(side).alias("_s"), *[F.col(f"_v_{c}") for c in values])), ignorenulls=True).alias(f"_{side}")
+        for side in "ab"
+    ]
+    counts = [F.count_if(F.col("_side") == side).alias(f"_n_{side}") for side in "ab"]
+    joined = sides[0].unionByName(sides[1]).groupBy(*keys).agg(*counts, *held)
+    issues = {
+        "only_right": F.col("_n_a") == 0, "only_left": F.col("_n_b") == 0, "repeated_left": F.col("_n_a") > 1, "repeated_right": F.col("_n_b") > 1,
+    }
+    matched = (F.col("_n_a") == 1) & (F.col("_n_b") == 1)
     for c in values:
-        x, y = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        x, y = F.col("_a")[f"_v_{c}"], F.col("_b")[f"_v_{c}"]
         same = x.eqNullSafe(y)
         if kinds[c] in ("double", "float"):
             near = F.abs(x - y) <= F.lit(atol) + F.lit(rtol) * F.abs(y)
@@ -210,10 +220,13 @@ def totals_reconcile(parts: DataFrame, part: str, total: DataFrame, whole: str)
 
 def crosswalk(index: DataFrame, mapping: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Full outer comparison of an index with its crosswalk; list fields are ``;``-separated."""
-    a = index.select(key, F.lit(True).alias("_a"), *[F.col(f).alias(f"_a_{f}") for f in fields])
-    b = mapping.select(key, F.lit(True).alias("_b"), *[F.col(f).alias(f"_b_{f}") for f in fields])
+    a = index.groupBy(key).agg(F.count(F.lit(1)).alias("_a"), *[F.min(f).alias(f"_a_{f}") for f in fields])
+    b = mapping.groupBy(key).agg(F.count(F.lit(1)).alias("_b"), *[F.min(f).alias(f"_b_{f}") for f in fields])
     joined = a.join(b, key, "full_outer")
-    issues = {"orphan_in_crosswalk": F.col("_a").isNull(), "orphan_in_index": F.col("_b").isNull()}
+    issues = {
+        "orphan_in_crosswalk": F.col("_a").isNull(), "orphan_in_index": F.col("_b").isNull(),
+        "repeated_in_index": F.coalesce(F.col("_a") > 1, F.lit(False)), "repeated_in_crosswalk": F.coalesce(F.col("_b") > 1, F.lit(False)),
+    }
     for f in fields:
         x, y = F.split(F.col(f"_a_{f}").cast("string"), ";"), F.split(F.col(f"_b_{f}").cast("string"), ";")
         issues[f] = F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~x.eqNullSafe(y)

@@ -59,10 +59,14 @@ def hac_ols(
     sums = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*xtx).alias("_xtx"), F.array(*xty).alias("_xty"))
     if k == 2:
         a, b, d = _at("_xtx", 0), _at("_xtx", 1), _at("_xtx", 3)
-        det = F.nullif(a * d - b * b, F.lit(0.0))
-        sums = sums.withColumn("_inv", F.array(d / det, -b / det, -b / det, a / det))
+        # a singular design has rank one, whose pseudo-inverse is the matrix over its squared trace
+        singular = F.abs(a * d - b * b) <= F.lit(1e-14) * a * d
+        det, trace = F.nullif(a * d - b * b, F.lit(0.0)), (a + d) * (a + d)
+        sums = sums.withColumn(
+            "_inv", F.when(singular, F.array(a / trace, b / trace, b / trace, d / trace)).otherwise(F.array(d / det, -b / det, -b / det, a / det))
+        )
         u, v = _at("_xty", 0), _at("_xty", 1)
-        sums = sums.withColumn("_beta", F.array((d * u - b * v) / det, (a * v - b * u) / det))
+        sums = sums.withColumn("_beta", F.array(*[_at("_inv", 2 * i) * u + _at("_inv", 2 * i + 1) * v for i in range(2)]))
     else:
         sums = sums.withColumn("_s", solve_normal("_xtx", "_xty"))
         sums = sums.withColumns({"_beta": F.col("_s.beta"), "_inv": F.col("_s.inverse")})
@@ -111,7 +115,7 @@ def hac_ols(
         "n",
         F.lit(k).alias("k"),
         *[_at("_beta", i).alias(f"coef_{i}") for i in range(k)],
-        *[F.sqrt(F.greatest(_at("cov", i * k + i), F.lit(0.0))).alias(f"se_{i}") for i in range(k)],
+        *[F.when(_at("cov", i * k + i).isNotNull(), F.sqrt(F.greatest(_at("cov", i * k + i), F.lit(0.0)))).alias(f"se_{i}") for i in range(k)],
         "cov",
     )
 
@@ -194,24 +198,28 @@ def controlled_its(gaps: DataFrame, by: list[str], specs: DataFrame, maximum_lag
 
 
 def placebo(gaps: DataFrame, by: list[str], pseudo_weeks: list[int], half: int, gap: str = "gap", week: str = "event_week", strict: bool = True) -> DataFrame:
-    """Mean of the ``half`` weeks after minus the ``half`` weeks before each pseudo date."""
-    series = Window.partitionBy(*by).orderBy(week)
-    before, after = series.rangeBetween(-half, -1), series.rangeBetween(1, half)
-    rows = gaps.withColumns(
-        {
-            "_b": F.avg(gap).over(before),
-            "_a": F.avg(gap).over(after),
-            "_n": F.least(F.count(gap).over(before), F.count(gap).over(after)),
-        }
-    ).where(F.col(week).isin(pseudo_weeks))
-    change = F.col("_a") - F.col("_b")
-    full = F.col("_n") == half
+    """Mean of the ``half`` weeks after minus the ``half`` weeks before each pseudo date.
+
+    One row per group and pseudo date; only the two sides count, the pseudo week itself may be
+    absent. A side with fewer than ``half`` values fails the job, or gives null unless ``strict``.
+    """
+    dates = F.array(*[F.lit(w) for w in pseudo_weeks])
+    groups = gaps.select(*by).distinct() if by else gaps.sparkSession.range(1).select()
+    spine = groups.withColumn("pseudo_event_week", F.explode(dates))
+    near = F.filter(dates, lambda p: (F.abs(p - F.col(week)) <= half) & (p != F.col(week)))
+    rows = gaps.select(*by, week, gap, F.explode(near).alias("pseudo_event_week"))
+    before, after = F.col(week) < F.col("pseudo_event_week"), F.col(week) > F.col("pseudo_event_week")
+    sides = rows.groupBy(*by, "pseudo_event_week").agg(
+        F.avg(F.when(before, F.col(gap))).alias("_b"), F.avg(F.when(after, F.col(gap))).alias("_a"),
+        F.count(F.when(before, F.col(gap))).alias("_nb"), F.count(F.when(after, F.col(gap))).alias("_na"),
+    )
+    rows = attach(spine, sides, [*by, "pseudo_event_week"], "left")
+    full = F.coalesce((F.col("_nb") == half) & (F.col("_na") == half), F.lit(False))
+    short = F.lit(None).cast("double")
     if strict:
-        short = F.raise_error(F.concat(F.lit("incomplete placebo support around week "), F.col(week).cast("string"))).cast("double")
-        change = F.when(full, change).otherwise(short)
-    else:
-        change = F.when(full, change)
-    return rows.select(*by, F.col(week).alias("pseudo_event_week"), F.lit(half).alias("half_window"), change.alias("gap_change"))
+        short = F.raise_error(F.concat(F.lit("incomplete placebo support around week "), F.col("pseudo_event_week").cast("string"))).cast("double")
+    change = F.when(full, F.col("_a") - F.col("_b")).otherwise(short)
+    return rows.select(*by, "pseudo_event_week", F.lit(half).alias("half_window"), change.alias("gap_change"))
 
 
 def event_study(gaps: DataFrame, by: list[str], first: int, last: int, gap: str = "gap", week: str = "event_week") -> DataFrame:

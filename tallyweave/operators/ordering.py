@@ -45,7 +45,7 @@ def group_ordinal(
         return ranked.withColumnRenamed("_global", name)
     starts = ranked.groupBy(*by).agg(F.min("_global").alias("_start"))
     return (
-        ranked.join(starts, by)
+        attach(ranked, starts, by)
         .withColumn(name, F.col("_global") - F.col("_start") + 1)
         .drop("_global", "_start")
     )
@@ -99,7 +99,7 @@ def running_before(
     tagged = tagged.withColumns(
         {f"_i_{name}": F.coalesce(F.sum(source).over(inner), F.lit(0)) for name, source in sums.items()}
     )
-    joined = tagged.join(totals, [*by, "_bucket"])
+    joined = attach(tagged, totals, [*by, "_bucket"])
     joined = joined.withColumns({name: F.col(f"_o_{name}") + F.col(f"_i_{name}") for name in sums})
     return joined.drop("_bucket", *[f"_o_{n}" for n in sums], *[f"_i_{n}" for n in sums])
 
@@ -129,7 +129,7 @@ def spearman(df: DataFrame, by: list[str], left: str, right: str, name: str = "s
     pairs = cut(df.groupBy(*by, left, right).agg(F.count(F.lit(1)).alias("_n")))
     first = average_rank(pairs, by, left, "_rl", weight="_n").select(*by, left, "_rl")
     second = average_rank(pairs, by, right, "_rr", weight="_n").select(*by, right, "_rr")
-    joined = pairs.join(first, [*by, left]).join(second, [*by, right])
+    joined = attach(attach(pairs, first, [*by, left]), second, [*by, right])
     n, x, y = F.col("_n").cast("double"), F.col("_rl"), F.col("_rr")
     sums = joined.groupBy(*by).agg(
         F.sum(n).alias("n"),

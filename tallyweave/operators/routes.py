@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import uint256
-from tallyweave.functions.columns import all_present, is_exact_integer_text, is_nonnegative_integer_text, present
+from tallyweave.functions.columns import all_present, both, exact_integer_text, integer_kind, is_nonnegative_integer_text, present
 from tallyweave.operators.contracts import ContractError, duplicate_keys, require_columns
 from tallyweave.operators.sizing import with_scalar
 from tallyweave.sources.fingerprint import dataset_fingerprint
@@ -61,16 +61,13 @@ def route_gate(df: DataFrame, strict: bool = True) -> DataFrame:
     provenance is otherwise complete.
     """
     require_columns(df, ROUTE_COLUMNS, "route events")
-    integers = F.lit(True)
-    for c in ROUTE_INTEGERS:
-        integers = integers & is_nonnegative_integer_text(F.trim(F.col(c).cast("string")))
-    numeric = (
-        integers
-        & is_nonnegative_integer_text(F.trim(F.col("lane_activation_block").cast("string")), positive=True)
-        & is_exact_integer_text(F.col("amount_wei").cast("string"))
-        & is_nonnegative_integer_text(F.trim(F.col("amount_wei").cast("string")), positive=True)
-        & is_nonnegative_integer_text(F.trim(F.col("capacity_wei").cast("string")))
-    )
+    kinds = dict(df.dtypes)
+
+    def integer(c: str, positive: bool = False) -> Column:
+        """Exact non-negative (or positive) integers of the column's own type: signed text, whole doubles and decimals."""
+        return is_nonnegative_integer_text(exact_integer_text(c, integer_kind(kinds[c])), positive)
+
+    numeric = both([integer(c) for c in (*ROUTE_INTEGERS, "capacity_wei")]) & integer("lane_activation_block", True) & integer("amount_wei", True)
     complete = all_present(list(ROUTE_COLUMNS)) & numeric & (F.col("verification_status") == "onchain_verified")
     verdict = df.agg(
         F.count(F.lit(1)).alias("event_rows"),
@@ -126,7 +123,9 @@ def route_metrics(messages: DataFrame, by: list[str] = ["week"], strict: bool =
         )
         bad = F.raise_error(F.concat(F.lit("unverified or malformed message "), F.col("message_id").cast("string")))
         rows = messages.withColumn("amount_wei", F.when(F.coalesce(good, F.lit(False)), F.col("amount_wei")).otherwise(bad))
-    digits = F.lpad(F.regexp_replace("local_activity_wei", "^0+(?=.)", ""), 78, "0")
+    local = F.regexp_replace("local_activity_wei", "^0+(?=.)", "")
+    wide = F.raise_error(F.concat(F.lit("local activity beyond 256 bits: "), local))
+    digits = F.when(F.length(local) > 78, wide).otherwise(F.lpad(local, 78, "0"))
     cells = rows.groupBy(*by, "route_id", "source_chain").agg(
         F.count(F.lit(1)).alias("_n"), F.max(digits).alias("_local"), *uint256.sum_parts("amount_wei", "_p")
     )

@@ -21,5 +21,9 @@ def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
 
 
 def attach(df: DataFrame, totals: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """Join group totals to rows, or the single total row when there is no group key."""
-    return df.join(totals, by, how) if by else with_scalar(df, totals)
+    """Join group totals to rows, null groups included, or the single total row when there is no group key."""
+    if not by:
+        return with_scalar(df, totals)
+    named = totals.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = [df[c].eqNullSafe(named[f"_by_{c}"]) for c in by]
+    return df.join(named, same, how).drop(*[f"_by_{c}" for c in by])

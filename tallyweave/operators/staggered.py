@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.operators.sizing import small_side, with_scalar
@@ -18,14 +18,32 @@ NEVER = 2**31 - 1
 def unit_paths(panel: DataFrame, unit: str, period: str, first: str, outcome: str) -> tuple[DataFrame, list[int]]:
     """One row per unit observed in every period: outcome array over the sorted periods.
 
-    The array is as long as the calendar, so it is bounded whatever the number of units.
+    The array is as long as the calendar, so it is bounded whatever the number of units. A unit
+    with two rows in one period fails the job; units that lack a period are left out and listed
+    by :func:`incomplete_units`.
     """
     periods = [row[0] for row in panel.select(period).distinct().orderBy(period).collect()]
-    path = F.transform(F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"), F.col(outcome).cast("double").alias("y")))), lambda s: s["y"])
+    points = F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"), F.col(outcome).cast("double").alias("y"))))
     units = panel.groupBy(F.col(unit).alias("unit")).agg(
-        path.alias("path"), F.coalesce(F.max(F.nullif(F.col(first), F.lit(0))), F.lit(NEVER)).cast("bigint").alias("cohort")
+        points.alias("_points"), F.coalesce(F.max(F.nullif(F.col(first), F.lit(0))), F.lit(NEVER)).cast("bigint").alias("cohort")
     )
-    return units.where(F.size("path") == len(periods)), periods
+    seen = F.transform("_points", lambda s: s["p"])
+    twice = F.raise_error(F.concat(F.lit("repeated period of unit "), F.col("unit").cast("string"))).cast("boolean")
+    whole = F.when(F.size(F.array_distinct(seen)) != F.size(seen), twice).otherwise(seen == _calendar(panel, period, periods))
+    units = units.where(whole) if periods else units
+    return units.select("unit", F.transform("_points", lambda s: s["y"]).alias("path"), "cohort"), periods
+
+
+def _calendar(panel: DataFrame, period: str, periods: list) -> Column:
+    kind = panel.schema[period].dataType.simpleString()
+    return F.array(*[F.lit(p) for p in periods]).cast(f"array<{kind}>")
+
+
+def incomplete_units(panel: DataFrame, unit: str, period: str) -> DataFrame:
+    """Units that lack a period of the panel, with the number of periods they have."""
+    periods = panel.agg(F.count_distinct(period).alias("_all"))
+    counts = panel.groupBy(F.col(unit).alias("unit")).agg(F.count_distinct(period).alias("periods"))
+    return with_scalar(counts, periods).where(F.col("periods") < F.col("_all")).drop("_all")
 
 
 def att_cells(spark, cohorts: list[int], periods: list[int]) -> DataFrame:

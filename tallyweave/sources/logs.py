@@ -324,8 +324,15 @@ def decode_messages(logs: DataFrame, chain_id: int, topic_index: int) -> DataFra
 
 
 def attach_timestamps(logs: DataFrame, headers: DataFrame, strict: bool = True) -> DataFrame:
-    """Block time of each log by an equi-join to the header table; a missing header is an error."""
-    times = headers.select("block_number", F.col("timestamp").alias("block_timestamp"))
+    """Block time of each log by an equi-join to the header table; a missing header is an error.
+
+    A block with several headers fails if they disagree; equal repeats count as one.
+    """
+    stamp = F.col("timestamp")
+    two = F.raise_error(F.concat(F.lit("different headers of block "), F.col("block_number").cast("string")))
+    times = headers.groupBy("block_number").agg(F.min(stamp).alias("_lo"), F.max(stamp).alias("_hi"))
+    one = F.when(F.col("_lo").eqNullSafe(F.col("_hi")), F.col("_lo")).otherwise(two.cast(headers.schema["timestamp"].dataType))
+    times = times.select("block_number", one.alias("block_timestamp"))
     joined = logs.join(times, "block_number", "left")
     if not strict:
         return joined
