@@ -6,11 +6,13 @@ chains are solved together. Every loop cuts lineage with a reliable checkpoint p
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators.sizing import small_side
-from tallyweave.session import cut, pin, shuffle_width
+from tallyweave.session import cut, discard, pin, shuffle_width
 
 CELL_ROWS = 2_000_000  # arcs of one source kept in one join cell
 TASK_ARCS = 50_000  # below shuffle-width times this, a graph uses fewer tasks
@@ -113,12 +115,14 @@ def _unkeyed(df: DataFrame, by: list[str]) -> DataFrame:
     return df if by else df.drop(_ALL)
 
 
-def components(edges: DataFrame, by: list[str], nodes: DataFrame | None = None, maximum_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, by: list[str], nodes: DataFrame | None = None) -> DataFrame:
     """Weakly connected components labelled by their smallest node.
 
     Each round takes the grandparent label, the smallest label among neighbours, and hooks
     whole trees onto smaller roots, so the number of rounds grows with the logarithm of the
-    graph. Labels only fall, and a round without a change is the answer.
+    graph. Labels only fall, and a round without a change is the answer. The giant component's
+    label is a hot key of the look-up by label: labels are looked up once per label and then
+    broadcast to the nodes while they are few, else joined with adaptive splitting.
     """
     edges, keys = _keyed(edges, by)
     plain = edges.where(F.col("src") != F.col("dst")).select(*keys, "src", "dst", F.lit(1).alias("weight"))
@@ -128,19 +132,20 @@ def components(edges: DataFrame, by: list[str], nodes: DataFrame | None = None,
         extra, _ = _keyed(nodes, by)
         start = start.union(extra.select(*keys, "node")).distinct()
     state = cut(start.withColumn("label", F.col("node")))
-    for _ in range(maximum_rounds):
-        parents = state.select(*keys, F.col("node").alias("label"), F.col("label").alias("_up"))
-        lifted = state.join(parents, [*keys, "label"])
+    while True:
+        own = state.select(*keys, "label").distinct()  # one row per label: partial sums leave no hot key
+        parents = own.join(state.select(*keys, F.col("node").alias("label"), F.col("label").alias("_up")), [*keys, "label"])
+        lifted = state.join(small_side(parents), [*keys, "label"])
         near = arcs.gather(lifted, ["_up"], [F.min("_up").alias("_near")])
         seen = lifted.join(near, [*keys, "node"], "left")
         hooks = seen.groupBy(*keys, F.col("label").alias("node")).agg(F.min("_near").alias("_hook"))
         merged = seen.join(hooks, [*keys, "node"], "left")
         lowest = F.least("label", "_up", F.coalesce("_near", "label"), F.coalesce("_hook", "label"))
-        state = cut(merged.select(*keys, "node", lowest.alias("label"), (lowest != F.col("label")).alias("_changed")))
-        if not state.where("_changed").limit(1).count():
-            return _unkeyed(state.select(*keys, "node", F.col("label").alias("component")), by)
-        state = state.drop("_changed")
-    raise RuntimeError("components did not settle")
+        new = cut(merged.select(*keys, "node", lowest.alias("label"), (lowest != F.col("label")).alias("_changed")))
+        discard(state)
+        if not new.where("_changed").limit(1).count():
+            return _unkeyed(new.select(*keys, "node", F.col("label").alias("component")), by)
+        state = new
 
 
 def component_sizes(labels: DataFrame, by: list[str]) -> DataFrame:
@@ -154,36 +159,54 @@ def component_sizes(labels: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def core_numbers(edges: DataFrame, by: list[str], maximum_rounds: int = 500, rounds_per_cut: int = 2) -> DataFrame:
+def core_numbers(edges: DataFrame, by: list[str], rounds_per_cut: int = 2, tree_round: int = 10) -> DataFrame:
     """k-core number of every node of the unweighted undirected graph.
 
     Starting from degrees, each node takes the h-index of its neighbours' values until
     nothing changes; the fixed point is the core number. A node sees its neighbours as counts
     per value: distinct values at a node number at most twice the square root of the edges,
     so a hub is never collected into one group.
+
+    Values travel one arc per pass, so a long chain settles slowly. A graph that hasn't settled
+    after ``tree_round`` rounds gives up its components without a cycle, whose core is one, and
+    goes on with the rest. There is no limit on the rounds.
     """
     edges, keys = _keyed(edges, by)
-    arcs = Arcs(both_ways(undirected(edges, keys), keys), keys)
+    flat = undirected(edges, keys)
+    arcs = Arcs(both_ways(flat, keys), keys)
     state = arcs.table.groupBy(*keys, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core"))
     state = cut(state)
-    total = None
-    for _ in range(maximum_rounds):
+    total, trees = None, None
+    for round_ in count(1):
+        before = state
         for _ in range(rounds_per_cut):
             counted = arcs.gather(state, ["core"], [F.count(F.lit(1)).alias("_n")], extra=["core"])
             falling = Window.partitionBy(*keys, "node").orderBy(F.col("core").desc()).rowsBetween(Window.unboundedPreceding, 0)
             reach = counted.withColumn("_reach", F.sum("_n").over(falling))
             state = reach.groupBy(*keys, "node").agg(F.max(F.least("core", "_reach")).alias("core"))
         state = cut(state)
+        discard(before)
         now = state.agg(F.sum("core")).first()[0] or 0
         if now == total:
-            return _unkeyed(state, by)
+            return _unkeyed(state if trees is None else state.unionByName(trees), by)
         total = now
-    raise RuntimeError("core numbers did not settle")
+        if round_ == tree_round:
+            labels = components(edges, keys)
+            ends = flat.where(F.col("src") != F.col("dst")).select(*keys, F.col("src").alias("node"))
+            sizes = labels.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_nodes"))
+            edges_in = ends.join(labels, [*keys, "node"]).groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_edges"))
+            bare = sizes.join(edges_in, [*keys, "component"]).where("_edges < _nodes").select(*keys, "component")
+            inside = cut(labels.join(small_side(cut(bare)), [*keys, "component"], "left_semi").select(*keys, "node"))
+            trees = inside.withColumn("core", F.lit(1).cast("bigint"))
+            state = cut(state.join(small_side(inside), [*keys, "node"], "left_anti"))
+            rest = flat.join(small_side(inside.withColumnRenamed("node", "src")), [*keys, "src"], "left_anti")
+            arcs, total = Arcs(both_ways(rest, keys), keys), None
 
 
 def pagerank(edges: DataFrame, by: list[str], alpha: float = 0.85, maximum_rounds: int = 100, tolerance: float = 1e-10) -> DataFrame:
     """Weighted PageRank: uniform start, dangling mass spread over all nodes of the graph, and
-    each graph stops at the first round whose L1 change is below nodes * tolerance."""
+    each graph stops at the first round whose L1 change is below nodes * tolerance. It fails if
+    one hasn't after ``maximum_rounds``."""
     edges, keys = _keyed(edges, by)
     edges = cut(edges.select(*keys, "src", "dst", F.col("weight").cast("double").alias("weight")))
     arcs = Arcs(edges, keys)
@@ -191,6 +214,7 @@ def pagerank(edges: DataFrame, by: list[str], alpha: float = 0.85, maximum_round
     counts = cut(nodes.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_count")))
     state = nodes.join(small_side(counts), keys)
     state = cut(state.select(*keys, "node", "_out", "_count", (F.lit(1.0) / F.col("_count")).alias("rank"), F.lit(True).alias("_live")))
+    written = state
     for _ in range(maximum_rounds):
         sending = state.where("_live AND _out > 0").withColumn("_send", F.col("rank") / F.col("_out"))
         inflow = arcs.gather(sending, ["_send"], [F.sum(F.col("weight") * F.col("_send")).alias("_in")])
@@ -201,6 +225,8 @@ def pagerank(edges: DataFrame, by: list[str], alpha: float = 0.85, maximum_round
         moved = cut(joined.select(*keys, "node", "_out", "_count", updated.alias("rank"), F.abs(updated - F.col("rank")).alias("_delta"), "_live"))
         change = moved.where("_live").groupBy(*keys, "_count").agg(F.sum("_delta").alias("_change"))
         open_graphs = change.where(F.col("_change") >= F.col("_count") * F.lit(tolerance)).select(*keys, F.lit(True).alias("_live"))
+        discard(written)
+        written = moved
         if not open_graphs.limit(1).count():
             state = moved
             break
@@ -208,6 +234,8 @@ def pagerank(edges: DataFrame, by: list[str], alpha: float = 0.85, maximum_round
             state = moved.drop("_live", "_delta").join(open_graphs, keys, "left").withColumn("_live", F.coalesce("_live", F.lit(False)))
         else:
             state = moved.drop("_delta")
+    else:
+        raise RuntimeError(f"pagerank did not settle in {maximum_rounds} rounds")
     return _unkeyed(state.select(*keys, "node", F.col("rank").alias("pagerank")), by)
 
 
@@ -352,7 +380,7 @@ def spectral_radius(edges: DataFrame, by: list[str], tolerance: float = 1e-9, ma
             return _unkeyed(norms.drop("_norm"), by)
         before = estimate
         state = moved.join(norms, keys).select(*keys, "node", (F.col("_y") / F.col("_norm")).alias("x"))
-    return _unkeyed(norms.drop("_norm"), by)
+    raise RuntimeError(f"the radius did not settle in {maximum_rounds} rounds")
 
 
 def katz_bonacich(

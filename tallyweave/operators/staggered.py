@@ -200,6 +200,8 @@ def twfe_event_study(
         left = data.groupBy("unit").agg(*[F.abs(F.avg(v)).alias(v) for v in names]).agg(F.max(F.greatest(*names) if len(names) > 1 else F.col("v0"))).first()[0]
         if (left or 0.0) < tolerance:
             break
+    else:
+        raise RuntimeError(f"the demeaning did not settle in {maximum_rounds} rounds")
     k = len(times)
     xtx = [F.sum(F.col(f"v{i + 1}") * F.col(f"v{j + 1}")) for i in range(k) for j in range(k)]
     xty = [F.sum(F.col(f"v{i + 1}") * F.col("v0")) for i in range(k)]

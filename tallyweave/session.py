@@ -58,7 +58,18 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`cut` returned, once nothing reads it any more (a loop's last round)."""
+    path = getattr(table, "_cut_path", None)
+    if path:
+        spark = table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def pin(df: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def dense_pagerank(edges, g, alpha=0.85):
 def few_rounds(monkeypatch):
     """Tiny graphs need many PageRank rounds; their ranks are tested elsewhere."""
     original = G.pagerank
-    monkeypatch.setattr(G, "pagerank", lambda edges, by: original(edges, by, maximum_rounds=3))
+    monkeypatch.setattr(G, "pagerank", lambda edges, by: original(edges, by, tolerance=0.05))
 
 
 def test_topology_case(spark, few_rounds):
@@ -211,3 +211,19 @@ def test_scan_scores_match_correlation(spark):
         ideal = [float(a in inside or b in inside) for a, b in both]
         expected = 0.0 if len(set(ideal)) == 1 else float(np.corrcoef(seen, ideal)[0, 1])
         assert out[k]["score"] == pytest.approx(expected, abs=1e-9)
+
+
+def test_core_numbers_of_long_chains(spark):
+    """A chain of any length settles, beside a triangle with a tail."""
+    chain = spark.range(2000).selectExpr("'g' as g", "id as src", "id + 1 as dst", "1 as weight")
+    other = spark.createDataFrame([("g", a, b, 1) for a, b in [(9001, 9002), (9002, 9003), (9003, 9001), (9003, 9004), (9004, 9005)]], "g string, src long, dst long, weight int")
+    cores = rows(G.core_numbers(chain.union(other), ["g"], tree_round=2), "g", "node")
+    assert len(cores) == 2006
+    assert {k[1]: r["core"] for k, r in cores.items() if k[1] > 9000} == {9001: 2, 9002: 2, 9003: 2, 9004: 1, 9005: 1}
+    assert all(r["core"] == 1 for k, r in cores.items() if k[1] <= 2000)
+
+
+def test_pagerank_says_when_it_has_not_settled(spark):
+    edges = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 1, 1), (1, 3, 1)], "src long, dst long, weight int")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        G.pagerank(edges, [], maximum_rounds=2)
