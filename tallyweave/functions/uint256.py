@@ -16,7 +16,7 @@ LIMB_BASE = 10**LIMB_DIGITS
 LIMBS = 13  # 78 decimal digits hold 2**256 - 1
 
 
-def _resolve(limbs: list[Column]) -> Column:
+def _resolve(limbs: list[Column] | Column) -> Column:
     """Carry from the lowest limb up and render without leading zeros."""
     start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("text"))
 
@@ -28,7 +28,7 @@ def _resolve(limbs: list[Column]) -> Column:
             F.concat(F.lpad((total % base).cast("string"), LIMB_DIGITS, "0"), acc["text"]).alias("text"),
         )
 
-    folded = F.aggregate(F.array(*limbs), start, step)
+    folded = F.aggregate(limbs if isinstance(limbs, Column) else F.array(*limbs), start, step)
     text = F.concat(folded["carry"].cast("string"), folded["text"])
     return F.regexp_replace(text, "^0+(?=.)", "")
 
@@ -86,7 +86,8 @@ def hex_word_to_decimal(word: Column | str) -> Column:
 
     Words below 2**60 and 2**124 are converted with bigint and decimal arithmetic inside the
     generated code. A larger word is eight 32-bit pieces; each piece times its power of two is
-    linear in decimal limbs, so it takes a small constant matrix and one carry pass.
+    linear in decimal limbs, so it takes a small constant matrix and one carry pass. That branch
+    is made of lambdas, which are evaluated for wide words alone and keep the generated method small.
     """
     word = F.col(word) if isinstance(word, str) else word
     low, high = F.substring(word, 49, 16), F.substring(word, 33, 16)
@@ -94,15 +95,12 @@ def hex_word_to_decimal(word: Column | str) -> Column:
     medium = F.substring(word, 1, 33) == "0" * 33
     shifted = F.conv(high, 16, 10).cast("decimal(17,0)") * F.lit(Decimal(2**64)).cast("decimal(20,0)")
     wide = shifted.cast("decimal(38,0)") + F.conv(low, 16, 10).cast("decimal(20,0)")
-    pieces = [F.conv(F.substring(word, 57 - 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
-    limbs = []
-    for j in range(LIMBS):
-        terms = F.lit(0).cast("bigint")
-        for i, piece in enumerate(pieces):
-            factor = (2 ** (32 * i) // LIMB_BASE**j) % LIMB_BASE
-            if factor:
-                terms = terms + piece * F.lit(factor).cast("bigint")
-        limbs.append(terms)
+    starts = F.array(*[F.lit(57 - 8 * i) for i in range(8)])
+    pieces = F.transform(starts, lambda s: F.conv(F.substr(word, s, F.lit(8)), 16, 10).cast("bigint"))
+    factors = [[(2 ** (32 * i) // LIMB_BASE**j) % LIMB_BASE for i in range(8)] for j in range(LIMBS)]
+    matrix = F.array(*[F.array(*[F.lit(f).cast("bigint") for f in row]) for row in factors])
+    products = lambda row, p: F.aggregate(F.zip_with(row, p, lambda a, b: a * b), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    limbs = F.transform(F.array(pieces), lambda p: F.transform(matrix, lambda row: products(row, p))).getItem(0)
     exact = F.when(medium, wide.cast("decimal(38,0)").cast("string")).otherwise(_resolve(limbs))
     return F.when(small, F.conv(low, 16, 10)).otherwise(exact)
 

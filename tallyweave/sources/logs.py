@@ -205,6 +205,25 @@ def log_rules(specs: tuple[EventSpec, ...] = EVENT_SPECS) -> dict[str, Column]:
     }
 
 
+def _by_spec(values: list, index: str) -> Column:
+    """The value of the event whose index a column holds, null for none."""
+    kind = "int" if any(isinstance(v, int) for v in values) else "string"
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col(index))
+
+
+def _start(spec: EventSpec, name: str) -> int | None:
+    """Place of a field's word in the joined topics and data of an event."""
+    for i, (target, _) in enumerate(spec.indexed):
+        if target == name:
+            return 66 * (i + 1) + 3
+    for i, (target, _) in enumerate(spec.data):
+        if target == name:
+            return 66 * (len(spec.indexed) + 1) + 3 + 64 * i
+    if name == "actor_address":  # a withdrawal names one user for both roles
+        return 66 * spec.beneficiary_topic + 3
+    return None
+
+
 def decode_logs(
     logs: DataFrame, chain_id: int | Column, pool_address: str | None = None, specs: tuple[EventSpec, ...] = EVENT_SPECS, strict: bool = True
 ) -> DataFrame:
@@ -216,27 +235,14 @@ def decode_logs(
     """
     base = _with_spec(canonicalize_logs(logs), specs)
     tagged = reject_rows(base, log_rules(specs))
-    good = F.size("failed_rules") == 0
-    action, signature = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for spec in specs:
-        action = F.when(_is(spec, specs), F.lit(spec.action)).otherwise(action)
-        signature = F.when(_is(spec, specs), F.lit(spec.signature)).otherwise(signature)
-    columns = {}
-    for name, kind in ACTION_FIELDS.items():
-        word = F.lit(None).cast("string")
-        for spec in specs:
-            for i, (target, _) in enumerate(spec.indexed):
-                if target == name:
-                    word = F.when(_is(spec, specs), _topic_word(i)).otherwise(word)
-            for i, (target, _) in enumerate(spec.data):
-                if target == name:
-                    word = F.when(_is(spec, specs), _data_word(i)).otherwise(word)
-        if name == "actor_address":  # a withdrawal names one user for both roles
-            for spec in specs:
-                if not any(target == name for target, _ in (*spec.indexed, *spec.data)):
-                    word = F.when(_is(spec, specs), _topic_word(1)).otherwise(word)
-        columns[f"_w_{name}"] = F.when(good, word)
-    picked = tagged.withColumns(columns)
+    # topics and data in one text: a field's word starts at a place that depends on the event alone
+    placed = tagged.withColumns(
+        {"_flat": F.concat(F.array_join("topics", ""), "data"), "_good": F.when(F.size("failed_rules") == 0, F.col("_spec"))}
+    )
+    picked = placed.withColumns(
+        {f"_w_{name}": F.substr(F.col("_flat"), _by_spec([_start(spec, name) for spec in specs], "_good"), F.lit(64)) for name in ACTION_FIELDS}
+    )
+    action, signature = _by_spec([s.action for s in specs], "_spec"), _by_spec([s.signature for s in specs], "_spec")
     chain = chain_id if isinstance(chain_id, Column) else F.lit(chain_id).cast("bigint")
     out = picked.select(
         chain.alias("chain_id"),
