@@ -17,7 +17,7 @@ BROADCAST_ROWS = 200_000
 #: A key is hot when it holds more than one row in so many; there are at most as many hot keys.
 HOT_SHARE = 1_000
 #: Text that is held as numpy arrays at a time, unless one document alone is longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def key_match(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

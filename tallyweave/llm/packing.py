@@ -62,12 +62,14 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
         fields.append(T.StructField("ids", T.BinaryType()))
     end = np.array([END_ID], dtype="<u4").tobytes()
 
+    names = [f.name for f in fields]
+
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).ids
+        bpe = encoder(tokenizer)
         for batch in batches:
             who, numbers, blobs = [], ([], [], [], []), []
             for i, text_ in enumerate(batch.column(1)):
-                ids = encode(text_.as_py()) + end
+                ids = bpe.ids(text_.as_py()) + end
                 total = len(ids) // 4
                 for start in range(0, total, SEQUENCE):
                     part = ids[4 * start : 4 * (start + SEQUENCE)]
@@ -77,10 +79,10 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                     if with_ids:
                         blobs.append(part)
             out = [batch.column(0).take(pa.array(who, pa.int64())), *[pa.array(c, pa.int64()) for c in numbers]]
-            names = [f.name for f in fields]
             if with_ids:
                 out.append(pa.array(blobs, pa.binary()))
             yield pa.RecordBatch.from_arrays(out, names)
+        bpe.known.clear()  # Spark keeps the worker for other tasks
 
     return rows.mapInArrow(cut_up, T.StructType(fields))
 

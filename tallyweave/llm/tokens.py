@@ -8,8 +8,8 @@ import unicodedata
 
 import numpy as np
 
-#: Distinct pre-tokens that a task remembers; it starts anew beyond that.
-CACHE_WORDS = 600_000
+#: Distinct pre-tokens that a task remembers; it starts anew beyond that. About 100 MB.
+CACHE_WORDS = 300_000
 
 
 def default_path() -> str:
@@ -77,7 +77,7 @@ _ENCODERS: dict[str | None, WordBpe] = {}
 
 
 def encoder(path: str | None = None) -> WordBpe:
-    """One encoder per worker process and vocabulary."""
+    """One encoder per worker process and vocabulary. What it has learned is to be forgotten at a task's end."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordBpe(path)
     return _ENCODERS[path]
