@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.session import cut
+
 #: Chunks of the corpus that training may use: those with the smallest hashes.
 SAMPLE_CHUNKS = 1_500
 EPOCHS, RATE, DECAY, SEED = 6, 0.3, 1e-4, 7
@@ -268,13 +270,18 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_CHUNKS) -> F
                     spans = [(a + low, b + low) for a, b in values(whole[low : end + REACH])]
                     example = json.dumps([features, label(spots, spans)])
                     held.append((hashlib.md5(example.encode()).hexdigest(), example))
-            held = sorted(set(held))[:sample]  # the smallest of a batch hold the smallest of all
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.string()), pa.array([e for _, e in held], pa.string())], ["h", "example"])
 
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    rows = texts.mapInArrow(emit, schema).orderBy("h", "example").limit(sample).collect()
-    seen = dict.fromkeys(r["example"] for r in rows)
-    return Field().fit(generated() + [tuple(json.loads(e)) for e in seen])
+    found = cut(texts.mapInArrow(emit, schema).dropDuplicates(["h"]))
+    total = found.count()
+    few = found
+    if total > 2 * sample:  # about twice the sample lies below this hash, so tasks send no more than that
+        few = found.filter(F.col("h") < f"{(2 * sample << 128) // total:032x}")
+        if few.count() < sample:
+            few = found
+    rows = few.orderBy("h").limit(sample).collect()
+    return Field().fit(generated() + [tuple(json.loads(r["example"])) for r in rows])
 
 
 def field_spans(text: str, field: Field, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
