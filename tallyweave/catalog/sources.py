@@ -221,25 +221,25 @@ def resumable_ingest(spark, folder):
 
 @query(
     "s12_weekly_action_stream",
-    """WITH m AS (SELECT max(epoch_us(ts)) AS mx FROM events), w AS (SELECT epoch_us(ts) // 604800000000 AS wk, event_id % 2 AS chain_id, event_type AS action FROM events)
-SELECT CAST(make_timestamp(wk * 604800000000) AS VARCHAR)[1:10] AS week_start, chain_id, action, count(*) AS event_count FROM w, m
-WHERE (wk + 1) * 604800000000 <= (mx // 1000 - 86400000) * 1000 GROUP BY ALL""",
+    """WITH w AS (SELECT epoch_us(ts) // 604800000000 AS wk, event_id % 2 AS chain_id, event_type AS action FROM events)
+SELECT CAST(make_timestamp(wk * 604800000000) AS VARCHAR)[1:10] AS week_start, chain_id, action, count(*) AS event_count FROM w GROUP BY ALL""",
 )
 def weekly_action_stream(spark, folder):
-    from tallyweave.streaming.ingest import run_to_table, weekly_action_counts
+    from tallyweave.streaming.ingest import close_panel, run_to_table, weekly_action_counts
 
     schema = T.table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    shaped = stream.select(
+    shape = [
         F.col("ts").cast("timestamp").alias("ts"),
         (F.col("event_id") % 2).alias("chain_id"),
         F.col("event_type").alias("action"),
         F.call_function("div", F.col("event_id"), F.lit(3)).alias("tx_hash"),
         F.col("event_id").alias("log_index"),
-    )
-    path = run_to_table(weekly_action_counts(shaped), scratch(spark, "weekly"))
+    ]
+    path = run_to_table(weekly_action_counts(stream.select(*shape)), scratch(spark, "weekly"))
     closed = spark.read.schema("window_start timestamp, window_end timestamp, chain_id bigint, action string, event_count bigint").parquet(path)
-    return closed.select(F.to_date("window_start").cast("string").alias("week_start"), "chain_id", "action", "event_count")
+    panel = close_panel(closed, T.table(spark, folder, "events").select(*shape))
+    return panel.select(F.to_date("window_start").cast("string").alias("week_start"), "chain_id", "action", "event_count")
 
 
 @query(

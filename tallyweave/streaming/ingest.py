@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.operators.contracts import reject_rows, split_valid
+from tallyweave.operators.sizing import with_scalar
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -27,16 +28,19 @@ def resumable_ingest(
     glob: str | None = None,
     transform: Callable[[DataFrame], DataFrame] | None = None,
     on_duplicate: str = "error",
+    max_files: int = 200,
 ) -> dict[str, str]:
     """Ingest the chunk files that no earlier run has finished, then stop.
 
     The streaming checkpoint remembers finished files, so a run after a failure or with new
     chunks continues where the last one ended. Each micro-batch is validated, checked for
     keys already stored, and written under its own batch folder; a replayed batch replaces its
-    folder, so rows are stored once. One receipt row per chunk file records counts and a digest.
+    folder, so rows are stored once. A micro-batch takes ``max_files`` chunks at most, so a backlog
+    is worked off in steps and a failure repeats one of them. One receipt row per chunk file
+    records counts and a digest.
     """
     paths = {name: f"{store}/{name}" for name in ("accepted", "rejected", "receipts", "checkpoint")}
-    reader = spark.readStream.format(fmt).schema(schema)
+    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.load(source).withColumn("chunk", F.col("_metadata.file_path"))
@@ -79,10 +83,11 @@ def resumable_ingest(
 def weekly_action_counts(stream: DataFrame, delay: str = "1 day", width: str = "7 days") -> DataFrame:
     """Weekly counts per (chain, action) on an event stream with ``ts, chain_id, action,
     tx_hash, log_index``. Repeats inside the watermark are dropped; later ones are late data,
-    and the batch panel over the stored table stays the reference result."""
+    and the batch panel over the stored table stays the reference result. Windows come out once
+    the watermark has passed them; :func:`close_panel` adds those that are still open."""
     return (
         stream.withWatermark("ts", delay)
-        .dropDuplicatesWithinWatermark(["tx_hash", "log_index"])
+        .dropDuplicatesWithinWatermark(["chain_id", "tx_hash", "log_index"])
         .groupBy(F.window("ts", width), "chain_id", "action")
         .agg(F.count(F.lit(1)).alias("event_count"))
         .select(
@@ -91,6 +96,16 @@ def weekly_action_counts(stream: DataFrame, delay: str = "1 day", width: str = "
     )
 
 
+def close_panel(closed: DataFrame, stored: DataFrame, width: str = "7 days") -> DataFrame:
+    """Closed windows of a stream and the windows after them, counted from the stored rows."""
+    edge = closed.agg(F.max("window_end").alias("_edge"))
+    later = with_scalar(stored, edge).where(F.col("_edge").isNull() | (F.col("ts") >= F.col("_edge"))).drop("_edge")
+    counted = later.dropDuplicates(["chain_id", "tx_hash", "log_index"]).groupBy(F.window("ts", width), "chain_id", "action")
+    counts = counted.agg(F.count(F.lit(1)).alias("event_count"))
+    opened = counts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "chain_id", "action", "event_count")
+    return closed.unionByName(opened)
+
+
 def run_to_table(result: DataFrame, store: str) -> str:
     """Drain a windowed stream into a Parquet table of closed windows and stop."""
     job = (
