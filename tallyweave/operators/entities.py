@@ -70,6 +70,7 @@ def classify_code(records: DataFrame) -> DataFrame:
     )
     f, l = F.col("_f_present"), F.col("_l_present")
     same = F.col("_f_sha256") == F.col("_l_sha256")
+    # fixed values: names of the presence, type and family classes
     presence = (
         F.when(~f & ~l, F.lit("no_runtime_code_observed"))
         .when(f & l & same, F.lit("stable_runtime_code"))
@@ -114,6 +115,7 @@ def attach_registry(panel: DataFrame, registry: DataFrame, key: str, columns: li
     return joined.drop("_known")
 
 
+# Text columns of a label
 LABEL_TEXT = (
     "address_label", "entity_id", "entity_label", "entity_category", "entity_scope", "infrastructure_category",
     "source_id", "source_url", "source_revision", "source_path", "review_status", "notes",
@@ -163,6 +165,7 @@ def versioned_registry(universe: DataFrame, facts: DataFrame, labels: DataFrame,
     )
 
 
+# Registry columns that measurements carry
 REGISTRY_FIELDS = [
     "contract_observed", "infrastructure_family_id", "curated_entity_key", "high_confidence_entity_label", "economic_actor_resolved", "entity_scope",
 ]

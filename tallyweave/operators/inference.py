@@ -302,6 +302,7 @@ def uncertainty_ledger(chain_panel: DataFrame, gaps: DataFrame, labels: dict[str
         _ledger_rows(
             chain_fit,
             {
+                # fixed values here and below: family, term and status texts of a published ledger
                 "analysis_family": F.lit("Chain-relative pre/post"),
                 "outcome": F.concat("chain", F.lit(": "), "label"),
                 "term": F.lit("Post-minus-pre weekly mean"),

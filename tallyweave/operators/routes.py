@@ -11,7 +11,7 @@ from tallyweave.operators.contracts import ContractError, duplicate_keys, requir
 from tallyweave.operators.sizing import with_scalar
 from tallyweave.sources.fingerprint import dataset_fingerprint
 
-# Required provenance of a route event
+# Required provenance of a route event and columns of a paired message
 ROUTE_COLUMNS = (
     "route_id", "protocol", "source_chain_id", "destination_chain_id", "source_token_pool", "destination_token_pool",
     "source_router", "destination_router", "lane_activation_tx", "lane_activation_block", "message_id", "source_tx_hash",
