@@ -137,17 +137,24 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Every round takes the least root among the neighbours and then the root of that root, so
     the number of rounds grows with the logarithm of a class's diameter; it ends when no root
-    changes. Each round is written to the shared folder, nothing is collected.
+    changes. Each round is written to the shared folder, nothing is collected. A vertex with many
+    neighbours and the root of a giant class are hot keys; both look-ups are split by
+    :func:`join_groups`.
     """
     one = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b")
     both = cut(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "vertex"))
+    roots = cut(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.first("a")).alias("root"), F.count(F.lit(1)).alias("n")))
     while True:
-        near = both.join(roots, both.b == roots.vertex).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(near, roots.vertex == near.a).select("vertex", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        up = step.select(F.col("vertex").alias("_v"), F.col("root").alias("_up"))
-        new = cut(step.join(up, step.root == up._v).select("vertex", F.least("root", "_up").alias("root"), "was"))
+        looked = join_groups(both, roots.withColumnRenamed("vertex", "b"), ["b"], "n", "inner")
+        near = looked.groupBy("a").agg(F.min("root").alias("near"))
+        step = roots.join(near, roots.vertex == near.a)
+        step = cut(step.select("vertex", F.least("root", "near").alias("root"), F.col("root").alias("was"), "n"))
+        sizes = step.groupBy("root").agg(F.count(F.lit(1)).alias("_size"))
+        above = step.select(F.col("vertex").alias("_v"), F.col("root").alias("_up"))
+        ups = cut(sizes.join(above, sizes.root == above._v).drop("_v"))
+        jumped = join_groups(step, ups, ["root"], "_size", "inner")
+        new = cut(jumped.select("vertex", F.least("root", "_up").alias("root"), "was", "n"))
         moved = new.filter("root <> was").limit(1).count()
         roots = new.drop("was")
         if not moved:
-            return roots
+            return roots.drop("n")
