@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field beside them.
 
 The field tags tokens (runs of letters and digits, or single signs) as secret begin, inside or
-outside from their shape, their neighbours and features of the whole file, and is decoded by
-Viterbi. Only chunks between white space in which a letter meets a digit may hold tagged tokens;
-all other tokens are outside by definition, so the chain falls apart there and decoding runs over
-those chunks alone without changing its result. It is trained here, on pattern spans of a bounded
-sample of chunks and on generated lines.
+outside from their shape, their neighbours, the chunk between white space that they lie in, and
+features of the whole file. One chain runs over all tokens of a whole text and is decoded by
+Viterbi. A token whose score for outside exceeds the others by more than any neighbours can make
+up for is outside in every best sequence; the chain falls apart there, so the decoding loop skips
+such tokens without changing the result. The field is trained here, on pattern spans of a bounded
+sample of pieces and on generated lines.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from pyspark.sql import types as T
 
 from tallyweave.session import cut
 
-#: Chunks of the corpus that training may use: those with the smallest hashes.
+#: Pieces of the corpus that training may use: those with the smallest hashes.
 SAMPLE_CHUNKS = 1_500
 EPOCHS, RATE, DECAY, SEED = 6, 0.3, 1e-4, 7
-#: A field span shorter than this is not reported.
-SHORTEST = 8
+#: A field span shorter than this is not reported (values of the base patterns count from here too).
+SHORTEST = 6
 
 # Base patterns (fixed values) and the least length of the group that counts.
 KINDS = ("assign", "access", "hex", "crf")
@@ -37,14 +38,20 @@ ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_MEET = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
-_BLANK = re.compile(r"\s")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]")
-_NEAR = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]")
-#: Characters around a chunk in which neighbouring words are looked for.
-REACH = 60
+_PART = re.compile(r"[A-Za-z0-9]+|\s+|[^A-Za-z0-9\s]")
+#: Where training looks for pieces: a letter beside a digit, a long run, digits parted by a sign, a rule word, or a fixed stride.
+_CUE = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]|[A-Za-z0-9]{14}|[0-9][-_.][A-Za-z0-9]|(?:passw|pwd|secret|token|key|auth|bearer|credential|login)", re.I)
+STRIDE, REACH = 2_000, 60  # characters between plain pieces; characters around a cue
+#: Tokens in front of a token in which a rule word counts.
+RULE_REACH = 4
+#: Different tokens whose kinds a task keeps between texts.
+CACHE = 1 << 17
 TAGS = 3  # outside, begin, inside
 _RULES = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "login")
+_DIGITS, _FLIPS = re.compile("[0-9]+|[^0-9]+"), re.compile("[a-z][A-Z]")
+_RULED = re.compile("(?ai)" + "|".join(_RULES))
+_VOWELS = str.maketrans("", "", "aeiouAEIOU")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -59,27 +66,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def chunks(text: str) -> Iterator[tuple[int, int]]:
-    """Maximal stretches of neighbouring chunks in which a letter meets a digit."""
-    first = last = end = -1
-    for m in _MEET.finditer(text):
-        if m.start() < end:
-            continue
-        start = m.start()
-        while start > 0 and not text[start - 1].isspace():
-            start -= 1
-        stop = _BLANK.search(text, m.end())
-        end = stop.start() if stop else len(text)
-        if last >= 0 and not text[last:start].strip():
-            last = end
-            continue
-        if last >= 0:
-            yield first, last
-        first, last = start, end
-    if last >= 0:
-        yield first, last
-
-
 def file_features(text: str) -> list[str]:
     low = text.lower()
     lines = text.count("\n") + 1
@@ -96,35 +82,64 @@ def _shape(token: str) -> str:
     return "".join(k for k, on in zip("aA9", kinds, strict=True) if on)
 
 
-def token_features(text: str, start: int, end: int, whole: list[str]) -> tuple[list[tuple[int, int]], list[list[str]]]:
-    """Spans and features of the tokens of one stretch."""
-    spots = [(m.start() + start, m.end() + start) for m in _TOKEN.finditer(text[start:end])]
-    before = [m[0].lower() for m in _NEAR.finditer(text[max(0, start - REACH) : start])][-3:]
-    after = [m[0] for m in _NEAR.finditer(text[end : end + REACH])][:1]
-    names = [*before, *[text[a:b].lower() for a, b in spots]]
-    mail = "@" in text[start:end]
-    link = "://" in text[start:end]
-    features = []
-    for i, (a, b) in enumerate(spots):
-        token = text[a:b]
-        past = names[max(0, i + len(before) - 4) : i + len(before)]
-        rule = next((j for j, w in enumerate(reversed(past), 1) if any(r in w for r in _RULES)), 0)
-        following = text[spots[i + 1][0] : spots[i + 1][1]] if i + 1 < len(spots) else (after[0] if after else "")
-        turns = sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:], strict=False))
+def _rule(token: str) -> bool:
+    return _RULED.search(token) is not None
+
+
+def kind_of(token: str) -> tuple:
+    """All that the features of a token depend on."""
+    n = len(token)
+    if n == 1 and not (token.isascii() and token.isalnum()):
+        return token if token.isascii() else "other", 0, 0, 0, False, False, 0, -1, False, token
+    low, alpha = token.islower(), token.isalpha()
+    if low and alpha:
+        shape, turns, flips = "a", 0, 0
+    else:
         shape = _shape(token)
-        features.append(
-            [
-                "bias", f"shape={shape}", f"length={min(len(token) // 4, 8)}", f"turns={min(turns, 6)}",
-                f"shape={shape}|length={min(len(token) // 6, 5)}", f"hex={len(token) >= 8 and not token.strip('0123456789abcdef')}",
-                f"rule={rule}", f"before={past[-1] if past and not past[-1].isalnum() else 'word' if past else 'none'}",
-                f"rule={rule > 0}|shape={shape}", f"next={_shape(following) if following else 'none'}",
-                f"glued={a > start and not text[a - 1].isspace()}|{shape}", f"first={i == 0}", f"mail={mail}", f"link={link}",
-                f"akia={token.startswith('AKIA')}", *whole,
-            ]
-        )
+        turns = 0 if alpha else min(len(_DIGITS.findall(token)) - 1, 6)
+        flips = 0 if low else min(len(_FLIPS.findall(token)), 4)
+    hexes = n >= 8 and not token.strip("0123456789abcdef")
+    vowels = 5 * (n - len(token.translate(_VOWELS))) // n if alpha and n >= 8 else -1
+    return shape, min(n // 4, 8), min(n // 6, 5), turns, hexes, token.startswith("AKIA"), flips, vowels, _rule(token), "word"
+
+
+def own_features(kind: tuple) -> list[str]:
+    """Features of a token alone."""
+    shape, length, wide, turns, hexes, akia, flips, vowels, _, _ = kind
+    out = ["bias", f"shape={shape}", f"length={length}", f"turns={turns}", f"shape={shape}|length={wide}", f"hex={hexes}", f"akia={akia}", f"flips={flips}"]
+    return [*out, f"vowels={vowels}|{shape}"] if vowels >= 0 else out
+
+
+def _chunk_kind(groups: int, letters: bool, capitals: bool, digits: bool) -> int:
+    return min(groups, 4) * 8 + letters * 4 + capitals * 2 + digits
+
+
+def token_features(text: str, whole: list[str]) -> tuple[list[tuple[int, int]], list[list[str]]]:
+    """Spans and features of all tokens of a text."""
+    spots, features, at = [], [], 0
+    for chunk in re.findall(r"\S+", text):
+        start = text.index(chunk, at)
+        at = start + len(chunk)
+        tokens = _TOKEN.findall(chunk)
+        kind = _chunk_kind(sum(t.isascii() and t.isalnum() for t in tokens), *(any(re.search(x, t) for t in tokens) for x in ("[a-z]", "[A-Z]", "[0-9]")))
+        for m in _TOKEN.finditer(chunk):
+            spots.append((m.start() + start, m.end() + start))
+            features.append([f"glued={m.start() > 0}|{_shape(m[0])}", f"mail={'@' in chunk}", f"link={'://' in chunk}", f"chunk={kind}"])
+    names = [text[a:b] for a, b in spots]
+    for i, token in enumerate(names):
+        rule = next((j for j in range(1, min(i, RULE_REACH) + 1) if _rule(names[i - j])), 0)
+        features[i] += own_features(kind_of(token))
+        features[i] += [
+            f"rule={rule}", f"rule={rule > 0}|shape={_shape(token)}", f"before={_before(names[i - 1]) if i else 'none'}",
+            f"next={_shape(names[i + 1]) if i + 1 < len(names) else 'none'}", *whole,
+        ]
     return spots, features
 
 
+def _before(token: str) -> str:
+    return "word" if token.isascii() and token.isalnum() else token
+
+
 class Field:
     """A linear chain over three tags with weights per (feature, tag) and (tag, tag)."""
 
@@ -192,6 +207,157 @@ class Field:
         return self
 
 
+class _Ids(dict):
+    """A number for every different token, made when it is first asked for."""
+
+    def __init__(self, make):  # noqa: ANN001
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = self.make(part)
+        return number
+
+
+class Chain:
+    """Scores and best tags of whole texts under a field, by table look-ups per different token.
+
+    Same features and same best sequence as :func:`token_features` with :meth:`Field.decode`.
+    """
+
+    # Columns of the scores of a kind: free, glued, free near a rule word, glued near one, as the token before, as the token after.
+    _WIDE, _RULE, _BEFORE, _NEXT = 6, 2, 4, 5
+
+    def __init__(self, field: Field):
+        self.field = field
+        moves = field.moves
+        self._moves = moves.tolist()
+        w = field.weights
+        self._of = lambda *names: [sum(w[f][t] for f in names if f in w) for t in range(TAGS)]
+        self._rules = np.array([self._of(f"rule={k}") for k in range(1, RULE_REACH + 1)])
+        self._around = np.array([self._of(f"chunk={k}", f"mail={m}", f"link={x}") for x in (False, True) for m in (False, True) for k in range(40)])
+        self._none = np.array(self._of("before=none")), np.array(self._of("next=none"))
+        # What the moves can add at most if a token is tagged t and not outside: where no inside
+        # follows, and where one follows and becomes a begin.
+        last = np.append(moves[:TAGS], np.zeros((TAGS, 1)), axis=1)  # the last column: no token follows
+        came = [max(moves[p, t] - moves[p, 0] for p in range(TAGS + 1)) for t in (1, 2)]
+        goes = [max(last[t, n] - last[0, n] for n in (0, 1, TAGS)) for t in (1, 2)]
+        again = max(last[2, n] - last[1, n] for n in range(TAGS + 1))
+        self._bound = [c + g for c, g in zip(came, goes, strict=True)]
+        self._bound_inside = [c + moves[t, 2] - moves[0, 1] + again for t, c in zip((1, 2), came, strict=True)]
+        self._kinds: dict[tuple, int] = {}
+        self._scores = np.zeros((1024 * self._WIDE, TAGS))
+        self._facts = np.zeros((4, 1024), np.int64)  # rule word, run, letters and digits in it, sign
+        self._ids = _Ids(self._id)
+
+    def _id(self, part: str) -> int:
+        """Number of the token's kind; 0 is white space."""
+        if part.isspace():
+            return 0
+        kind = kind_of(part)
+        if kind[-1] != "word" and f"before={kind[-1]}" not in self.field.weights and kind[-1] not in "@:/":
+            kind = (*kind[:-1], "unseen")
+        k = self._kinds.get(kind)
+        if k is None:
+            k = self._kinds[kind] = len(self._kinds) + 1
+            if k == self._facts.shape[1]:
+                self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
+                self._facts = np.concatenate([self._facts, np.zeros_like(self._facts)], axis=1)
+            shape, before = kind[0], kind[-1]
+            run = before == "word"
+            mix = 4 * ("a" in shape) + 2 * ("A" in shape) + ("9" in shape) if run else 0
+            self._facts[:, k] = [kind[8], run, mix, {"@": 1, ":": 2, "/": 3}.get(before, 0)]
+            own, free, glued = own_features(kind), f"glued=False|{shape}", f"glued=True|{shape}"
+            near, far = f"rule=True|shape={shape}", f"rule=False|shape={shape}"
+            self._scores[k * self._WIDE : (k + 1) * self._WIDE] = [
+                self._of(*own, far, "rule=0", free), self._of(*own, far, "rule=0", glued), self._of(*own, near, free), self._of(*own, near, glued),
+                self._of(f"before={before}"), self._of(f"next={shape}"),
+            ]
+        return k
+
+    def emissions(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and tag scores of every token."""
+        if len(self._ids) > CACHE:
+            self._ids.clear()
+        parts = _PART.findall(text)
+        ids = np.fromiter(map(self._ids.__getitem__, parts), np.int64, len(parts))
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        is_token = ids > 0
+        spot = np.flatnonzero(is_token)
+        n = len(spot)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TAGS))
+        chunk = np.cumsum(~is_token)[spot]  # white space parts tokens, so equal numbers share a chunk
+        lengths = np.diff(ends, prepend=0)[spot]
+        ids, ends = ids[spot], ends[spot]
+        starts = ends - lengths
+        known = self._facts
+        glued = np.zeros(n, bool)
+        glued[1:] = chunk[1:] == chunk[:-1]
+        heads = np.flatnonzero(~glued)
+        of = np.cumsum(~glued) - 1
+        sign = known[3].take(ids)
+        mail = np.maximum.reduceat(sign == 1, heads)
+        link = np.zeros(n, bool)
+        if n > 2:
+            link[:-2] = (sign[:-2] == 2) & (sign[1:-1] == 3) & (sign[2:] == 3) & glued[1:-1] & glued[2:]
+        link = np.maximum.reduceat(link, heads)
+        groups = np.minimum(np.add.reduceat(known[1].take(ids), heads), 4)
+        kinds = np.bitwise_or.reduceat(known[2].take(ids), heads)
+        rule = np.zeros(n, np.int64)
+        cues = np.flatnonzero(known[0].take(ids))
+        for k in range(RULE_REACH, 0, -1):
+            at = cues + k
+            rule[at[at < n]] = k
+        base = ids * self._WIDE
+        emit = self._scores.take(base + glued + self._RULE * (rule > 0), axis=0)
+        at = np.flatnonzero(rule)
+        emit[at] += self._rules[rule[at] - 1]
+        emit[1:] += self._scores.take(base[:-1] + self._BEFORE, axis=0)
+        emit[:-1] += self._scores.take(base[1:] + self._NEXT, axis=0)
+        emit[0] += self._none[0]
+        emit[-1] += self._none[1]
+        around = self._around.take(groups * 8 + kinds + 40 * mail + 80 * link, axis=0) + np.array(self._of(*file_features(text)))
+        emit += around.take(of, axis=0)
+        return starts, ends, emit
+
+    def decode(self, emit: np.ndarray) -> list[tuple[int, int]]:
+        """Token index and tag of every token that is not outside in the best sequence."""
+        ahead = np.full(len(emit), -np.inf)
+        ahead[:-1] = emit[1:, 2] - emit[1:, 1]
+        open_ = np.zeros(len(emit), bool)
+        for t, bound, inside in zip((1, 2), self._bound, self._bound_inside, strict=True):
+            open_ |= emit[:, 0] - emit[:, t] <= np.maximum(bound, inside + ahead) + 1e-9
+        at = np.flatnonzero(open_)
+        out: list[tuple[int, int]] = []
+        if not len(at):
+            return out
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+            first, last = int(run[0]), int(run[-1])
+            out += self._best(first, emit[first : last + 1].tolist(), last + 1 < len(emit))
+        return out
+
+    def _best(self, first: int, emit: list[list[float]], more: bool) -> list[tuple[int, int]]:
+        moves = self._moves
+        came = moves[0] if first else moves[TAGS]
+        best, back = [c + e for c, e in zip(came, emit[0], strict=True)], []
+        for row in emit[1:]:
+            new, froms = [], []
+            for t in range(TAGS):
+                values = [best[p] + moves[p][t] for p in range(TAGS)]
+                top = max(values)
+                froms.append(values.index(top))
+                new.append(top + row[t])
+            best = new
+            back.append(froms)
+        if more:  # the next token is outside
+            best = [b + moves[t][0] for t, b in enumerate(best)]
+        tags = [best.index(max(best))]
+        for froms in reversed(back):
+            tags.append(froms[tags[-1]])
+        return [(first + i, t) for i, t in enumerate(reversed(tags)) if t]
+
+
 def label(spots: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[int]:
     """Tags of tokens under secret spans (the value, without the name before it)."""
     tags, inside = [], None
@@ -218,6 +384,7 @@ def generated(n: int = 600, seed: int = SEED) -> list[tuple[list[list[str]], lis
 
     hexes, alnum = "0123456789abcdef", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
     words = "the and of to is here value note see from with item page user order list".split()
+    long = "correct horse battery staple monday river window orange purple dragon summer garden winter market engine simple forest castle silver".split()
 
     def secret() -> str:
         return rng.choice([
@@ -233,73 +400,124 @@ def generated(n: int = 600, seed: int = SEED) -> list[tuple[list[list[str]], lis
             lambda: f"{chars(alnum[:24], 4, 8)}_{rng.randint(1, 99)}.txt",
         ])()
 
+    def letters() -> str:
+        return rng.choice([
+            lambda: "".join(rng.choice(long) for _ in range(rng.randint(2, 4))), lambda: chars(alnum[:48], 14, 30), lambda: chars(alnum[:24], 12, 24), lambda: chars(alnum[24:48], 12, 24),
+        ])()
+
+    def parted() -> str:
+        sign, kind = rng.choice("--_."), rng.choice([alnum[24:48], "0123456789", alnum[24:48] + "0123456789", hexes])
+        size = rng.choice([4, 4, 5, 6])
+        if rng.random() < 0.4:
+            return sign.join(chars(rng.choice([alnum[24:48], "0123456789"]), size, size) for _ in range(rng.randint(3, 5)))
+        return sign.join(chars(kind, size, size) for _ in range(rng.randint(3, 5)))
+
+    def alike() -> str:
+        """Lines with rule words or secret-like shapes that hold no secret."""
+        name = rng.choice(_RULES)
+        return rng.choice([
+            lambda: f"the {name} is {rng.choice(['required', 'wrong', 'missing', 'optional', 'described', 'important', 'necessary'])}", lambda: f"{name} {rng.choice(long)} {rng.choice(long)}",
+            lambda: f"{name}: {rng.choice(['string', 'none', 'required', 'optional', 'integer', 'see below'])}", lambda: f"{name} = {rng.choice(['None', 'null', 'value', 'getUserName()', 'request.headers'])}",
+            lambda: f"{rng.choice(long)}-{rng.choice(long)}-{rng.choice(long)}", lambda: f"{rng.choice(['internationalization', 'responsibilities', 'characteristics', 'telecommunications'])}",
+            lambda: f"{rng.randint(1, 999)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}", lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)), lambda: f"{rng.randint(1, 9)},{rng.randint(100, 999)},{rng.randint(100, 999)}",
+            lambda: f"{rng.choice(long)}{rng.choice(long).title()}{rng.choice(long).title()}({rng.choice(long)})", lambda: f"{rng.randint(1, 10**9)}", lambda: f"{name} {rng.choice(words)} {rng.choice(words)}",
+            lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", lambda: f"{rng.choice(['author', 'authority', 'keyboard', 'monkey', 'tokens'])} {rng.choice(long)}", lambda: f"{rng.choice(long)}_{rng.choice(long)}_{rng.choice(long)}",
+        ])()
+
     out = []
     for _ in range(n):
         near = " ".join(rng.choice(words) for _ in range(4))
         if rng.random() < 0.5:
-            value, name = secret(), rng.choice(_RULES)
-            setting = rng.choice(["{} is {}", "{}={}", "{}: {}", '{} = "{}"', "{} -> {}", "{} {}", "my {} was {}"])
+            value, name = rng.choice([secret, secret, letters, parted, lambda: chars("0123456789", 8, 20)])(), rng.choice([*_RULES, *_RULES, "Authorization: Bearer", "license key", "DB_PASSWORD"])
+            setting = rng.choice(["{} is {}", "{}={}", "{}: {}", '{} = "{}"', "{} -> {}", "{} {}", "my {} was {}", "'{}': '{}'"])
+            if name.endswith("Bearer"):
+                setting = "{} {}"
             head = f"{near} " + setting.partition("{}")[0] + name + setting.partition("{}")[2].partition("{}")[0]
             text = head + value + setting.rpartition("{}")[2] + " " + near
             spans = [(len(head), len(head) + len(value))]
-        else:
+        elif rng.random() < 0.5:
             text, spans = f"{near} {rng.choice(['', 'token ', 'key ', 'id '])}{harmless()} {near}", []
-        whole = file_features(text)
-        for start, end in chunks(text):
-            spots, features = token_features(text, start, end, whole)
-            out.append((features, label(spots, spans)))
+        else:
+            text, spans = f"{near} {alike()} {near}", []
+        spots, features = token_features(text, file_features(text))
+        out.append((features, label(spots, spans)))
     return out
 
 
+def pieces(text: str) -> Iterator[str]:
+    """Stretches around what may be a secret, and one in every ``STRIDE`` characters, cut at white space."""
+    done = at = 0
+    while at < len(text):
+        m = _CUE.search(text, at, at + STRIDE)
+        here = m.start() if m else at
+        low, high = max(done, here - REACH), min(len(text), (m.end() if m else at) + REACH)
+        piece = text[low:high]
+        if low and not text[low - 1].isspace():
+            piece = piece.partition(" ")[2]
+        if high < len(text) and not text[high].isspace():
+            piece = piece.rpartition(" ")[0]
+        if piece.strip():
+            yield piece
+        done = high
+        at = high if m else at + STRIDE
+
+
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_CHUNKS) -> Field:
-    """A field fitted to generated lines and to at most ``sample`` chunks of ``docs`` that patterns label."""
-    schema = "h string, example string"
+    """A field fitted to generated lines and to at most ``sample`` pieces of ``docs`` that patterns label.
+
+    Pieces come from the ``sample`` texts with the smallest hashes. Every task passes on those of
+    its pieces with the smallest hashes, at most ``sample``.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[str, str]] = {}
+        limit = 1 << 64
         for batch in batches:
-            held: list[tuple[str, str]] = []
             for value in batch.column(0):
                 whole = value.as_py()
-                near: list[str] | None = None
-                for start, end in chunks(whole):
-                    if end - start > 400:
-                        continue  # not an example; decoding has no such limit
-                    near = near or file_features(whole)
-                    spots, features = token_features(whole, start, end, near)
-                    low = max(0, start - REACH)
-                    spans = [(a + low, b + low) for a, b in values(whole[low : end + REACH])]
-                    example = json.dumps([features, label(spots, spans)])
-                    held.append((hashlib.md5(example.encode()).hexdigest(), example))
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.string()), pa.array([e for _, e in held], pa.string())], ["h", "example"])
+                near: str | None = None
+                for piece in pieces(whole):
+                    h = int.from_bytes(hashlib.blake2b(piece.encode(errors="replace"), digest_size=8).digest(), "big")
+                    if h >= limit:
+                        continue
+                    near = near or json.dumps(file_features(whole))
+                    held[h] = min(held.get(h, (near, piece)), (near, piece))
+                    if len(held) >= 2 * sample:
+                        held = dict(sorted(held.items())[:sample])
+                        limit = max(held) + 1
+        kept = sorted(held.items())[:sample]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f"{h:016x}" for h, _ in kept], pa.string()), pa.array([x[0] for _, x in kept], pa.string()), pa.array([x[1] for _, x in kept], pa.string())],
+            ["h", "near", "piece"],
+        )
 
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    found = cut(texts.mapInArrow(emit, schema).dropDuplicates(["h"]))
-    total = found.count()
-    few = found
-    if total > 2 * sample:  # about twice the sample lies below this hash, so tasks send no more than that
-        few = found.filter(F.col("h") < f"{(2 * sample << 128) // total:032x}")
-        if few.count() < sample:
-            few = found
-    rows = few.orderBy("h").limit(sample).collect()
-    return Field().fit(generated() + [tuple(json.loads(r["example"])) for r in rows])
-
-
-def field_spans(text: str, field: Field, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    drawn = F.xxhash64("_text")
+    few = [r["h"] for r in texts.select(drawn.alias("h")).distinct().orderBy("h").limit(sample).collect()]
+    texts = texts.filter(drawn <= max(few, default=0))
+    found = texts.mapInArrow(emit, "h string, near string, piece string").groupBy("h").agg(F.min(F.struct("near", "piece")).alias("x"))
+    examples = []
+    for row in found.orderBy("h").limit(sample).collect():
+        piece = row["x"]["piece"]
+        spots, features = token_features(piece, json.loads(row["x"]["near"]))
+        examples.append((features, label(spots, values(piece))))
+    return Field().fit(generated() + examples)
+
+
+def field_spans(text: str, chain: Chain, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans that the field tags and that touch none of ``taken``."""
-    out: list[tuple[int, int, str]] = []
-    whole: list[str] | None = None
-    for start, end in chunks(text):
-        whole = whole or file_features(text)
-        spots, features = token_features(text, start, end, whole)
-        found: list[list[int]] = []
-        for (a, b), tag in zip(spots, field.decode(features), strict=True):
-            if tag == 1 or (tag == 2 and (not found or found[-1][1] != a)):
-                found.append([a, b])
-            elif tag == 2:
-                found[-1][1] = b
-        near = [s for s in taken if s[0] < end and s[1] > start] if found else []
-        out += [(a, b, "crf") for a, b in found if b - a >= SHORTEST and not any(s[0] < b and s[1] > a for s in near)]
-    return out
+    starts, ends, emit = chain.emissions(text)
+    if not len(emit):
+        return []
+    found: list[list[int]] = []
+    before = -1
+    for i, tag in chain.decode(emit):
+        if tag == 2 and found and before == i - 1 and starts[i] == found[-1][1]:
+            found[-1][1] = int(ends[i])
+        else:
+            found.append([int(starts[i]), int(ends[i])])
+        before = i
+    return [(a, b, "crf") for a, b in found if b - a >= SHORTEST and not any(s[0] < b and s[1] > a for s in taken)]
 
 
 def scan_secrets(docs: DataFrame, field: Field | None = None, text: str = "text") -> DataFrame:
@@ -322,7 +540,7 @@ def scan_secrets(docs: DataFrame, field: Field | None = None, text: str = "text"
     arrow = to_arrow_schema(T.StructType([T.StructField("secrets", spot)])).field(0).type
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Field(weights, moves)
+        known = Chain(Field(weights, moves))
         for batch in batches:
             found = []
             for value in batch.column(len(names)):
