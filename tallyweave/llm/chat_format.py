@@ -22,10 +22,6 @@ from pyspark.sql import types as T
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
 
-#: Turns that are rendered together. Longer conversations are formatted in sections of so many
-#: turns, which bounds memory and the quadratic cost of rendering every prefix.
-SECTION = 512
-
 # Marks of the default template (fixed values).
 MARKS = {"system": ("[SYS] ", " [/SYS]"), "user": ("[INST] ", " [/INST]"), "assistant": ("[ANS] ", " </s>")}
 START, OTHER = "<s>", ("[ROLE {}] ", " [/ROLE]")
@@ -57,12 +53,11 @@ def marked(turns: Turns) -> str:
 
 
 def read_marked(formatted: str) -> Turns:
-    """The turns of an output of :func:`marked`, in one or more sections."""
-    turns, at = [], 0
+    """The turns of an output of :func:`marked`."""
+    if not formatted.startswith(START):
+        raise ValueError("no start")
+    turns, at = [], len(START)
     while at < len(formatted):
-        if formatted.startswith(START, at):
-            at += len(START)
-            continue
         m = _TURN.match(formatted, at)
         if not m:
             raise ValueError(f"no turn at character {at}")
@@ -129,16 +124,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple
 
 def format_chats(
     conversations: DataFrame, template: Template = marked, key: str = "conv_id", turn: str = "turn", role: str = "role",
-    text: str = "text", section: int = SECTION,
+    text: str = "text", section: int | None = None,
 ) -> DataFrame:
-    """One row per conversation section: ``key``, ``section``, ``formatted``, ``spans``, ``rewrites``.
+    """One row per conversation: ``key``, ``formatted``, ``spans``, ``rewrites``.
 
     ``spans`` has per turn its role, its span, the span of its text (null if the template changed
     it in place) and ``loss``, true for assistant turns with a known text span in a template that
     kept its history. Spans count code points. Turns are ordered by turn, then role, then text
     (nulls first; a null role or text is empty; repeated rows are turns of their own; rows with a
     null key form one conversation). Other columns are ignored; an empty table gives no rows. A
-    conversation streams through one task, a section at a time.
+    conversation of any length is rendered whole, by every prefix, in one task, so it costs the
+    square of its turns. ``section`` is accepted from older callers and has no effect.
     """
     rows = conversations.select(
         F.col(key).alias("_key"), F.col(turn).alias("_turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("_role"),
@@ -151,7 +147,7 @@ def format_chats(
     )
     schema = T.StructType(
         [
-            T.StructField(key, kind), T.StructField("section", T.LongType()), T.StructField("formatted", T.StringType()),
+            T.StructField(key, kind), T.StructField("formatted", T.StringType()),
             T.StructField("spans", T.ArrayType(spot)), T.StructField("rewrites", T.ArrayType(T.LongType())),
         ]
     )
@@ -161,31 +157,21 @@ def format_chats(
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value, group in _whole_groups(batches, "_key"):
-            held: Turns = []
-            number = 0
-
-            def finish() -> pa.RecordBatch:
-                found = locate(template, held)
-                spans = []
-                for (who, _), (a, b), inner in zip(held, found.spans, found.contents, strict=True):
-                    c, d = inner if inner else (None, None)
-                    spans.append({"role": who, "start": a, "end": b, "text_start": c, "text_end": d, "loss": who == "assistant" and inner is not None and not found.rewrites})
-                row = {key: value, "section": number, "formatted": found.text, "spans": spans, "rewrites": found.rewrites}
-                return pa.RecordBatch.from_pylist([row], schema=arrow)
-
-            for row in group:
-                if len(held) == section:
-                    yield finish()
-                    held, number = [], number + 1
-                held.append((row["_role"], row["_text"]))
-            yield finish()
+            held: Turns = [(row["_role"], row["_text"]) for row in group]
+            found = locate(template, held)
+            spans = []
+            for (who, _), (a, b), inner in zip(held, found.spans, found.contents, strict=True):
+                c, d = inner if inner else (None, None)
+                spans.append({"role": who, "start": a, "end": b, "text_start": c, "text_end": d, "loss": who == "assistant" and inner is not None and not found.rewrites})
+            row = {key: value, "formatted": found.text, "spans": spans, "rewrites": found.rewrites}
+            yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     ordered = rows.repartition("_key").sortWithinPartitions("_key", "_turn", "_role", "_text")
     return ordered.mapInArrow(rendered, schema)
 
 
 def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
-    """What is read back from outputs of :func:`marked`, per conversation, sections in order.
+    """What is read back from outputs of :func:`marked`, per conversation.
 
     ``n_turns``, ``turns_sha256`` (role, line break, text, line break per turn), ``loss_chars`` and
     ``loss_sha256`` (texts under the loss mask, unescaped), ``formatted_chars``, ``n_rewrites``.
@@ -221,4 +207,4 @@ def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
             out = [value, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars, rewrites]
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, out, strict=True))], schema=arrow)
 
-    return formatted.repartition(key).sortWithinPartitions(key, "section").mapInArrow(read, schema)
+    return formatted.repartition(key).sortWithinPartitions(key).mapInArrow(read, schema)

@@ -95,6 +95,19 @@ def test_chats_of_a_table(spark):
     assert chat_format.format_chats(table.limit(0)).count() == 0
 
 
+def test_a_long_conversation_is_rendered_whole(spark):
+    turns = [("system", "be brief")] + [("user" if i % 2 else "assistant", f"t{i}") for i in range(1, 600)]
+    table = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    (got,) = chat_format.format_chats(table).collect()
+    assert got["formatted"] == chat_format.marked(turns) and got["formatted"].count(chat_format.START) == 1 and len(got["spans"]) == 600
+
+    def forgets(some):  # from turn 560 on, the first turn is cut
+        return "".join(f"<{r}>{t[:2] if i == 0 and len(some) > 560 else t}" for i, (r, t) in enumerate(some))
+
+    (late,) = chat_format.format_chats(table, forgets).collect()
+    assert late["rewrites"] == [560] and not any(s["loss"] for s in late["spans"])
+
+
 # ---- sharding
 
 
