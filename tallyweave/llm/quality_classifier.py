@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,8 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     known = known.dropDuplicates(["_key"]).withColumn("_h", F.xxhash64(F.lit("sample"), "_key"))
     third = sample // 3
-    rare = [known.filter(F.col("_label") == v).orderBy("_h").limit(third) for v in (0, 1)]
-    taken = rare[0].unionByName(rare[1]).unionByName(known.orderBy("_h").limit(sample - 2 * third)).dropDuplicates(["_key"])
+    first = [known.filter(F.col("_label") == v).orderBy("_h", "_key").limit(sample) for v in (0, 1)]
+    # ranks over at most twice ``sample`` rows of three numbers
+    ranked = first[0].unionByName(first[1]).withColumn("_rank", F.row_number().over(Window.partitionBy("_label").orderBy("_h", "_key")))
+    taken = ranked.orderBy(F.col("_rank") > third, "_h", "_key").limit(sample).drop("_rank")
     side = F.broadcast(taken)  # at most ``sample`` rows of three numbers
     rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     rows = rows.join(side, F.col("_k") == F.col("_key")).select("_h", "_label", "_text")

@@ -233,6 +233,14 @@ def test_quality_scores_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_sample_is_filled_to_its_bound(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(600)], "doc_id long, text string")
+    marks = docs.selectExpr("doc_id", "int(doc_id % 20 > 0) as quality")  # label 0 has fewer rows than a third of the sample
+    space = quality_classifier.train(docs, marks, sample=150)
+    rare = sum(i % 20 == 0 and zlib.crc32(str(i).encode()) % 3 != 1 for i in range(600))
+    assert rare < 50 and len(space.labels) == 150 and int((space.labels == 0).sum()) == rare
+
+
 def test_quality_scores_of_odd_tables(docs, spark):
     marks = spark.createDataFrame([(1, 1), (12, 0), (12, 0), (None, 1), (4, None), (8, 1)], "doc_id long, quality int")
     space = quality_classifier.train(docs, marks)
