@@ -46,6 +46,14 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder beside the session's intermediate tables; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, forgetting how it was made.
 
@@ -54,10 +62,8 @@ def cut(df: DataFrame) -> DataFrame:
     that multiply round after round. The tables go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "tables")
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     table = spark.read.schema(df.schema).parquet(path)
     table._cut_path = path
     return table
