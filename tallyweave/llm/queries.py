@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import chat_format, decontaminate, ngram_join, packing, quality_classifier, quality_rules, secret_scan, sharding, token_counts, warc_archive
+from tallyweave.llm import (
+    chat_format, decontaminate, ngram_join, packing, period_runs, quality_classifier, quality_rules, secret_scan, sequence_files, sharding, token_counts,
+    turn_repair, warc_archive,
+)
+from tallyweave.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,6 +122,154 @@ def op10_neighbour_vote_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(quality_classifier.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def damaged_conversations(turns: DataFrame) -> DataFrame:
+    """Conversations with the faults that the contract of op11 plants by a checksum of conversation and turn."""
+    space = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    fault = F.crc32(name.cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c).cast("string"), space) for c in ("role", "text"))
+    text = F.when(F.col("_f") == 1, "").when(F.col("_f") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("_f") == 3, 2).otherwise(1)))
+    kept = turns.withColumn("_f", fault).filter("_f <> 0")
+    return kept.select("conv_id", "turn", F.when(F.col("_f") == 4, "user").otherwise(role).alias("role"), text.alias("text"), copies.alias("_copy")).drop("_copy")
+
+
+@register
+def op11_run_length_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest audit and repaired turns of every damaged conversation."""
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = turn_repair.digests(turn_repair.repair_conversations(damaged_conversations(turns)))
+    every = turns.groupBy(F.col("conv_id").alias("_id")).agg(F.lit(1).alias("_one"))
+    joined = every.join(found, every["_id"].eqNullSafe(found["conv_id"]), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit(""), 256)
+    return joined.select(F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents in which the contract of op12 makes a tenth of the texts periodic, by a checksum of their id."""
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.call_function("div", F.col("_h"), F.lit(10))
+    parts = F.filter(F.split(F.col("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    chosen = (F.col("_h") % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    tagged = docs.withColumn("_h", checksum).withColumn("_w", F.when(chosen, parts)).withColumn("_a", g % F.size("_w"))
+    tagged = tagged.withColumn("_p", F.lit(1) + F.call_function("div", F.size("_w") - F.col("_a"), F.lit(3) + g % 8))
+    seat = F.transform(F.sequence(F.lit(0).cast("bigint"), (F.size("_w") - 1).cast("bigint")), lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")))
+    made = F.array_join(F.transform(seat, lambda i: F.get("_w", i.cast("int"))), " ")
+    return tagged.select("doc_id", F.when(F.col("_w").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+@register
+def op12_basic_factor_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, and its words without repeated periods."""
+    docs = planted_periods(_table(spark, folder, "documents").select("doc_id", "text"))
+    return period_runs.digests(period_runs.find_runs(docs))
+
+
+@register
+def op13_arrow_sequence_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from sequence files."""
+    place = scratch_folder(spark, "sequences")
+    sequence_files.write_sequences(_table(spark, folder, "documents").select("doc_id", "text"), place)
+    return sequence_files.read_documents(spark, place)
+
+
+def _crc32(text: str) -> str:
+    """SQL of the checksum of a short ASCII text, bit by bit."""
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)),"
+        " lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"
+    )
+
+
+def _edit(state: str, cost: str | int, letter: str) -> str:
+    """SQL of a state's cost (eight digits) and audit behind one more edit."""
+    return f"lpad(CAST(CAST(left({state}, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr({state}, 9) || '{letter}'"
+
+
+_KEEPS = {"s1": ("s", ["s0"]), "s2": ("u", ["s0", "s1", "s3"]), "s3": ("a", ["s2"])}
+_MOVES = {
+    to: "least(" + ", ".join(
+        [f"CASE WHEN who = '{who}' AND fault <> 'x' THEN {_edit(p, 'extra', 'K')} END" for p in froms]
+        + ([f"CASE WHEN fault <> 'x' THEN {_edit(p, '1 + extra', 'R')} END" for p in froms] if to != "s1" else []) + [_edit(to, 2, "D")]
+    ) + f") AS {to}"
+    for to, (who, froms) in _KEEPS.items()
+}
+ORACLE["op11_run_length_turn_repair"] = f"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS f
+  FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM src WHERE f <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r FROM hurt),
+rows AS (
+  SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS who, left(lag(role) OVER (PARTITION BY conv_id ORDER BY r), 1) || left(role, 1) AS pair,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut
+  FROM placed),
+marked AS (SELECT *, CASE WHEN blank OR again THEN 'x' WHEN cut THEN 't' ELSE '.' END AS fault, CASE WHEN cut THEN 5 ELSE 0 END AS extra FROM rows),
+facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id),
+path AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS r, '00000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM facts
+  UNION ALL
+  SELECT conv_id, r, {_edit("s0", 2, "D")} AS s0, {_MOVES["s1"]}, {_MOVES["s2"]}, {_MOVES["s3"]}
+  FROM (SELECT * REPLACE (least(s3, {_edit("s2", 5, "I")}) AS s3)
+        FROM (SELECT p.conv_id, m.r, m.who, m.fault, m.extra, p.s0, p.s1, p.s3, least(p.s2, {_edit("p.s0", 5, "I")}, {_edit("p.s1", 5, "I")}, {_edit("p.s3", 5, "I")}) AS s2
+              FROM path p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.r = p.r + 1))),
+best AS (
+  SELECT f.*, least(s0, s3, {_edit("s2", 5, "I")}, {_edit("(" + _edit("s1", 5, "I") + ")", 5, "I")}) AS found
+  FROM facts f JOIN path p ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.r = f.n),
+letters AS (SELECT conv_id, unnest(range(1, length(found) - 7)) AS i, substr(found, 8 + i, 1) AS letter FROM best),
+steps AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER w AS r, count(*) FILTER (letter <> 'D') OVER w AS o FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+made AS (
+  SELECT s.conv_id, s.i, s.letter, s.o, m.role, CASE WHEN s.letter = 'I' THEN '' ELSE m.text END AS text,
+         max(CASE WHEN s.o = 1 AND s.letter = 'K' AND m.who = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id) AS headed
+  FROM steps s LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.r = s.r),
+whole AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - headed) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS t
+  FROM made WHERE letter <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(left(found, 8) AS BIGINT), 0) AS cost, coalesce(substr(found, 9), '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN whole ON whole.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+ORACLE["op12_basic_factor_runs"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+plan AS (SELECT *, len(ws) AS n, h // 10 AS g, h % 10 = 0 AND len(ws) > 0 AS hit FROM d),
+seat AS (SELECT *, CASE WHEN hit THEN g % n END AS a, CASE WHEN hit THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM plan),
+word AS (
+  SELECT doc_id, i, ws[1 + CASE WHEN hit AND i >= a THEN a + (i - a) % p ELSE i END] AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM seat)),
+names AS (
+  SELECT 1 AS len, doc_id, i, dense_rank() OVER (ORDER BY doc_id, w) AS nm, lead(i) OVER (PARTITION BY doc_id, w ORDER BY i) - i AS gap,
+         count(*) OVER (PARTITION BY doc_id, w) AS copies
+  FROM word
+  UNION ALL
+  SELECT 2 * len, doc_id, i, dense_rank() OVER (ORDER BY a, b), lead(i) OVER (PARTITION BY a, b ORDER BY i) - i, count(*) OVER (PARTITION BY a, b)
+  FROM (SELECT x.len, x.doc_id, x.i, x.nm AS a, y.nm AS b FROM names x JOIN names y ON y.doc_id = x.doc_id AND y.i = x.i + x.len WHERE x.copies > 1 AND y.copies > 1)),
+stretch AS (
+  SELECT doc_id, len, gap, i, i - row_number() OVER (PARTITION BY doc_id, len, gap ORDER BY i) AS island FROM names WHERE gap <= len AND 2 * gap > len),
+run AS (
+  SELECT doc_id, CAST(min(i) AS BIGINT) AS start, CAST(max(i) + gap + len - min(i) AS BIGINT) AS length, CAST(gap AS BIGINT) AS period
+  FROM stretch GROUP BY doc_id, len, gap, island HAVING max(i) + gap + len - min(i) >= greatest(6, 4 * gap)),
+facts AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, p := period), (-length, start, period)) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, best.l * 1000 // best.p AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN facts ON facts.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
 ORACLE["op5_warc_content_store"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 g AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS d, max(page_id) OVER (PARTITION BY body) AS owner FROM p)
