@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tallyweave.operators.calendars import assign_periods
 from tallyweave.operators.concentration import concentration_of_units
 from tallyweave.operators.graph import components
+from tallyweave.operators.intervals import containing
 from tallyweave.operators.ordering import global_ordinal
 from tallyweave.operators.panels import fill_zero
-from tallyweave.operators.sizing import small_side
+from tallyweave.operators.sizing import attach, small_side
 from tallyweave.session import cut
 
 # Reported metrics and assumptions, in report order
@@ -30,23 +31,37 @@ def beneficiary_events(actions: DataFrame) -> DataFrame:
 
 def active_constraints(spans: DataFrame, constraints: DataFrame) -> DataFrame:
     """Links valid over the whole block span of a group (``minimum_block``, ``maximum_block``)."""
-    covers = (F.col("valid_from_block") <= F.col("minimum_block")) & (F.col("valid_to_block") >= F.col("maximum_block"))
     links = constraints.select("constraint_id", "left_address", "right_address", "valid_from_block", "valid_to_block")
-    return spans.join(small_side(links), covers).drop("valid_from_block", "valid_to_block")
+    found = containing(spans, links, "minimum_block", "valid_from_block", "valid_to_block")
+    return found.where("valid_to_block >= maximum_block").drop("valid_from_block", "valid_to_block")
 
 
-def component_weights(units: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
-    """Unit weights after merging linked addresses inside each group.
+def active_counts(spans: DataFrame, constraints: DataFrame, by: list[str]) -> DataFrame:
+    """How many links are valid over each group's span, from one row per distinct validity."""
+    validity = constraints.groupBy("valid_from_block", "valid_to_block").agg(F.count(F.lit(1)).alias("_links"))
+    found = containing(spans, validity, "minimum_block", "valid_from_block", "valid_to_block").where("valid_to_block >= maximum_block")
+    return found.groupBy(*by).agg(F.sum("_links").alias("accepted_must_link_constraint_count"))
 
-    A link counts only where both of its ends are present in the group; the merged unit is
-    named by its smallest address.
+
+def present_links(units: DataFrame, spans: DataFrame, constraints: DataFrame, by: list[str]) -> DataFrame:
+    """Active links with both ends in the group: ``by``, ``src``, ``dst``.
+
+    Units that no link names are left out first. The others meet the links of their own address
+    only, in the blocks of their group's span.
     """
+    links = constraints.select(F.col("left_address").alias("address"), "right_address", "valid_from_block", "valid_to_block")
     here = units.select(*by, "address")
-    present = (
-        links.join(here.withColumnRenamed("address", "left_address"), [*by, "left_address"], "left_semi")
-        .join(here.withColumnRenamed("address", "right_address"), [*by, "right_address"], "left_semi")
-        .select(*by, F.col("left_address").alias("src"), F.col("right_address").alias("dst"), F.lit(1).alias("weight"))
-    )
+    named = attach(here.join(links.select("address").distinct(), "address", "left_semi"), small_side(spans.select(*by, "minimum_block", "maximum_block")), by)
+    found = containing(named, links, "minimum_block", "valid_from_block", "valid_to_block", ["address"]).where("valid_to_block >= maximum_block")
+    pairs = found.select(*by, F.col("address").alias("src"), F.col("right_address").alias("dst")).distinct()
+    return pairs.join(here.withColumnRenamed("address", "dst"), [*by, "dst"], "left_semi").select(*by, "src", "dst", F.lit(1).alias("weight"))
+
+
+def component_weights(units: DataFrame, present: DataFrame, by: list[str]) -> DataFrame:
+    """Unit weights after merging addresses along ``present`` links (:func:`present_links`).
+
+    The merged unit is named by its smallest address.
+    """
     present = cut(present)
     if not present.limit(1).count():
         return units.select(*by, F.col("address").alias("component"), "weight")
@@ -77,14 +92,20 @@ def identified_set(
     actor in all three. ``flags`` names boolean columns reported as event shares.
     """
     flags = flags or {}
-    shares = {name: F.sum(F.col(c).cast("int")) for name, c in flags.items()}
-    units = panel.groupBy(*by, F.col(unit).alias("address")).agg(
+    return _identified(cut(_units(panel, by, unit, flags)), constraints, by, flags)
+
+
+def _units(panel: DataFrame, by: list[str], unit: str, flags: dict[str, str]) -> DataFrame:
+    """Events, block span and flagged events of every address in its group."""
+    return panel.groupBy(*by, F.col(unit).alias("address")).agg(
         F.count(F.lit(1)).alias("weight"),
         F.min("block_number").alias("_lo"),
         F.max("block_number").alias("_hi"),
-        *[s.alias(name) for name, s in shares.items()],
+        *[F.sum(F.col(c).cast("int")).alias(name) for name, c in flags.items()],
     )
-    units = cut(units)
+
+
+def _identified(units: DataFrame, constraints: DataFrame, by: list[str], flags: dict[str, str]) -> DataFrame:
     base = units.groupBy(*by).agg(
         F.sum("weight").cast("bigint").alias("event_count"),
         F.count(F.lit(1)).alias("beneficiary_address_count"),
@@ -92,9 +113,10 @@ def identified_set(
         F.max("_hi").alias("maximum_block"),
         *[(F.sum(name) / F.sum("weight")).alias(name) for name in flags],
     )
-    links = active_constraints(base.select(*by, "minimum_block", "maximum_block"), constraints)
-    counted = links.groupBy(*by).agg(F.count(F.lit(1)).alias("accepted_must_link_constraint_count"))
-    merged = component_weights(units.select(*by, "address", "weight"), links, by)
+    base = cut(base)
+    spans = base.select(*by, "minimum_block", "maximum_block")
+    counted = active_counts(spans, constraints, by)
+    merged = component_weights(units.select(*by, "address", "weight"), present_links(units, spans, constraints, by), by)
     out = (
         base.join(counted, by, "left")
         .fillna(0, ["accepted_must_link_constraint_count"])
@@ -126,16 +148,34 @@ def identified_set(
 def bound_panels(
     panel: DataFrame, constraints: DataFrame, periods: DataFrame, minimum: int, maximum: int, actions: list[str], flags: dict[str, str] | None = None, unit: str = "beneficiary_address"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Week-by-action (dense), week (observed) and period panels of identified sets."""
+    """Week-by-action (dense), week (observed) and period panels of identified sets.
+
+    The events are read once, into units per week, action and address. The three groupings are
+    stacked under one group key, so their links, components and metrics come from one run.
+    """
     from tallyweave.operators.panels import spine
 
-    keys = ["event_week", "action"]
-    cells = spine(panel, [], minimum, maximum).withColumn("action", F.explode(F.array(*[F.lit(a) for a in actions])))
-    by_action = fill_zero(cells.join(identified_set(panel, constraints, keys, unit, flags), keys, "left"), keys)
-    weekly = identified_set(panel, constraints, ["event_week"], unit, flags)
-    framed = assign_periods(panel, periods)
-    by_period = identified_set(framed, constraints, ["period", "minimum_event_week", "maximum_event_week"], unit, flags)
-    return by_action, weekly, by_period
+    flags = flags or {}
+    named = ["event_week", "action", "period", "minimum_event_week", "maximum_event_week"]
+    fine = cut(_units(panel, ["event_week", "action"], unit, flags))
+    none = {c: F.lit(None).cast("string") for c in ("action", "period")} | {c: F.lit(None).cast("int") for c in ("event_week", *named[3:])}
+    cells = fine.withColumns({"_set": F.lit("cell")} | {c: none[c] for c in named[2:]})
+    weeks = fine.withColumns({"_set": F.lit("week")} | {c: none[c] for c in named[1:]})
+    framed = assign_periods(fine, periods.select(*named[2:])).withColumns({"_set": F.lit("period"), "event_week": none["event_week"], "action": none["action"]})
+    group = F.to_json(F.struct("_set", *named))
+    stacked = cells.unionByName(weeks).unionByName(framed).withColumn("_group", group).groupBy("_group", "_set", *named, "address").agg(
+        F.sum("weight").alias("weight"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[F.sum(name).alias(name) for name in flags]
+    )
+    units = cut(stacked)
+    labels = units.select("_group", "_set", *named).distinct()
+    sets = cut(labels.join(_identified(units.drop("_set", *named), constraints, ["_group"], flags), "_group").drop("_group"))
+
+    def only(kind: str, *keep: str) -> DataFrame:
+        return sets.where(F.col("_set") == kind).drop("_set", *[c for c in named if c not in keep])
+
+    dense = spine(panel, [], minimum, maximum).withColumn("action", F.explode(F.array(*[F.lit(a) for a in actions])))
+    by_action = fill_zero(dense.join(only("cell", *named[:2]), named[:2], "left"), named[:2])
+    return by_action, only("week", "event_week"), only("period", *named[2:])
 
 
 def change_bounds(periods: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.operators.sizing import small_side
+from tallyweave.operators import sizing
+from tallyweave.operators.intervals import as_of, containing
+from tallyweave.operators.sizing import attach, small_side
+
+#: Up to so many targets are held as an array beside the headers.
+SLOTS = 1_000
 
 
 def event_calendar(cohorts: DataFrame, pre: int, post: int, days: int = 7, activation: str = "activation_utc") -> DataFrame:
@@ -62,22 +67,24 @@ def assign_weeks(
     """Week of each event: the last boundary at or below its block.
 
     The final boundary only closes the panel. With ``strict`` an event outside the panel is an
-    error raised by the job itself; otherwise ``event_week`` stays null for it.
+    error raised by the job itself; otherwise ``event_week`` stays null for it. A counted small
+    table of boundaries is broadcast; a larger one is merged with the events in ranges of blocks,
+    so no task holds all boundaries of a key.
     """
-    order = Window.partitionBy(*key).orderBy("start_block")
-    ranges = boundaries.select(
-        *key,
-        F.col("boundary_event_week").alias("event_week"),
-        F.col("start_block").alias("_from"),
-        F.lead("start_block").over(order).alias("_until"),
-    ).where(F.col("_until").isNotNull())
-    inside = (F.col(block) >= F.col("_from")) & (F.col(block) < F.col("_until"))
-    condition = inside
-    renamed = ranges
-    for name in key:
-        renamed = renamed.withColumnRenamed(name, f"_b_{name}")
-        condition = condition & (F.col(name) == F.col(f"_b_{name}"))
-    joined = events.join(small_side(renamed), condition, "left").drop("_from", "_until", *[f"_b_{k}" for k in key])
+    starts = boundaries.select(*key, F.col("boundary_event_week").alias("event_week"), F.col("start_block").alias("_from"))
+    if starts.limit(sizing.BROADCAST_ROWS + 1).count() <= sizing.BROADCAST_ROWS:
+        order = Window.partitionBy(*key).orderBy("_from")
+        ranges = starts.withColumn("_until", F.lead("_from").over(order)).where(F.col("_until").isNotNull())
+        ranges = F.broadcast(ranges.withColumnsRenamed({c: f"_b_{c}" for c in key}))
+        inside = (F.col(block) >= F.col("_from")) & (F.col(block) < F.col("_until"))
+        for name in key:
+            inside = inside & (F.col(name) == F.col(f"_b_{name}"))
+        joined = events.join(ranges, inside, "left").drop("_from", "_until", *[f"_b_{k}" for k in key])
+    else:
+        closing = attach(starts, starts.groupBy(*key).agg(F.max("_from").alias("_closing")), key)
+        weeks = closing.select(*key, "_from", F.when(F.col("_from") < F.col("_closing"), F.col("event_week")).alias("event_week"))
+        joined = as_of(events, weeks, key, block, "_from", "_week")
+        joined = joined.withColumn("event_week", F.col("_week.event_week")).drop("_week")
     if strict:
         outside = F.raise_error(F.concat(F.lit("event block is outside the panel: "), F.col(block).cast("string")))
         joined = joined.withColumn("event_week", F.coalesce("event_week", outside.cast("int")))
@@ -85,9 +92,15 @@ def assign_weeks(
 
 
 def assign_periods(df: DataFrame, periods: DataFrame, week: str = "event_week") -> DataFrame:
-    """Overlapping periods: a row is repeated for every period that contains its week."""
-    inside = F.col(week).between(F.col("minimum_event_week"), F.col("maximum_event_week"))
-    return df.join(small_side(periods), inside)
+    """Overlapping periods: a row is repeated for every period that contains its week.
+
+    The distinct weeks meet the periods by dyadic blocks, and rows meet their week's periods.
+    """
+    if periods.limit(sizing.BROADCAST_ROWS + 1).count() <= sizing.BROADCAST_ROWS:
+        return df.join(F.broadcast(periods), F.col(week).between(F.col("minimum_event_week"), F.col("maximum_event_week")))
+    weeks = df.select(F.col(week).alias("_w")).distinct()
+    found = containing(weeks, periods, "_w", "minimum_event_week", "maximum_event_week")
+    return df.join(found, F.col(week) == F.col("_w")).drop("_w")
 
 
 def first_at_or_after(headers: DataFrame, targets: list, ts: str = "timestamp", block: str = "block_number") -> DataFrame:
@@ -134,19 +147,13 @@ def boundary_blocks(headers: DataFrame, targets: DataFrame, key: str = "cohort_i
     elsewhere). Such a row takes that very block, also if several blocks share its second, and
     fails unless the block's time is the target. Other rows take the first block at or after the
     target. Headers are reduced to one row per cohort and stretch between targets, so the rest
-    works on tables of calendar size.
+    works on tables of calendar size. More than ``SLOTS`` targets are merged with the headers in
+    ranges of time instead.
     """
-    instants = targets.groupBy(key).agg(F.array_sort(F.collect_set("target_utc")).alias("_instants"))
-    near = headers.select(key, F.col(block).alias("_b"), F.col(ts).alias("_t")).join(small_side(instants), key)
-    slot = F.size(F.filter("_instants", lambda t: t <= F.col("_t")))
-    point, place = F.struct(F.col("_b").alias("b"), F.col("_t").alias("t")), F.struct("_t", "_b")
-    reduced = near.groupBy(key, slot.alias("_slot")).agg(F.min_by(point, place).alias("first"), F.max_by(point, place).alias("last"))
-    wanted = targets.join(small_side(instants), key).withColumn("_at", F.array_position("_instants", F.col("target_utc")).cast("int"))
-    sides = wanted.join(reduced, key).groupBy(key, "boundary_event_week").agg(
-        F.min_by("first", F.when(F.col("_slot") >= F.col("_at"), F.col("_slot"))).alias("_first"),
-        F.max_by("last", F.when(F.col("_slot") < F.col("_at"), F.col("_slot"))).alias("_last"),
-        F.max(F.when(F.col("_slot") >= F.col("_at"), True)).alias("_reached"), F.max(F.when(F.col("_slot") < F.col("_at"), True)).alias("_preceded"),
-    )
+    if targets.limit(SLOTS + 1).count() <= SLOTS:
+        sides = _slotted_sides(headers, targets, key, ts, block)
+    else:
+        sides = _merged_sides(headers, targets, key, ts, block)
     anchors = targets.where("activation_block is not null").select(key, F.col("activation_block").alias("_anchor"))
     around = headers.select(key, F.col(block).alias("_b"), F.col(ts).alias("_t")).join(small_side(anchors), key).where("_b <= _anchor")
     anchored = around.groupBy(key, "_anchor").agg(
@@ -166,6 +173,30 @@ def boundary_blocks(headers: DataFrame, targets: DataFrame, key: str = "cohort_i
     )
 
 
+def _slotted_sides(headers: DataFrame, targets: DataFrame, key: str, ts: str, block: str) -> DataFrame:
+    """Headers on both sides of each target, from headers reduced to one row per stretch between targets."""
+    instants = targets.groupBy(key).agg(F.array_sort(F.collect_set("target_utc")).alias("_instants"))
+    near = headers.select(key, F.col(block).alias("_b"), F.col(ts).alias("_t")).join(small_side(instants), key)
+    slot = F.size(F.filter("_instants", lambda t: t <= F.col("_t")))
+    point, place = F.struct(F.col("_b").alias("b"), F.col("_t").alias("t")), F.struct("_t", "_b")
+    reduced = near.groupBy(key, slot.alias("_slot")).agg(F.min_by(point, place).alias("first"), F.max_by(point, place).alias("last"))
+    wanted = targets.join(small_side(instants), key).withColumn("_at", F.array_position("_instants", F.col("target_utc")).cast("int"))
+    return wanted.join(reduced, key).groupBy(key, "boundary_event_week").agg(
+        F.min_by("first", F.when(F.col("_slot") >= F.col("_at"), F.col("_slot"))).alias("_first"),
+        F.max_by("last", F.when(F.col("_slot") < F.col("_at"), F.col("_slot"))).alias("_last"),
+        F.max(F.when(F.col("_slot") >= F.col("_at"), True)).alias("_reached"), F.max(F.when(F.col("_slot") < F.col("_at"), True)).alias("_preceded"),
+    )
+
+
+def _merged_sides(headers: DataFrame, targets: DataFrame, key: str, ts: str, block: str) -> DataFrame:
+    """Headers on both sides of each target, by two as-of joins on time."""
+    times = headers.groupBy(key, F.col(ts).alias("t")).agg(F.min(block).alias("b"))
+    wanted = targets.select(key, "boundary_event_week", "target_utc")
+    found = as_of(wanted, times, [key], "target_utc", "t", "_first", forward=True)
+    found = as_of(found, times, [key], "target_utc", "t", "_last", ties=False)
+    return found.drop("target_utc").withColumns({"_reached": F.col("_first").isNotNull(), "_preceded": F.col("_last").isNotNull()})
+
+
 def first_code_block(snapshots: DataFrame, address: str = "address", block: str = "block_number", code: str = "code") -> DataFrame:
     """First block at which each contract shows runtime code."""
     there = ~F.coalesce(F.col(code), F.lit("0x")).isin("0x", "0x0")

@@ -11,8 +11,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.operators.sizing import small_side
-from tallyweave.session import cut, discard, pin, shuffle_width
+from tallyweave.operators.sizing import BROADCAST_ROWS, small_side
+from tallyweave.session import cut, cut_observed, discard, pin, shuffle_width
 
 CELL_ROWS = 2_000_000  # arcs of one source kept in one join cell
 TASK_ARCS = 50_000  # below shuffle-width times this, a graph uses fewer tasks
@@ -120,9 +120,10 @@ def components(edges: DataFrame, by: list[str], nodes: DataFrame | None = None)
 
     Each round takes the grandparent label, the smallest label among neighbours, and hooks
     whole trees onto smaller roots, so the number of rounds grows with the logarithm of the
-    graph. Labels only fall, and a round without a change is the answer. The giant component's
+    graph. Labels only fall, and a round without a change is the answer. A round is one write,
+    which also tells whether a label changed and about how many labels are left. The giant component's
     label is a hot key of the look-up by label: labels are looked up once per label and then
-    broadcast to the nodes while they are few, else joined with adaptive splitting.
+    broadcast to the nodes once they are few, else joined with adaptive splitting.
     """
     edges, keys = _keyed(edges, by)
     plain = edges.where(F.col("src") != F.col("dst")).select(*keys, "src", "dst", F.lit(1).alias("weight"))
@@ -131,19 +132,23 @@ def components(edges: DataFrame, by: list[str], nodes: DataFrame | None = None)
     if nodes is not None:
         extra, _ = _keyed(nodes, by)
         start = start.union(extra.select(*keys, "node")).distinct()
-    state = cut(start.withColumn("label", F.col("node")))
+    labels = F.approx_count_distinct(F.struct(*keys, "label"))
+    state, facts = cut_observed(start.withColumn("label", F.col("node")), labels=labels)
     while True:
         own = state.select(*keys, "label").distinct()  # one row per label: partial sums leave no hot key
         parents = own.join(state.select(*keys, F.col("node").alias("label"), F.col("label").alias("_up")), [*keys, "label"])
-        lifted = state.join(small_side(parents), [*keys, "label"])
+        if facts["labels"] * 5 <= BROADCAST_ROWS * 4:  # the count is an estimate, within a few per cent
+            parents = F.broadcast(parents)
+        lifted = state.join(parents, [*keys, "label"])
         near = arcs.gather(lifted, ["_up"], [F.min("_up").alias("_near")])
         seen = lifted.join(near, [*keys, "node"], "left")
         hooks = seen.groupBy(*keys, F.col("label").alias("node")).agg(F.min("_near").alias("_hook"))
         merged = seen.join(hooks, [*keys, "node"], "left")
         lowest = F.least("label", "_up", F.coalesce("_near", "label"), F.coalesce("_hook", "label"))
-        new = cut(merged.select(*keys, "node", lowest.alias("label"), (lowest != F.col("label")).alias("_changed")))
+        moved = merged.select(*keys, "node", lowest.alias("label"), (lowest != F.col("label")).alias("_changed"))
+        new, facts = cut_observed(moved, changed=F.max("_changed"), labels=labels)
         discard(state)
-        if not new.where("_changed").limit(1).count():
+        if not facts["changed"]:
             return _unkeyed(new.select(*keys, "node", F.col("label").alias("component")), by)
         state = new
 
@@ -159,7 +164,7 @@ def component_sizes(labels: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def core_numbers(edges: DataFrame, by: list[str], rounds_per_cut: int = 2, tree_round: int = 10) -> DataFrame:
+def core_numbers(edges: DataFrame, by: list[str], rounds_per_cut: int = 2, tail_round: int = 6) -> DataFrame:
     """k-core number of every node of the unweighted undirected graph.
 
     Starting from degrees, each node takes the h-index of its neighbours' values until
@@ -167,76 +172,165 @@ def core_numbers(edges: DataFrame, by: list[str], rounds_per_cut: int = 2, tree_
     per value: distinct values at a node number at most twice the square root of the edges,
     so a hub is never collected into one group.
 
-    Values travel one arc per pass, so a long chain settles slowly. A graph that hasn't settled
-    after ``tree_round`` rounds gives up its components without a cycle, whose core is one, and
-    goes on with the rest. There is no limit on the rounds.
+    Values travel one arc per pass, so a long tail would settle slowly. After every ``tail_round``
+    rounds, nodes of value two that hang on by trees are found by contraction (:func:`tails`)
+    and take their core number, one, at once. There is no limit on the rounds.
     """
     edges, keys = _keyed(edges, by)
-    flat = undirected(edges, keys)
-    arcs = Arcs(both_ways(flat, keys), keys)
-    state = arcs.table.groupBy(*keys, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core"))
-    state = cut(state)
-    total, trees = None, None
+    arcs = Arcs(both_ways(undirected(edges, keys), keys), keys)
+    state = cut(arcs.table.groupBy(*keys, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core")))
     for round_ in count(1):
         before = state
-        for _ in range(rounds_per_cut):
+        for i in range(rounds_per_cut):
             counted = arcs.gather(state, ["core"], [F.count(F.lit(1)).alias("_n")], extra=["core"])
             falling = Window.partitionBy(*keys, "node").orderBy(F.col("core").desc()).rowsBetween(Window.unboundedPreceding, 0)
             reach = counted.withColumn("_reach", F.sum("_n").over(falling))
             state = reach.groupBy(*keys, "node").agg(F.max(F.least("core", "_reach")).alias("core"))
-        state = cut(state)
+        moved = state.join(before.withColumnRenamed("core", "_was"), [*keys, "node"])
+        state, facts = cut_observed(moved, fell=F.max(F.col("core") < F.col("_was")), twos=F.max(F.col("core") == 2))
         discard(before)
-        now = state.agg(F.sum("core")).first()[0] or 0
-        if now == total:
-            return _unkeyed(state if trees is None else state.unionByName(trees), by)
-        total = now
-        if round_ == tree_round:
-            labels = components(edges, keys)
-            ends = flat.where(F.col("src") != F.col("dst")).select(*keys, F.col("src").alias("node"))
-            sizes = labels.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_nodes"))
-            edges_in = ends.join(labels, [*keys, "node"]).groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_edges"))
-            bare = sizes.join(edges_in, [*keys, "component"]).where("_edges < _nodes").select(*keys, "component")
-            inside = cut(labels.join(small_side(cut(bare)), [*keys, "component"], "left_semi").select(*keys, "node"))
-            trees = inside.withColumn("core", F.lit(1).cast("bigint"))
-            state = cut(state.join(small_side(inside), [*keys, "node"], "left_anti"))
-            rest = flat.join(small_side(inside.withColumnRenamed("node", "src")), [*keys, "src"], "left_anti")
-            arcs, total = Arcs(both_ways(rest, keys), keys), None
+        state = _kept_path(state, state.drop("_was"))
+        if not facts["fell"]:
+            return _unkeyed(state, by)
+        if round_ % tail_round == 0 and facts["twos"]:
+            hanging = tails(arcs, state)
+            one = F.when(F.col("_tail").isNotNull(), 1).otherwise(F.col("core")).alias("core")
+            new = cut(state.join(hanging.withColumn("_tail", F.lit(True)), [*keys, "node"], "left").select(*keys, "node", one))
+            discard(state)
+            state = new
+
+
+def _kept_path(table: DataFrame, view: DataFrame) -> DataFrame:
+    """``view`` of a written table, which :func:`discard` can still delete."""
+    view._cut_path = table._cut_path
+    return view
+
+
+def tails(arcs: Arcs, state: DataFrame) -> DataFrame:
+    """Nodes of value two that lie on no cycle and on no path between cycles or higher nodes.
+
+    Only nodes of value two and their arcs to values of two or more take part; higher nodes count
+    as fixed, which can hide a tail but can't make one. A phase removes all nodes with one
+    neighbour or none and all chains of nodes with two neighbours at once. A chain's two ends come
+    from doubled pointers: one pointer per direction of each chain node, which after k doublings
+    looks 2^k nodes ahead, so a chain takes the logarithm of its length. Pointers that no doubling
+    finishes run round a cycle. A chain that ends at a removed node goes with it; any other becomes
+    an arc between its ends. Nodes with parallel arcs or an arc to themselves lie on a cycle and are
+    held. Phases end when no node has fewer than two neighbours; each halves the branches of a tree
+    at least. Chains that were made arcs go later if one of their ends has gone.
+    """
+    keys, at = arcs.by, [*arcs.by, "node"]
+    two = cut(state.where("core = 2").select(*at))
+    reachable = state.where("core >= 2").select(*keys, F.col("node").alias("dst"), (F.col("core") > 2).alias("fixed"))
+    side = arcs.table.join(two.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi").join(reachable, [*keys, "dst"])
+    links = cut(side.select(*keys, F.col("src").alias("node"), F.col("dst").alias("to"), "fixed"))
+    nodes = two.withColumn("held", F.lit(False))
+    gone, chains = [], []
+    while True:
+        degrees = links.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+        kind = F.when(F.col("held"), "branch").when(F.coalesce("_n", F.lit(0)) < 2, "leaf").when(F.col("_n") == 2, "chain").otherwise("branch")
+        kinds, facts = cut_observed(nodes.join(degrees, at, "left").select(*at, "held", kind.alias("kind")), leaf=F.max(F.col("kind") == "leaf"))
+        if not facts["leaf"]:
+            break
+        ends = _chain_ends(links, kinds, keys)
+        of_chain = ends.groupBy(*at).agg(F.max(F.coalesce(F.col("end_kind") == "leaf", F.lit(False))).alias("lost"), F.min("end").alias("a"), F.max("end").alias("b"))
+        of_chain = cut(of_chain)
+        gone.append(kinds.where("kind = 'leaf'").select(*at).unionByName(of_chain.where("lost").select(*at)))
+        chains.append(of_chain.where("NOT lost AND a IS NOT NULL").select(*at, "a", "b"))
+        # arcs of branches: to branches and fixed nodes as before, and over chains that are not lost
+        branch = kinds.where("kind = 'branch'").select(*at)
+        inner = kinds.where("kind <> 'branch'").select(*keys, F.col("node").alias("to"))
+        old = links.join(branch, at, "left_semi").join(inner, [*keys, "to"], "left_anti").select(*at, "to", "fixed")
+        over = ends.where("start_kind = 'branch' AND end_kind IN ('branch', 'fixed')")
+        over = over.select(*keys, F.col("came").alias("node"), F.col("end").alias("to"), (F.col("end_kind") == "fixed").alias("fixed"))
+        made = cut(old.unionByName(over).groupBy(*at, "to", "fixed").agg(F.count(F.lit(1)).alias("_n")))
+        rings = made.groupBy(*at).agg(F.max((F.col("_n") > 1) | (F.col("to") == F.col("node"))).alias("_ring"))
+        held = F.col("held") | F.coalesce("_ring", F.lit(False))
+        nodes = cut(kinds.where("kind = 'branch'").join(rings, at, "left").select(*at, held.alias("held")))
+        links = made.where(F.col("to") != F.col("node")).select(*at, "to", "fixed")
+    lost = two.limit(0)
+    for removed, chain in zip(reversed(gone), reversed(chains), strict=True):
+        for end in ("a", "b"):
+            named = lost.withColumnRenamed("node", end).withColumn(f"_{end}", F.lit(True))
+            chain = chain.join(named, [*keys, end], "left")
+        lost = cut(lost.unionByName(removed).unionByName(chain.where("_a OR _b").select(*at)))
+    return lost
+
+
+def _chain_ends(links: DataFrame, kinds: DataFrame, keys: list[str]) -> DataFrame:
+    """Both directions of every chain node: ``came`` (its neighbour behind) and the ``end`` ahead with its kind.
+
+    ``start_kind`` is the kind of the neighbour behind. Without an end the chain is a ring.
+    """
+    at = [*keys, "node"]
+    own = links.join(kinds.where("kind = 'chain'").select(*at), at, "left_semi")
+    pairs = own.groupBy(*at).agg(F.min(F.struct("to", "fixed")).alias("x"), F.max(F.struct("to", "fixed")).alias("y"))
+    both = F.explode(F.array(F.struct(F.col("x").alias("came"), F.col("y").alias("to")), F.struct(F.col("y").alias("came"), F.col("x").alias("to"))))
+    darts = pairs.select(*at, both.alias("_d")).select(
+        *at, F.col("_d.came.to").alias("came"), F.col("_d.came.fixed").alias("_came_fixed"), F.col("_d.to.to").alias("to"), F.col("_d.to.fixed").alias("_to_fixed"),
+    )
+    ahead = kinds.select(*keys, F.col("node").alias("to"), F.col("kind").alias("_ahead"))
+    behind = kinds.select(*keys, F.col("node").alias("came"), F.col("kind").alias("_behind"))
+    darts = darts.join(ahead, [*keys, "to"], "left").join(behind, [*keys, "came"], "left")
+    ahead_kind = F.when(F.col("_to_fixed"), "fixed").otherwise(F.col("_ahead"))
+    behind_kind = F.when(F.col("_came_fixed"), "fixed").otherwise(F.col("_behind"))
+    done = ahead_kind != "chain"
+    first = darts.select(
+        *at, "came", behind_kind.alias("start_kind"), F.when(done, F.col("to")).alias("end"), F.when(done, ahead_kind).alias("end_kind"),
+        F.when(~done, F.col("to")).alias("next"), F.when(~done, F.col("node")).alias("next_came"),
+    )
+    table, facts = cut_observed(first, open=F.count_if(F.col("end").isNull()))
+    left = None
+    while facts["open"] and facts["open"] != left:
+        left = facts["open"]
+        after = table.select(
+            *keys, F.col("node").alias("next"), F.col("came").alias("next_came"), F.col("end").alias("_end"), F.col("end_kind").alias("_kind"),
+            F.col("next").alias("_next"), F.col("next_came").alias("_next_came"),
+        )
+        joined = table.join(after, [*keys, "next", "next_came"], "left")
+        moved = joined.select(
+            *at, "came", "start_kind", F.coalesce("end", "_end").alias("end"), F.coalesce("end_kind", "_kind").alias("end_kind"),
+            F.col("_next").alias("next"), F.col("_next_came").alias("next_came"),
+        )
+        new, facts = cut_observed(moved, open=F.count_if(F.col("end").isNull()))
+        discard(table)
+        table = new
+    return table
 
 
 def pagerank(edges: DataFrame, by: list[str], alpha: float = 0.85, maximum_rounds: int = 100, tolerance: float = 1e-10) -> DataFrame:
     """Weighted PageRank: uniform start, dangling mass spread over all nodes of the graph, and
     each graph stops at the first round whose L1 change is below nodes * tolerance. It fails if
-    one hasn't after ``maximum_rounds``."""
+    one hasn't after ``maximum_rounds``.
+
+    A round is one write. It sums up each graph's change of the round before, leaves graphs that
+    have settled as they are, and tells whether any was still open.
+    """
     edges, keys = _keyed(edges, by)
     edges = cut(edges.select(*keys, "src", "dst", F.col("weight").cast("double").alias("weight")))
     arcs = Arcs(edges, keys)
     nodes = nodes_of(edges, keys).select(*keys, "node", F.col("out_strength").alias("_out"))
     counts = cut(nodes.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_count")))
-    state = nodes.join(small_side(counts), keys)
-    state = cut(state.select(*keys, "node", "_out", "_count", (F.lit(1.0) / F.col("_count")).alias("rank"), F.lit(True).alias("_live")))
-    written = state
-    for _ in range(maximum_rounds):
-        sending = state.where("_live AND _out > 0").withColumn("_send", F.col("rank") / F.col("_out"))
+    few = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    state = nodes.join(F.broadcast(counts) if few else counts, keys)
+    state = cut(state.select(*keys, "node", "_out", (F.lit(1.0) / F.col("_count")).alias("rank"), F.lit(None).cast("double").alias("_delta")))
+    for _ in range(maximum_rounds + 1):
+        # one row per graph: size, change in the last round (none before the first), and its dangling mass
+        dangling = F.sum(F.when(F.col("_out") > 0, 0.0).otherwise(F.col("rank")))
+        facts = state.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_count"), F.sum("_delta").alias("_change"), dangling.alias("_dangling"))
+        facts = facts.withColumn("_live", F.coalesce(F.col("_change") >= F.col("_count") * F.lit(tolerance), F.lit(True))).drop("_change")
+        known = state.join(F.broadcast(facts) if few else facts, keys)
+        sending = known.where("_live AND _out > 0").withColumn("_send", F.col("rank") / F.col("_out"))
         inflow = arcs.gather(sending, ["_send"], [F.sum(F.col("weight") * F.col("_send")).alias("_in")])
-        dangling = state.where("_live AND _out = 0").groupBy(*keys).agg(F.sum("rank").alias("_dangling"))
-        joined = state.join(inflow, [*keys, "node"], "left").join(F.broadcast(dangling) if not by else dangling, keys, "left")
-        base = F.lit(1.0 - alpha) / F.col("_count") + F.lit(alpha) * F.coalesce("_dangling", F.lit(0.0)) / F.col("_count")
+        base = F.lit(1.0 - alpha) / F.col("_count") + F.lit(alpha) * F.col("_dangling") / F.col("_count")
         updated = F.when(F.col("_live"), base + F.lit(alpha) * F.coalesce("_in", F.lit(0.0))).otherwise(F.col("rank"))
-        moved = cut(joined.select(*keys, "node", "_out", "_count", updated.alias("rank"), F.abs(updated - F.col("rank")).alias("_delta"), "_live"))
-        change = moved.where("_live").groupBy(*keys, "_count").agg(F.sum("_delta").alias("_change"))
-        open_graphs = change.where(F.col("_change") >= F.col("_count") * F.lit(tolerance)).select(*keys, F.lit(True).alias("_live"))
-        discard(written)
-        written = moved
-        if not open_graphs.limit(1).count():
-            state = moved
-            break
-        if by:
-            state = moved.drop("_live", "_delta").join(open_graphs, keys, "left").withColumn("_live", F.coalesce("_live", F.lit(False)))
-        else:
-            state = moved.drop("_delta")
-    else:
-        raise RuntimeError(f"pagerank did not settle in {maximum_rounds} rounds")
-    return _unkeyed(state.select(*keys, "node", F.col("rank").alias("pagerank")), by)
+        joined = known.join(inflow, [*keys, "node"], "left")
+        new, seen = cut_observed(joined.select(*keys, "node", "_out", updated.alias("rank"), F.abs(updated - F.col("rank")).alias("_delta"), "_live"), live=F.max("_live"))
+        discard(state)
+        state = _kept_path(new, new.drop("_live"))
+        if not seen["live"]:
+            return _unkeyed(state.select(*keys, "node", F.col("rank").alias("pagerank")), by)
+    raise RuntimeError(f"pagerank did not settle in {maximum_rounds} rounds")
 
 
 def reciprocity(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -413,10 +507,11 @@ def katz_bonacich(
         inflow = arcs.gather(state, ["x"], [F.sum(F.col("weight") * F.col("x")).alias("_in")])
         moved = state.join(inflow, [*keys, "node"], "left")
         updated = F.col("benefit") + F.lit(beta) * F.coalesce("_in", F.lit(0.0))
-        state = cut(moved.select(*keys, "node", "benefit", updated.alias("x"), F.abs(updated - F.col("x")).alias("_d")))
-        largest, scale = state.agg(F.max("_d"), F.max(F.abs(F.col("x")))).first()
-        state = state.drop("_d")
-        if (largest or 0.0) <= tolerance * max(1.0, scale or 0.0):
+        settled = moved.select(*keys, "node", "benefit", updated.alias("x"), F.abs(updated - F.col("x")).alias("_d"))
+        new, seen = cut_observed(settled, largest=F.max("_d"), scale=F.max(F.abs(F.col("x"))))
+        discard(state)
+        state = _kept_path(new, new.drop("_d"))
+        if (seen["largest"] or 0.0) <= tolerance * max(1.0, seen["scale"] or 0.0):
             break
     else:
         raise RuntimeError("activity did not settle")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "tallyweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -69,6 +69,17 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As :func:`cut`, with aggregates over the written rows taken by the write itself.
+
+    A loop reads from them whether it has settled, so a round is one job. A task that is run again
+    may be counted again: use what is null, zero or an extreme for such a decision, not sums.
+    """
+    seen = Observation()
+    table = cut(df.observe(seen, *[column.alias(name) for name, column in metrics.items()]))
+    return table, seen.get
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that :func:`cut` returned, once nothing reads it any more (a loop's last round)."""
     path = getattr(table, "_cut_path", None)

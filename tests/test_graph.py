@@ -217,7 +217,7 @@ def test_core_numbers_of_long_chains(spark):
     """A chain of any length settles, beside a triangle with a tail."""
     chain = spark.range(2000).selectExpr("'g' as g", "id as src", "id + 1 as dst", "1 as weight")
     other = spark.createDataFrame([("g", a, b, 1) for a, b in [(9001, 9002), (9002, 9003), (9003, 9001), (9003, 9004), (9004, 9005)]], "g string, src long, dst long, weight int")
-    cores = rows(G.core_numbers(chain.union(other), ["g"], tree_round=2), "g", "node")
+    cores = rows(G.core_numbers(chain.union(other), ["g"], tail_round=2), "g", "node")
     assert len(cores) == 2006
     assert {k[1]: r["core"] for k, r in cores.items() if k[1] > 9000} == {9001: 2, 9002: 2, 9003: 2, 9004: 1, 9005: 1}
     assert all(r["core"] == 1 for k, r in cores.items() if k[1] <= 2000)
@@ -227,3 +227,47 @@ def test_pagerank_says_when_it_has_not_settled(spark):
     edges = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 1, 1), (1, 3, 1)], "src long, dst long, weight int")
     with pytest.raises(RuntimeError, match="did not settle"):
         G.pagerank(edges, [], maximum_rounds=2)
+
+
+def scattered_graph(seed):
+    """Trees with cycles, tails of any length, bridges between cycles and rings."""
+    rng = random.Random(seed)
+    n = rng.randint(2, 30)
+    edges = [(i, rng.randrange(max(0, i - rng.choice([1, 1, 2, 9])), i)) for i in range(1, n) if rng.random() < 0.93]
+    edges += [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([0, 1, 2, 5]))]
+    last = n
+    for _ in range(rng.choice([0, 1, 2])):
+        at = rng.randrange(n)
+        for _ in range(rng.randint(1, 20)):
+            edges.append((at, last))
+            at, last = last, last + 1
+        if rng.random() < 0.4:
+            edges.append((at, rng.randrange(n)))
+    ring = rng.choice([0, 3, 7])
+    edges += [(1000 + i, 1000 + (i + 1) % ring) for i in range(ring)]
+    return {(min(e), max(e)) for e in edges if e[0] != e[1]}
+
+
+@pytest.mark.parametrize("tail_round", [1, 2])
+def test_contracted_tails_leave_core_numbers_exact(spark, tail_round):
+    edges = [(g, a, b, 1) for g in range(40) for a, b in scattered_graph(g)]
+    cores = rows(G.core_numbers(spark.createDataFrame(edges, "g int, src long, dst long, weight int"), ["g"], rounds_per_cut=1, tail_round=tail_round), "g", "node")
+    wanted = {(g, v): k for g in range(40) for v, k in peel(adjacency(edges, g)).items()}
+    assert {at: r["core"] for at, r in cores.items()} == wanted
+
+
+def test_a_cycle_with_a_long_tail_takes_few_writes(spark, monkeypatch):
+    from tallyweave import session
+
+    writes, original = [], session.cut
+
+    def counted(df):
+        writes.append(1)
+        return original(df)
+
+    monkeypatch.setattr(session, "cut", counted)
+    monkeypatch.setattr(G, "cut", counted)
+    edges = [(0, 1, 1), (1, 2, 1), (2, 0, 1)] + [(2 + i, 3 + i, 1) for i in range(5000)]
+    cores = G.core_numbers(spark.createDataFrame(edges, "src long, dst long, weight int"), [])
+    assert {r.core: r.n for r in cores.groupBy("core").agg(F.count("*").alias("n")).collect()} == {2: 3, 1: 5000}
+    assert len(writes) <= 40
