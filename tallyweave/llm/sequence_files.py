@@ -1,11 +1,11 @@
 """Token ids as equal-length sequences in Arrow files, with zero-copy random access.
 
 A folder holds, per write task, one Arrow file of sequences and one of documents, and a manifest.
-A sequence file is Arrow's file format, the stream format with a footer, in batches of two
-fixed-size-list columns: ``ids`` (the narrowest unsigned type that holds the vocabulary) and
-``mask``, whose bit 0 marks an id of a document and bit 1 a document's last id; padding is 0. All
-batches but a file's last have the same number of rows, so the place of any sequence follows from
-its number, and a mapped file hands it out as a view. A document file has per document its key,
+A sequence file is Arrow's file format, the stream format with a footer, in batches of
+fixed-size-list columns: ``ids`` (the narrowest unsigned type that holds the vocabulary) and two
+masks of a bit per id, ``mask`` for ids of a document (false for padding) and ``last`` for a
+document's last id. All batches but a file's last have the same number of rows, so the place of any
+sequence follows from its number, and a mapped file hands it out as a view. A document file has per document its key,
 its first id in the file and its number of ids.
 
 Writers give their files names of their own and the driver names the files that count in the
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyweave.llm.tokens import encoder
+from tallyweave.llm.tokens import WordBpe
 
 FORMAT = "arrow_sequences"
 MANIFEST = "_manifest.json"
@@ -40,8 +40,6 @@ MANIFEST = "_manifest.json"
 LENGTH = 2048
 BATCH = 256
 END_ID = 2
-#: Bits of the mask.
-INSIDE, LAST = 1, 2
 
 
 def _open(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -62,15 +60,42 @@ def read_manifest(folder: str) -> dict:
         return json.loads(source.read())
 
 
-def flat(column: pa.Array) -> np.ndarray:
+def flat(column: pa.Array) -> pa.Array:
     """All values of a fixed-size-list column, without a copy."""
     width = column.type.list_size
-    return column.values.to_numpy(zero_copy_only=True)[column.offset * width : (column.offset + len(column)) * width]
+    return column.values.slice(column.offset * width, len(column) * width)
+
+
+def bits(values: pa.Array) -> np.ndarray:
+    """A mask as bytes, a copy."""
+    return values.to_numpy(zero_copy_only=False)
+
+
+class FastBpe(WordBpe):
+    """The encoder with a quicker way to learn pre-tokens: no offsets are computed."""
+
+    def learn(self, new: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(new):
+            raise ValueError("the tokenizer splits a pre-token again")
+        raw, upto = ids.tobytes(), (4 * cuts).tolist()
+        self.known.update(zip(new, [raw[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)], strict=True))
+
+
+_ENCODERS: dict[str | None, FastBpe] = {}
+
+
+def _encoder(path: str | None) -> FastBpe:
+    """One encoder per worker process and vocabulary."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = FastBpe(path)
+    return _ENCODERS[path]
 
 
 @dataclass
 class Part(WriterCommitMessage):
-    """What one task wrote."""
+    """What one task wrote; no name if it had no rows."""
 
     number: int
     name: str
@@ -84,9 +109,10 @@ class _SequenceSink:
 
     def __init__(self, sink: pa.NativeFile, kind: np.dtype, length: int, batch: int):
         self.length, self.batch, self.kind = length, batch, kind
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
+        kinds = {"ids": pa.from_numpy_dtype(kind), "mask": pa.bool_(), "last": pa.bool_()}
+        self.schema = pa.schema([(name, pa.list_(value, length)) for name, value in kinds.items()])
         self.writer = pa.ipc.new_file(sink, self.schema)
-        self.ids, self.mask, self.used = np.zeros(length * batch, kind), np.zeros(length * batch, np.uint8), 0
+        self.ids, self.last, self.used = np.zeros(length * batch, kind), np.zeros(length * batch, bool), 0
         self.sequences = self.tokens = 0
 
     def put(self, ids: np.ndarray) -> None:
@@ -95,12 +121,9 @@ class _SequenceSink:
         self.tokens += n
         while at < n:
             step = min(n - at, len(self.ids) - self.used)
-            here = slice(self.used, self.used + step)
-            self.ids[here] = ids[at : at + step]
-            self.mask[here] = INSIDE
+            self.ids[self.used : self.used + step] = ids[at : at + step]
             at, self.used = at + step, self.used + step
-            if at == n:
-                self.mask[self.used - 1] |= LAST
+            self.last[self.used - 1] = at == n
             if self.used == len(self.ids):
                 self.flush()
 
@@ -109,9 +132,10 @@ class _SequenceSink:
         if not rows:
             return
         self.ids[self.used :] = 0
-        self.mask[self.used :] = 0
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x[: rows * self.length]), self.length) for x in (self.ids, self.mask)]
-        self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
+        full = rows * self.length
+        columns = [self.ids[:full], np.arange(full) < self.used, self.last[:full]]
+        self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in columns], schema=self.schema))
+        self.last[:] = False
         self.sequences, self.used = self.sequences + rows, 0
 
     def close(self) -> None:
@@ -127,11 +151,11 @@ class SequenceWriter(DataSourceArrowWriter):
         self.length, self.batch, self.end = (int(options.get(k, v)) for k, v in (("length", LENGTH), ("batch", BATCH), ("end_id", END_ID)))
         self.key, self.overwrite = schema[0], overwrite
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage | None:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         place, path = _open(self.folder)
         number = TaskContext.get().partitionId()
         name = f"part-{number:05d}-{uuid.uuid4().hex}"
-        bpe = encoder(self.tokenizer)
+        bpe = _encoder(self.tokenizer)
         kind = np.min_scalar_type(max(bpe.tokenizer.get_vocab_size() - 1, self.end))
         end = np.array([self.end], "<u4").tobytes()
         index_schema = pa.schema([(self.key.name, to_arrow_schema(T.StructType([self.key])).field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -155,7 +179,7 @@ class SequenceWriter(DataSourceArrowWriter):
             index.write_batch(pa.record_batch([keys, pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=index_schema))
         bpe.known.clear()  # Spark keeps the worker for other tasks
         if sink is None:
-            return None
+            return Part(number, "", 0, 0, 0)
         sink.close()
         index.close()
         for f in files:
@@ -170,7 +194,7 @@ class SequenceWriter(DataSourceArrowWriter):
             self.abort(messages)
             raise FileExistsError(f"{self.folder} holds sequences already")
         old = read_manifest(self.folder)["parts"] if known else []
-        parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
+        parts = sorted((m for m in messages if m is not None and m.name), key=lambda m: m.number)
         facts = {
             "length": self.length, "batch": self.batch, "end_id": self.end, "key": json.loads(T.StructType([self.key]).json()),
             "parts": [{"name": m.name, "documents": m.documents, "sequences": m.sequences, "tokens": m.tokens} for m in parts],
@@ -182,7 +206,7 @@ class SequenceWriter(DataSourceArrowWriter):
         self._remove([part["name"] for part in old])
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._remove([m.name for m in messages if m is not None])
+        self._remove([m.name for m in messages if m is not None and m.name])
 
     def _remove(self, names: list[str]) -> None:
         place, path = _open(self.folder)
@@ -222,7 +246,7 @@ class SequenceReader(DataSourceReader):
             for i in range(file.num_record_batches):
                 batch = file.get_batch(i)
                 numbers = pa.array(np.arange(at, at + len(batch)))
-                yield pa.record_batch([numbers, *[batch.column(c).cast(arrow.field(c).type) for c in ("ids", "mask")]], schema=arrow)
+                yield pa.record_batch([numbers, *[batch.column(c).cast(arrow.field(c).type) for c in ("ids", "mask", "last")]], schema=arrow)
                 at += len(batch)
             return
         index = pa.ipc.open_file(_source(place, f"{path}/{partition.name}.documents.arrow"))
@@ -248,11 +272,11 @@ class SequenceReader(DataSourceReader):
 
 
 class _Spans:
-    """Ids of documents from one file, read forwards; the mask must agree with the index."""
+    """Ids of documents from one file, read forwards; the masks must agree with the index."""
 
     def __init__(self, file: pa.RecordBatchFileReader):
         self.file, self.number = file, -1
-        self.ids = self.mask = np.zeros(0, np.uint8)
+        self.ids = self.mask = self.last = np.zeros(0, np.uint8)
         self.full = len(flat(file.get_batch(0).column("ids"))) if file.num_record_batches else 0
 
     def of(self, start: int, n: int) -> Iterator[np.ndarray]:
@@ -261,15 +285,14 @@ class _Spans:
             number, inside = divmod(at, self.full)
             if number != self.number:
                 batch = self.file.get_batch(number)
-                self.number, self.ids, self.mask = number, flat(batch.column("ids")), flat(batch.column("mask"))
+                ids, mask, last = (flat(batch.column(c)) for c in ("ids", "mask", "last"))
+                self.number, self.ids, self.mask, self.last = number, ids.to_numpy(), bits(mask), bits(last)
             take = min(upto - at, self.full - inside)
-            mask = self.mask[inside : inside + take]
-            expected = np.full(take, INSIDE, np.uint8)
-            if at + take == upto:
-                expected[-1] |= LAST
-            if not np.array_equal(mask, expected):
-                raise ValueError("mask and index of a sequence file disagree")
-            yield self.ids[inside : inside + take]
+            here = slice(inside, inside + take)
+            ends = np.flatnonzero(self.last[here]).tolist()
+            if not self.mask[here].all() or ends != ([take - 1] if at + take == upto else []):
+                raise ValueError("masks and index of a sequence file disagree")
+            yield self.ids[here]
             at += take
 
 
@@ -286,7 +309,7 @@ class ArrowSequences(DataSource):
 
     def schema(self) -> T.StructType:
         if self.options.get("rows", "documents") == "sequences":
-            return T.StructType().add("sequence", "long").add("ids", T.ArrayType(T.IntegerType())).add("mask", T.ArrayType(T.ByteType()))
+            return T.StructType().add("sequence", "long").add("ids", T.ArrayType(T.IntegerType())).add("mask", T.ArrayType(T.BooleanType())).add("last", T.ArrayType(T.BooleanType()))
         fields = T.StructType.fromJson(read_manifest(self.options["path"])["key"])
         for name in ("start", "n_tokens", "ids_crc32"):
             fields = fields.add(name, T.LongType())
@@ -329,13 +352,13 @@ def read_documents(spark: SparkSession, folder: str, ids: bool = False) -> DataF
 
 
 def read_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    """``sequence`` (number from 0 in the folder), ``ids`` and ``mask`` of every sequence."""
+    """``sequence`` (number from 0 in the folder), ``ids``, ``mask`` and ``last`` of every sequence."""
     spark.dataSource.register(ArrowSequences)
     return spark.read.format(FORMAT).option("rows", "sequences").load(folder)
 
 
 class Sequences:
-    """Random access for a training loop: ``self[i]`` is a view of the ids and of the mask of sequence ``i``."""
+    """Random access for a training loop: ``self[i]`` is a view of the ids (numpy) and of the two masks (Arrow) of sequence ``i``."""
 
     def __init__(self, folder: str):
         facts = read_manifest(folder)
@@ -347,7 +370,7 @@ class Sequences:
     def __len__(self) -> int:
         return self.firsts[-1]
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray, pa.BooleanArray]:
         if not 0 <= i < len(self):
             raise IndexError(i)
         part = bisect_right(self.firsts, i) - 1
@@ -355,4 +378,4 @@ class Sequences:
             self.files[part] = pa.ipc.open_file(_source(self.place, f"{self.path}/{self.names[part]}.sequences.arrow"))
         number, row = divmod(i - self.firsts[part], self.batch)
         one = self.files[part].get_batch(number).slice(row, 1)
-        return flat(one.column("ids")), flat(one.column("mask"))
+        return flat(one.column("ids")).to_numpy(), flat(one.column("mask")), flat(one.column("last"))
