@@ -192,7 +192,7 @@ def _blank(text: Column) -> Column:
 def inspect(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Rows numbered in their conversation, with their first fault: ``_key``, ``_pos`` (from 0), ``_turn``, ``_role``, ``_text``, ``_fault``.
 
-    Order is by turn, role, text, nulls first. A null role or text is one space. Faults, the first
+    A null role or text is one space. Order is by turn (nulls first), role, text. Faults, the first
     that holds: ``blank`` (no character but space, tab and line breaks), ``duplicate`` (role and
     text of an earlier row), ``truncated`` (the last other character is none of ``.!?``), else null.
     """
@@ -324,7 +324,9 @@ def repair_conversations(
     parts = cut(_same_place(parts, after, "_after"))
 
     def ends(row: dict) -> dict:
-        return {"_key": row["_key"], "_seg": row["_seg"], "_v": [unroll(row["_symbols"], s, tuple(row["_after"]))[1] for s in range(4)]}
+        alone = not row["_seg"] and len(row["_symbols"]) < segment  # then it is entered at the start only
+        after = tuple(row["_after"])
+        return {"_key": row["_key"], "_seg": row["_seg"], "_v": [START if alone and s != START else unroll(row["_symbols"], s, after)[1] for s in range(4)]}
 
     behind = cut(_mapped(parts, _schema(parts, _seg="bigint", _v="array<bigint>"), ends))
     tops, begin = sweep(behind, _followed, lambda maps, given: [[s] for s in _states(maps, given)[:-1]], [START], fan)
