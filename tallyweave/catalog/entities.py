@@ -214,6 +214,48 @@ def period_bounds(spark, folder):
     return rounded(out.select("period", *BOUND_NAMES))
 
 
+def flagged_panels(spark, folder):
+    """Bounds per week and action, week, and period, with the share of events of chain 1, all from one run."""
+    panel = T.actions(spark, folder).withColumn("chain_one", F.col("chain_id") == 1)
+    return B.bound_panels(panel, links(spark, folder), periods(spark), T.FIRST_DAY, T.LAST_DAY, T.ACTIONS, {"chain_one_share": "chain_one"})
+
+
+def flag_sql(keys: str, source: str) -> str:
+    return f"fl AS (SELECT {keys}, {r('avg(CAST(chain_id = 1 AS INTEGER))', 12)} AS chain_one_share FROM {source} GROUP BY ALL)"
+
+
+FINE_COLUMNS = BOUND_COLUMNS.replace(", 9) + 0.0", ", 12) + 0.0")  # shares of 320 events fall on ties at fewer digits
+_DENSE = ", ".join(f"coalesce({c}, 0) AS {c}" for c in [*BOUND_NAMES, "chain_one_share"])
+
+
+@query(
+    "e04_dense_week_action_bounds",
+    f"""WITH {ACTIONS}, {LINKS}, {bound_sql('event_week, action', 'actions')}, {flag_sql('event_week, action', 'actions')},
+o AS (SELECT event_week, action, {FINE_COLUMNS}, chain_one_share FROM gs JOIN m1 USING (event_week, action) JOIN m2 USING (event_week, action) JOIN fl USING (event_week, action) LEFT JOIN ac USING (event_week, action)),
+sp AS (SELECT CAST(w AS INTEGER) AS event_week, action FROM range({T.FIRST_DAY}, {T.LAST_DAY} + 1) x(w), (SELECT DISTINCT action FROM actions))
+SELECT CAST(event_week AS BIGINT) AS event_week, action, o.event_count IS NOT NULL AS cell_observed, {_DENSE} FROM sp LEFT JOIN o USING (event_week, action)""",
+)
+def dense_week_action_bounds(spark, folder):
+    return rounded(flagged_panels(spark, folder)[0].select("event_week", "action", "cell_observed", *BOUND_NAMES, "chain_one_share"), 12)
+
+
+@query(
+    "e04_week_bounds",
+    f"""WITH {ACTIONS}, {LINKS}, {bound_sql('event_week', 'actions')}, {flag_sql('event_week', 'actions')}
+SELECT CAST(event_week AS BIGINT) AS event_week, {FINE_COLUMNS}, chain_one_share FROM gs JOIN m1 USING (event_week) JOIN m2 USING (event_week) JOIN fl USING (event_week) LEFT JOIN ac USING (event_week)""",
+)
+def week_bounds(spark, folder):
+    return rounded(flagged_panels(spark, folder)[1].select("event_week", *BOUND_NAMES, "chain_one_share"), 12)
+
+
+@query(
+    "e04_flagged_period_bounds",
+    f"""WITH {ACTIONS}, {LINKS}, {PERIOD_ACTIONS}, {bound_sql('period', 'pa')}, {flag_sql('period', 'pa')} SELECT period, {FINE_COLUMNS}, chain_one_share FROM gs JOIN m1 USING (period) JOIN m2 USING (period) JOIN fl USING (period) LEFT JOIN ac USING (period)""",
+)
+def flagged_period_bounds(spark, folder):
+    return rounded(flagged_panels(spark, folder)[2].select("period", *BOUND_NAMES, "chain_one_share"), 12)
+
+
 @query(
     "j08_constraint_containment",
     f"""WITH {ACTIONS}, {LINKS}, gs AS (SELECT event_week, min(block_number) AS lo, max(block_number) AS hi FROM actions GROUP BY ALL)

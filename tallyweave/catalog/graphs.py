@@ -247,8 +247,9 @@ def katz_concentration(spark, folder):
 
 from tallyweave.operators import coreperiphery as CP  # noqa: E402
 from tallyweave.operators.ordering import group_ordinal  # noqa: E402
+from tallyweave.operators.sizing import with_scalar  # noqa: E402
 
-_TABLES: dict = {}
+CHAIN = ["chain_id"]
 
 
 def flat_graph(spark, folder):
@@ -256,12 +257,15 @@ def flat_graph(spark, folder):
 
 
 def node_tables(spark, folder):
-    """Node table, fits and binary summary, computed once per application and folder."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _TABLES:
-        table, fits, summary = CP.node_table(T.actions(spark, folder))
-        _TABLES[key] = (cut(table), cut(fits), cut(summary))
-    return _TABLES[key]
+    """Node table, continuous fits, binary summaries and binary candidates of both chains, from one run."""
+    return CP.node_table(T.actions(spark, folder), CHAIN)
+
+
+def first_chain(spark, folder):
+    """The first chain's graph and its node table, for the display backbone."""
+    actions = T.actions(spark, folder).where("chain_id = 0")
+    flat = cut(G.undirected(G.role_edges(actions, []), []))
+    return flat, cut(CP.node_table(actions, [])[0])
 
 
 ONE_GRAPH = """e AS (SELECT actor_address AS src, beneficiary_address AS dst, count(*) AS w FROM actions WHERE actor_address <> beneficiary_address GROUP BY ALL),
@@ -284,14 +288,22 @@ def rombach_template(spark, folder):
     return rounded(out.select("node", "ordinal", "profile"), 12)
 
 
+def continuous_fits(spark, folder):
+    """Coreness and fits of both chains; every lane is solved in the same jobs."""
+    edges = cut(G.role_edges(T.actions(spark, folder), CHAIN))
+    flat = cut(G.undirected(edges, CHAIN))
+    starts = cut(CP.rombach_starts(flat, G.core_numbers(edges, CHAIN), G.pagerank(edges, CHAIN), CHAIN))
+    return CP.fit_rombach(flat, starts, CHAIN)
+
+
 @query("g09_rombach_parameter_fits")
 def rombach_parameter_fits(spark, folder):
-    return rounded(node_tables(spark, folder)[1])
+    return rounded(continuous_fits(spark, folder)[1])
 
 
 @query("g10_rombach_coreness")
 def rombach_coreness(spark, folder):
-    return rounded(node_tables(spark, folder)[0].select("address", "rombach_coreness"))
+    return rounded(continuous_fits(spark, folder)[0])
 
 
 BE_SCORE = """CASE WHEN k <= 0 OR k >= n OR ones >= pairs THEN 0 ELSE ((m - p) / pairs - m / pairs * ones / pairs) / sqrt(m / pairs * (1 - m / pairs) * (ones / pairs) * (1 - ones / pairs)) END"""
@@ -312,19 +324,49 @@ def core_size_scan(spark, folder):
     scores = G.both_ways(flat, []).groupBy(F.col("src").alias("node")).agg(
         F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weighted_degree")
     )
-    orderings = CP.be_orderings(scores, ("unweighted_degree", "weighted_degree"))
+    orderings = CP.be_orderings(scores, [], ("unweighted_degree", "weighted_degree"))
     scan = CP.scan_core_sizes(flat, orderings, ["ordering"])
     return rounded(scan.select("ordering", "core_size", "peripheral_edge_count", "score"))
 
 
+def binary_fits(spark, folder):
+    """Binary cores of both chains from the orderings that need no fit."""
+    edges = cut(G.role_edges(T.actions(spark, folder), CHAIN))
+    flat = cut(G.undirected(edges, CHAIN))
+    starts = cut(CP.rombach_starts(flat, G.core_numbers(edges, CHAIN), G.pagerank(edges, CHAIN), CHAIN))
+    return CP.fit_borgatti_everett(flat, starts, CHAIN, ("unweighted_degree", "weighted_degree", "k_core_then_degree"))
+
+
 @query("g12_g13_binary_core")
 def binary_core(spark, folder):
     return rounded(node_tables(spark, folder)[2])
 
 
+@query(
+    "g13_candidate_scores",
+    f"""WITH {ACTIONS}, {EDGES}, {SYMMETRIC}, {cores_sql('chain_id', 14)},
+flat AS (SELECT chain_id, least(src, dst) AS src, greatest(src, dst) AS dst, CAST(sum(w) AS BIGINT) AS w FROM e GROUP BY ALL),
+deg AS (SELECT chain_id, node, count(*) AS degree, sum(w) AS weight FROM (SELECT chain_id, src AS node, w FROM flat UNION ALL SELECT chain_id, dst, w FROM flat) GROUP BY ALL),
+sc AS (SELECT chain_id, node, degree, weight, core FROM deg JOIN k14 USING (chain_id, node)),
+ords AS (SELECT chain_id, 'unweighted_degree' AS ordering, node, row_number() OVER (PARTITION BY chain_id ORDER BY degree DESC, node) AS i FROM sc
+  UNION ALL SELECT chain_id, 'weighted_degree', node, row_number() OVER (PARTITION BY chain_id ORDER BY weight DESC, node) FROM sc
+  UNION ALL SELECT chain_id, 'k_core_then_degree', node, row_number() OVER (PARTITION BY chain_id ORDER BY core DESC, degree DESC, node) FROM sc),
+mr AS (SELECT a.chain_id, a.ordering, least(a.i, b.i) AS i, count(*) AS c FROM flat JOIN ords a ON a.chain_id = flat.chain_id AND a.node = flat.src
+  JOIN ords b ON b.chain_id = flat.chain_id AND b.node = flat.dst AND a.ordering = b.ordering GROUP BY ALL),
+pe AS (SELECT o.chain_id, o.ordering, o.i AS k, coalesce(sum(c) OVER (PARTITION BY o.chain_id, o.ordering ORDER BY o.i), 0) AS covered FROM ords o LEFT JOIN mr USING (chain_id, ordering, i)),
+nm AS (SELECT chain_id, (SELECT count(*) FROM deg WHERE deg.chain_id = flat.chain_id) AS n, count(*) AS m FROM flat GROUP BY ALL),
+fit AS (SELECT chain_id, ordering, k, m - covered AS p, CAST(n AS DOUBLE) AS n, CAST(m AS DOUBLE) AS m, n * (n - 1) / CAST(2 AS DOUBLE) AS pairs, n * (n - 1) / CAST(2 AS DOUBLE) - (n - k) * (n - k - 1) / CAST(2 AS DOUBLE) AS ones
+  FROM pe JOIN nm USING (chain_id) WHERE k >= 2),
+val AS (SELECT chain_id, ordering, k, {BE_SCORE} AS score FROM fit)
+SELECT chain_id, ordering, k AS core_size, {r('score')} AS score FROM val QUALIFY row_number() OVER (PARTITION BY chain_id, ordering ORDER BY round(score, 15) DESC, k) = 1""",
+)
+def candidate_scores(spark, folder):
+    return rounded(binary_fits(spark, folder)[2])
+
+
 @query("g15_method_agreement")
 def method_agreement(spark, folder):
-    return rounded(CP.method_agreement(node_tables(spark, folder)[0]))
+    return rounded(CP.method_agreement(cut(node_tables(spark, folder)[0]), CHAIN))
 
 
 @query("g15_node_table")
@@ -334,32 +376,31 @@ def node_table(spark, folder):
 
 @query("g16_backbone")
 def backbone(spark, folder):
-    display, _ = CP.backbone(flat_graph(spark, folder), node_tables(spark, folder)[0])
-    return rounded(display.select("address", "display_reason", "rombach_percentile"))
+    display, _, omitted = CP.backbone(*first_chain(spark, folder))
+    shown = with_scalar(display.select("address", "display_reason", "rombach_percentile"), omitted)
+    return rounded(shown)
 
 
 @query("g16_backbone_edges")
 def backbone_edges(spark, folder):
-    return CP.backbone(flat_graph(spark, folder), node_tables(spark, folder)[0])[1]
+    return CP.backbone(*first_chain(spark, folder))[1]
 
 
 @query("a27_scale_diagnostics")
 def scale_diagnostics(spark, folder):
-    summary = CP.method_agreement(node_tables(spark, folder)[0])
+    summary = CP.method_agreement(cut(node_tables(spark, folder)[0]), CHAIN)
     out = G.scale_diagnostics(summary)
-    return rounded(out.select("node_count", "scaled_pagerank_hhi", "effective_pagerank_fraction", "be_containment", "persistent_share"))
+    return rounded(out.select("chain_id", "node_count", "scaled_pagerank_hhi", "effective_pagerank_fraction", "be_containment", "persistent_share"))
 
 
-NODE_SQL = f"""WITH {ACTIONS}, e AS (SELECT 0 AS g, actor_address AS src, beneficiary_address AS dst, count(*) AS w FROM actions WHERE actor_address <> beneficiary_address GROUP BY ALL),
+NODE_SQL = f"""WITH {ACTIONS}, e AS (SELECT chain_id AS g, actor_address AS src, beneficiary_address AS dst, count(*) AS w FROM actions WHERE actor_address <> beneficiary_address GROUP BY ALL),
 sym AS MATERIALIZED (SELECT DISTINCT g, src, dst FROM (SELECT g, src, dst FROM e UNION ALL SELECT g, dst, src FROM e)), {cores_sql('g', 14)}, {pagerank_sql('g', 24)},
-st AS (SELECT node, sum(o) AS o, sum(i) AS i FROM (SELECT src AS node, CAST(w AS DOUBLE) AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, w FROM e) GROUP BY ALL)
-SELECT st.node AS address, CASE WHEN st.o > 0 AND st.i > 0 THEN 'actor_and_beneficiary' WHEN st.o > 0 THEN 'actor_only' ELSE 'beneficiary_only' END AS address_role, CAST(st.o AS DOUBLE) AS weighted_out_degree, CAST(st.i AS DOUBLE) AS weighted_in_degree,
- {r('rank')} AS pagerank, core AS core_number, core = max(core) OVER () AS maximum_k_core_member FROM st JOIN k14 ON k14.node = st.node JOIN pr ON pr.node = st.node"""
+st AS (SELECT g, node, sum(o) AS o, sum(i) AS i FROM (SELECT g, src AS node, CAST(w AS DOUBLE) AS o, 0 AS i FROM e UNION ALL SELECT g, dst, 0, w FROM e) GROUP BY ALL)
+SELECT g AS chain_id, st.node AS address, CASE WHEN st.o > 0 AND st.i > 0 THEN 'actor_and_beneficiary' WHEN st.o > 0 THEN 'actor_only' ELSE 'beneficiary_only' END AS address_role, CAST(st.o AS DOUBLE) AS weighted_out_degree, CAST(st.i AS DOUBLE) AS weighted_in_degree,
+ {r('rank')} AS pagerank, core AS core_number, core = max(core) OVER (PARTITION BY g) AS maximum_k_core_member FROM st JOIN k14 USING (g, node) JOIN pr USING (g, node)"""
 
 
 @query("g15_node_measures", NODE_SQL)
 def node_measures(spark, folder):
-    table = node_tables(spark, folder)[0]
-    return rounded(
-        table.select("address", "address_role", "weighted_out_degree", "weighted_in_degree", "pagerank", "core_number", "maximum_k_core_member")
-    )
+    edges = cut(G.role_edges(T.actions(spark, folder), CHAIN))
+    return rounded(CP.node_measures(edges, cut(G.pagerank(edges, CHAIN)), cut(G.core_numbers(edges, CHAIN)), CHAIN))

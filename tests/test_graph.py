@@ -170,17 +170,78 @@ STAR = [("a", "b", 4)] + [(x, y, 1) for x in "ab" for y in "cdef"]
 
 
 def test_core_periphery_recovers_the_ideal_structure(spark):
-    flat = spark.createDataFrame(STAR, "src string, dst string, weight bigint")
-    starts = CP.rombach_starts(flat, G.core_numbers(flat, []), G.pagerank(flat, []))
-    coreness, fits = CP.fit_rombach(flat, starts, alphas=(0.5,), betas=(0.7,))
-    scores = {r.node: r.rombach_coreness for r in coreness.collect()}
-    assert max(scores.values()) == 1.0
-    assert min(scores["a"], scores["b"]) > max(v for n, v in scores.items() if n not in "ab")
-    assert fits.count() == 1
-    core, summary = CP.fit_borgatti_everett(flat, starts.join(coreness, "node"))
-    assert {r.node for r in core.where("core").collect()} == {"a", "b"}
-    row = summary.first()
-    assert row.core_node_count == 2 and row.fit_correlation == pytest.approx(1.0)
+    """Two graphs in one job: the ideal one, and the same with other names and weights."""
+    twin = [("y", a.upper(), b.upper(), 2 * w) for a, b, w in STAR]
+    flat = spark.createDataFrame([("x", *e) for e in STAR] + twin, "g string, src string, dst string, weight bigint")
+    starts = CP.rombach_starts(flat, G.core_numbers(flat, ["g"]), G.pagerank(flat, ["g"]), ["g"])
+    coreness, fits = CP.fit_rombach(flat, starts, ["g"], alphas=(0.5,), betas=(0.7,))
+    scores = {(r.g, r.node): r.rombach_coreness for r in coreness.collect()}
+    for g, names in (("x", "abcdef"), ("y", "ABCDEF")):
+        mine = {n: scores[(g, n)] for n in names}
+        assert max(mine.values()) == 1.0 and min(list(mine.values())[:2]) > max(list(mine.values())[2:])
+    assert fits.count() == 2 and all(r.converged and r.rounds >= 0 for r in fits.collect())
+    core, summary, candidates = CP.fit_borgatti_everett(flat, starts.join(coreness, ["g", "node"]), ["g"])
+    assert {(r.g, r.node) for r in core.where("core").collect()} == {("x", "a"), ("x", "b"), ("y", "A"), ("y", "B")}
+    for row in summary.collect():
+        assert row.core_node_count == 2 and row.fit_correlation == pytest.approx(1.0) and row.converged and row.swaps == 0
+    assert candidates.count() == 10
+
+
+def profile_of(n, alpha, beta):
+    b = min(max(int(np.floor(n * beta)), 1), n - 1)
+    raw = np.array([(1 - alpha) * i / (2 * b) if i <= b else (i - b) * (1 - alpha) / (2 * (n - b)) + (1 + alpha) / 2 for i in range(1, n + 1)])
+    return raw / raw.sum()
+
+
+def dense_fit(edges, starts, alphas, betas):
+    """Coreness of one small graph by dense matrices: {node: value}, {(alpha, beta): quality}."""
+    nodes = sorted(starts)
+    place = {v: i for i, v in enumerate(nodes)}
+    m = np.zeros((len(nodes), len(nodes)))
+    for a, b, w in edges:
+        m[place[a], place[b]] += w
+        m[place[b], place[a]] += w
+
+    def placed(score, profile):
+        out = np.zeros(len(nodes))
+        out[sorted(range(len(nodes)), key=lambda i: (score[i], nodes[i]))] = profile
+        return out
+
+    total, weights, quality = np.zeros(len(nodes)), 0.0, {}
+    for alpha in alphas:
+        for beta in betas:
+            profile, best = profile_of(len(nodes), alpha, beta), None
+            for s in range(4):
+                c = placed([starts[v][s] for v in nodes], profile)
+                q = c @ m @ c
+                while True:
+                    pull = m @ c
+                    new = placed(np.round(pull / np.abs(pull).max() + 1e-9 * c, 15), profile)
+                    if new @ m @ new <= q + max(1e-10, abs(q) * 1e-12):
+                        break
+                    c, q = new, new @ m @ new
+                if best is None or q > best[0] + 1e-12:
+                    best = q, c
+            quality[alpha, beta] = best[0]
+            total, weights = total + best[0] * best[1], weights + best[0]
+    total /= weights
+    return dict(zip(nodes, total / total.max())), quality
+
+
+def test_continuous_fits_of_two_graphs_match_dense_matrices(spark):
+    edges = random_edges(21, 14, 40)
+    flat = G.undirected(edge_frame(spark, edges), ["g"])
+    starts = CP.rombach_starts(flat, G.core_numbers(flat, ["g"]), G.pagerank(flat, ["g"]), ["g"])
+    coreness, fits = CP.fit_rombach(flat, starts, ["g"], alphas=(0.25, 0.75), betas=(0.7, 0.9))
+    got, qualities = rows(coreness, "g", "node"), rows(fits, "g", "alpha", "beta")
+    for g in (0, 1):
+        mine = [(r.src, r.dst, r.weight) for r in flat.where(F.col("g") == g).collect()]
+        given = {r.node: (r.s0, r.s1, r.s2, r.s3) for r in starts.where(F.col("g") == g).collect()}
+        values, quality = dense_fit(mine, given, (0.25, 0.75), (0.7, 0.9))
+        for at, q in quality.items():
+            assert qualities[(g, *at)]["raw_quality"] == pytest.approx(q, rel=1e-9)
+        for v, x in values.items():
+            assert got[(g, v)]["rombach_coreness"] == pytest.approx(x, abs=1e-9)
 
 
 def test_template_values(spark):
@@ -193,8 +254,43 @@ def test_template_values(spark):
 def test_refinement_moves_a_misplaced_core(spark):
     flat = spark.createDataFrame(STAR, "src string, dst string, weight bigint")
     flags = spark.createDataFrame([(n, n in "ac") for n in "abcdef"], "node string, core boolean")
-    refined = CP.refine_core(flat, flags)
+    refined, ended = CP.refine_core(flat, flags, [])
     assert {r.node for r in refined.where("core").collect()} == {"a", "b"}
+    assert (ended.first().swaps, ended.first().converged) == (1, True)
+
+
+def refined_by_all_pairs(near, core, most, candidates):
+    """Each swap is the least (change, rank inside, rank outside) over all pairs of candidates."""
+    core, swaps = dict(core), 0
+    while swaps < most:
+        p = {v: sum(not core[u] for u in near[v]) for v in core}
+        inside = sorted((v for v in core if core[v]), key=lambda v: (p[v], v))[:candidates]
+        outside = sorted((v for v in core if not core[v]), key=lambda v: (-p[v], v))[:candidates]
+        pairs = [(p[i] - (o in near[i]) - p[o], a, b) for a, i in enumerate(inside) for b, o in enumerate(outside)]
+        if not pairs or min(pairs)[0] >= 0:
+            return core, swaps, True
+        _, a, b = min(pairs)
+        core[inside[a]], core[outside[b]], swaps = False, True, swaps + 1
+    return core, swaps, False
+
+
+@pytest.mark.parametrize(("frontier", "nearby", "most"), [(512, 2048, 500), (3, 4, 500), (3, 0, 4)])
+def test_refinement_makes_the_swaps_of_all_pairs(spark, frontier, nearby, most):
+    """Four graphs at once, also with frontiers too small to decide more than a swap or two."""
+    edges = random_edges(31, 26, 260, keys=4)
+    flat = G.undirected(edge_frame(spark, edges), ["g"])
+    near = {g: adjacency(edges, g) for g in range(4)}
+    rng = random.Random(5)
+    flags = [(g, v, rng.random() < 0.4) for g in near for v in sorted(near[g])]
+    refined, ended = CP.refine_core(flat, spark.createDataFrame(flags, "g int, node string, core boolean"), ["g"], most, 3, frontier, nearby)
+    got, told = rows(refined, "g", "node"), rows(ended, "g")
+    made = 0
+    for g in near:
+        core, swaps, converged = refined_by_all_pairs(near[g], {v: c for k, v, c in flags if k == g}, most, 3)
+        assert {v: got[(g, v)]["core"] for v in core} == core
+        assert (told[g]["swaps"], told[g]["converged"]) == (swaps, converged)
+        made += swaps
+    assert made > 8
 
 
 def test_scan_scores_match_correlation(spark):
