@@ -221,10 +221,10 @@ def flagged_panels(spark, folder):
 
 
 def flag_sql(keys: str, source: str) -> str:
-    return f"fl AS (SELECT {keys}, {r('avg(CAST(chain_id = 1 AS INTEGER))', 12)} AS chain_one_share FROM {source} GROUP BY ALL)"
+    return f"fl AS (SELECT {keys}, {r('avg(CAST(chain_id = 1 AS INTEGER))', 8)} AS chain_one_share FROM {source} GROUP BY ALL)"
 
 
-FINE_COLUMNS = BOUND_COLUMNS.replace(", 9) + 0.0", ", 12) + 0.0")  # shares of 320 events fall on ties at fewer digits
+FINE_COLUMNS = BOUND_COLUMNS.replace(", 9) + 0.0", ", 8) + 0.0")  # some shares of 320 events are ties at nine to eleven digits
 _DENSE = ", ".join(f"coalesce({c}, 0) AS {c}" for c in [*BOUND_NAMES, "chain_one_share"])
 
 
@@ -236,7 +236,7 @@ sp AS (SELECT CAST(w AS INTEGER) AS event_week, action FROM range({T.FIRST_DAY},
 SELECT CAST(event_week AS BIGINT) AS event_week, action, o.event_count IS NOT NULL AS cell_observed, {_DENSE} FROM sp LEFT JOIN o USING (event_week, action)""",
 )
 def dense_week_action_bounds(spark, folder):
-    return rounded(flagged_panels(spark, folder)[0].select("event_week", "action", "cell_observed", *BOUND_NAMES, "chain_one_share"), 12)
+    return rounded(flagged_panels(spark, folder)[0].select("event_week", "action", "cell_observed", *BOUND_NAMES, "chain_one_share"), 8)
 
 
 @query(
@@ -245,7 +245,7 @@ def dense_week_action_bounds(spark, folder):
 SELECT CAST(event_week AS BIGINT) AS event_week, {FINE_COLUMNS}, chain_one_share FROM gs JOIN m1 USING (event_week) JOIN m2 USING (event_week) JOIN fl USING (event_week) LEFT JOIN ac USING (event_week)""",
 )
 def week_bounds(spark, folder):
-    return rounded(flagged_panels(spark, folder)[1].select("event_week", *BOUND_NAMES, "chain_one_share"), 12)
+    return rounded(flagged_panels(spark, folder)[1].select("event_week", *BOUND_NAMES, "chain_one_share"), 8)
 
 
 @query(
@@ -253,7 +253,7 @@ def week_bounds(spark, folder):
     f"""WITH {ACTIONS}, {LINKS}, {PERIOD_ACTIONS}, {bound_sql('period', 'pa')}, {flag_sql('period', 'pa')} SELECT period, {FINE_COLUMNS}, chain_one_share FROM gs JOIN m1 USING (period) JOIN m2 USING (period) JOIN fl USING (period) LEFT JOIN ac USING (period)""",
 )
 def flagged_period_bounds(spark, folder):
-    return rounded(flagged_panels(spark, folder)[2].select("period", *BOUND_NAMES, "chain_one_share"), 12)
+    return rounded(flagged_panels(spark, folder)[2].select("period", *BOUND_NAMES, "chain_one_share"), 8)
 
 
 @query(

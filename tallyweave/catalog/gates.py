@@ -452,6 +452,28 @@ def table_diff(spark, folder):
     return out.drop("primary_digest", "validation_digest")
 
 
+@query(
+    "j13_diff_status",
+    """SELECT * FROM (VALUES ('itself', true, true, 'full_payload_exact_match'), ('without_fields', true, false, 'consensus_match_provider_metadata_differs'), ('perturbed', false, false, 'consensus_mismatch'))
+t(compared, consensus_match, full_match, validation_status), (SELECT count(*) AS primary_row_count FROM events)""",
+)
+def diff_status(spark, folder):
+    """Status of the events beside themselves in another order, with values missing, and with rows and fields changed."""
+    events = T.table(spark, folder, "events")
+    others = {
+        "itself": events.repartition(5),
+        "without_fields": events.withColumn("value", F.when(F.col("event_id") % 53 != 0, F.col("value"))),
+        "perturbed": perturbed(events),
+    }
+    out = None
+    for name, other in others.items():
+        audit = D.table_diff(events, other, ["event_id"], ["user_id", "event_type", "value"], ["user_id", "event_type"])
+        rows = audit.agg(F.max("primary_row_count").alias("primary_row_count"))
+        row = with_scalar(D.diff_status(audit), rows).withColumn("compared", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out.select("compared", "consensus_match", "full_match", "validation_status", "primary_row_count")
+
+
 @query(
     "j13_window_checks",
     """WITH n AS (SELECT count(*) AS n, max(event_id) AS mx FROM events), p AS (SELECT i, CAST(round_even(i * (n - 1) / CAST(4 AS DOUBLE), 0) AS BIGINT) AS b, mx FROM n, range(5) t(i)),

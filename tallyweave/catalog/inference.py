@@ -280,12 +280,50 @@ def dynamic_effects(spark, folder):
     return rounded(S.dynamic_effects(att), 8)
 
 
-@query("i11_multiplier_bootstrap")
+@query(
+    "i11_multiplier_bootstrap",
+    f"""{ATT_SQL}, dd AS (SELECT unit_id, g, t, treated, d FROM (SELECT a.unit_id, g, t, a.first_treat_period = g AS treated, a.outcome - b.outcome AS d FROM cells JOIN pnl a ON a.period_id = t JOIN pnl b ON b.unit_id = a.unit_id AND b.period_id = cells.b
+  WHERE a.first_treat_period = g OR a.first_treat_period = 0 OR (a.first_treat_period <> g AND a.first_treat_period > greatest(t, cells.b)))),
+inf AS (SELECT unit_id, g, t, (d - m) * CASE WHEN treated THEN 1 ELSE -1 END / n AS w FROM dd JOIN m USING (g, t, treated)),
+u AS (SELECT DISTINCT unit_id FROM inf),
+dig AS (SELECT unit_id, blk, sha256(unit_id || ':' || blk || ':1') AS h FROM u, range(20) x(blk)),
+wt AS (SELECT unit_id, blk * 10 + k AS draw, CASE WHEN CAST('0x' || substr(h, CAST(1 + 6 * k AS INTEGER), 6) AS BIGINT) / CAST(16777216 AS DOUBLE) < (1 + sqrt(5)) / (2 * sqrt(5)) THEN (1 - sqrt(5)) / 2 ELSE (1 + sqrt(5)) / 2 END AS v
+  FROM dig, range(10) y(k) WHERE blk * 10 + k < 199),
+dr AS (SELECT g, t, draw, sum(w * v) AS value FROM inf JOIN wt USING (unit_id) GROUP BY ALL),
+qt AS (SELECT g, t, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / CAST(1.3489795003921634 AS DOUBLE) AS se FROM dr GROUP BY ALL)
+SELECT CAST(a.g AS BIGINT) AS g, a.t, a.n AS treated_units, c.n AS control_units, {r('a.m - c.m', 8)} AS att, {r('sqrt(a.v + c.v)', 8)} AS se, {r('qt.se', 8)} AS bootstrap_se
+FROM m a JOIN m c ON a.g = c.g AND a.t = c.t AND a.treated AND NOT c.treated JOIN qt ON qt.g = a.g AND qt.t = a.t""",
+)
 def multiplier_bootstrap(spark, folder):
     return rounded(S.multiplier_bootstrap(staggered_panel(spark, folder), "unit_id", "period_id", "first_treat_period", "outcome")[1], 8)
 
 
-@query("i12_twfe_event_study")
+# normal equations over unit-demeaned regressors, reduced by Gauss-Jordan steps without pivots (the first period is left out)
+TWFE_SQL = f"""WITH RECURSIVE {PANEL_SQL},
+dt AS (SELECT unit_id, period_id AS p, outcome AS y, CASE WHEN first_treat_period > 0 THEN greatest(least(period_id - first_treat_period, 6), -6) END AS e FROM pnl),
+reg AS (SELECT row_number() OVER (ORDER BY kind, pt) AS i, kind, pt FROM (SELECT DISTINCT 0 AS kind, p AS pt FROM dt WHERE p > (SELECT min(p) FROM dt) UNION ALL SELECT DISTINCT 1, e FROM dt WHERE e IS NOT NULL AND e <> -1)),
+kk AS (SELECT max(i) AS k FROM reg),
+x AS (SELECT unit_id, p, y, i, 1 AS v FROM dt JOIN reg ON (kind = 0 AND pt = p) OR (kind = 1 AND pt = e)),
+nu AS (SELECT unit_id, count(*) AS n, sum(y) AS y FROM dt GROUP BY ALL), cu AS (SELECT unit_id, i, count(*) AS c, sum(y) AS s FROM x GROUP BY ALL),
+pr AS (SELECT a.i, b.i AS j, count(*) AS v FROM x a JOIN x b USING (unit_id, p) GROUP BY ALL),
+ou AS (SELECT a.i, b.i AS j, sum(a.c * b.c / CAST(n AS DOUBLE)) AS v FROM cu a JOIN cu b USING (unit_id) JOIN nu USING (unit_id) GROUP BY ALL),
+mt AS (SELECT a.i, b.i AS j, coalesce(pr.v, 0) - coalesce(ou.v, 0) AS v FROM reg a JOIN reg b ON true LEFT JOIN pr ON pr.i = a.i AND pr.j = b.i LEFT JOIN ou ON ou.i = a.i AND ou.j = b.i),
+rh AS (SELECT i, sum(s - c * nu.y / n) AS v FROM cu JOIN nu USING (unit_id) GROUP BY ALL),
+aug AS (SELECT list(r ORDER BY i) AS m FROM (SELECT mt.i, list_append(list(mt.v ORDER BY j), any_value(rh.v)) || list_transform(range(1, (SELECT k FROM kk) + 1), lambda c: CASE WHEN c = mt.i THEN 1.0 ELSE 0.0 END) AS r FROM mt JOIN rh ON rh.i = mt.i GROUP BY mt.i)),
+gj AS (SELECT CAST(1 AS BIGINT) AS s, m FROM aug UNION ALL
+  SELECT s + 1, list_transform(m, lambda row, i: CASE WHEN i = s THEN list_transform(row, lambda z: z / m[s][s]) ELSE list_transform(row, lambda z, j: z - row[s] * m[s][j] / m[s][s]) END) FROM gj, kk WHERE s <= k),
+sol AS (SELECT m, k FROM gj, kk WHERE s = k + 1),
+co AS (SELECT i, kind, pt, m[i][k + 1] AS b, m[i] AS row FROM reg, sol),
+fit AS (SELECT dt.unit_id, dt.p, dt.e, y - coalesce(cp.b, 0) - coalesce(ce.b, 0) AS u FROM dt LEFT JOIN co cp ON cp.kind = 0 AND cp.pt = p LEFT JOIN co ce ON ce.kind = 1 AND ce.pt = e),
+res AS (SELECT *, u - avg(u) OVER (PARTITION BY unit_id) AS r FROM fit),
+sc AS (SELECT unit_id, i, sum(r) AS g FROM res JOIN reg ON (kind = 0 AND pt = p) OR (kind = 1 AND pt = e) GROUP BY ALL),
+hh AS (SELECT co.i, unit_id, sum(g * co.row[CAST((SELECT k FROM kk) + 1 + sc.i AS INTEGER)]) AS h FROM sc, co WHERE co.kind = 1 GROUP BY ALL),
+va AS (SELECT i, sum(h * h) AS v FROM hh GROUP BY ALL),
+nn AS (SELECT (SELECT count(*) FROM dt) AS n, (SELECT count(*) FROM nu) AS c, (SELECT k FROM kk) + 1 AS params)
+SELECT CAST(pt AS BIGINT) AS event_time, {r('b', 8)} AS estimate, {r('sqrt(v * c / (c - 1) * (n - 1) / (n - params))', 8)} AS cluster_se, n, c AS clusters FROM co JOIN va USING (i), nn WHERE kind = 1"""
+
+
+@query("i12_twfe_event_study", TWFE_SQL)
 def twfe_event_study(spark, folder):
     panel = staggered_panel(spark, folder)
     ever = F.col("first_treat_period") > 0

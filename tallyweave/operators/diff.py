@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.operators.contracts import ContractError, duplicate_keys
 from tallyweave.operators.sizing import small_side
 from tallyweave.sources.fingerprint import digest_slices, SLICES
 
@@ -17,27 +16,39 @@ def table_diff(
 ) -> DataFrame:
     """Field-level audit of two tables matched on a key.
 
-    One full outer join and one aggregate give, per field, the matched and one-sided key
-    counts, values missing on a side, value mismatches and an order-free digest per side.
-    ``consensus`` names the fields whose agreement establishes the same record; the others
-    are provider metadata.
+    Each side is read and shuffled once: rows are grouped by key, which counts repeated keys and keeps
+    the partitioning that the full outer join needs. One aggregate gives, per field, the
+    matched and one-sided key counts, values missing on a side, value mismatches and an order-free
+    digest per side. ``consensus`` names the fields whose agreement establishes the same record;
+    the others are provider metadata. With ``strict`` a repeated key fails the job; without it each
+    key stands for the first of its rows in order of their values, and ``primary_repeated_key_count`` and
+    ``validation_repeated_key_count`` say how many keys that were. Null keys match none.
     """
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        kept = df.groupBy(*[F.col(k).alias(f"{mark}k{i}") for i, k in enumerate(keys)]).agg(
+            F.count(F.lit(1)).alias(f"{mark}n"), F.min(F.struct(*[F.col(f) for f in fields])).alias("_row")
+        )
+        return kept.select(*[f"{mark}k{i}" for i in range(len(keys))], f"{mark}n", *[F.col(f"_row.{f}").alias(f"{mark}_{f}") for f in fields])
+
+    same = reduce(lambda p, q: p & q, [F.col(f"_lk{i}") == F.col(f"_rk{i}") for i in range(len(keys))])
+    joined = side(left, "_l").join(side(right, "_r"), same, "full_outer")
+    joined = joined.withColumns({k: F.coalesce(f"_lk{i}", f"_rk{i}") for i, k in enumerate(keys)})
+    in_left, in_right = F.col("_ln").isNotNull(), F.col("_rn").isNotNull()
+    repeated = (F.coalesce("_ln", F.lit(0)) > 1, F.coalesce("_rn", F.lit(0)) > 1)
     if strict:
-        for side in (left, right):
-            if duplicate_keys(side, keys).limit(1).count():
-                raise ContractError(f"repeated key {keys} in a compared table")
-    a = left.select(*keys, F.lit(True).alias("_l"), *[F.col(f).alias(f"_l_{f}") for f in fields])
-    b = right.select(*keys, F.lit(True).alias("_r"), *[F.col(f).alias(f"_r_{f}") for f in fields])
-    joined = a.join(b, keys, "full_outer")
-    in_left, in_right = F.col("_l").isNotNull(), F.col("_r").isNotNull()
+        broken = F.raise_error(F.lit(f"repeated key {keys} in a compared table")).cast("boolean")
+        joined = joined.where(F.when(repeated[0] | repeated[1], broken).otherwise(F.lit(True)))
     both = in_left & in_right
     identity = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("~")) for k in keys])
     aggregates = [
-        F.count_if(in_left).alias("primary_row_count"),
-        F.count_if(in_right).alias("validation_row_count"),
+        F.coalesce(F.sum("_ln"), F.lit(0)).alias("primary_row_count"),
+        F.coalesce(F.sum("_rn"), F.lit(0)).alias("validation_row_count"),
         F.count_if(both).alias("matched_key_count"),
         F.count_if(in_left & ~in_right).alias("primary_only_key_count"),
         F.count_if(in_right & ~in_left).alias("validation_only_key_count"),
+        F.count_if(repeated[0]).alias("primary_repeated_key_count"),
+        F.count_if(repeated[1]).alias("validation_repeated_key_count"),
     ]
     for i, f in enumerate(fields):
         x, y = F.col(f"_l_{f}"), F.col(f"_r_{f}")
@@ -59,6 +70,7 @@ def table_diff(
         for i, f in enumerate(fields)
     )
     shared = ["primary_row_count", "validation_row_count", "matched_key_count", "primary_only_key_count", "validation_only_key_count"]
+    shared += [] if strict else ["primary_repeated_key_count", "validation_repeated_key_count"]
     long = wide.selectExpr(
         *shared,
         f"stack({len(fields)}, {rows}) AS (field, field_class, primary_missing_count, validation_missing_count, value_mismatch_count, primary_digest, validation_digest)",

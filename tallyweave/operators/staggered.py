@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,14 +107,22 @@ def _att_from_paths(units: DataFrame, periods: list[int]) -> DataFrame:
     )
 
 
-def _uniform(ids: np.ndarray, draw: int, seed: int) -> np.ndarray:
-    """Deterministic uniforms from (unit hash, draw, seed): a 64-bit finaliser."""
-    with np.errstate(over="ignore"):
-        z = ids.astype(np.uint64) + np.uint64((draw + 1) * 0x9E3779B97F4A7C15 % 2**64) + np.uint64(seed * 0xD1B54A32D192ED03 % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
-    return (z >> np.uint64(11)).astype(np.float64) / float(2**53)
+#: Draws that one digest gives, 24 bits each.
+PER_DIGEST = 10
+
+
+def _uniform(units: list[str], draws: int, seed: int) -> np.ndarray:
+    """Uniform numbers (draws by units) from counters: hexadecimal digits of SHA-256 of ``unit:block:seed``.
+
+    Draw d of a unit takes six digits of block d // 10, so any engine with that hash repeats them.
+    """
+    blocks = -(-draws // PER_DIGEST)
+    out = np.empty((blocks * PER_DIGEST, len(units)))
+    for j, name in enumerate(units):
+        digits = "".join(hashlib.sha256(f"{name}:{block}:{seed}".encode()).hexdigest()[: 6 * PER_DIGEST] for block in range(blocks))
+        raw = np.frombuffer(bytes.fromhex(digits), np.uint8).reshape(-1, 3).astype(np.int64)
+        out[:, j] = ((raw[:, 0] << 16) + (raw[:, 1] << 8) + raw[:, 2]) / float(1 << 24)
+    return out[:draws]
 
 
 def multiplier_bootstrap(
@@ -131,15 +140,15 @@ def multiplier_bootstrap(
     centred = _differences(units, cells).join(small_side(att), ["g", "t"])
     mean = F.when(F.col("treated"), F.col("treated_mean")).otherwise(F.col("control_mean"))
     sign = F.when(F.col("treated"), F.lit(1.0) / F.col("treated_units")).otherwise(F.lit(-1.0) / F.col("control_units"))
-    influence = centred.select(F.xxhash64("unit").alias("u"), "g", "t", ((F.col("d") - mean) * sign).alias("w"))
+    influence = centred.select(F.col("unit").cast("string").alias("u"), "g", "t", ((F.col("d") - mean) * sign).alias("w"))
     root5 = 5.0**0.5
     low, high, p_low = (1 - root5) / 2, (1 + root5) / 2, (1 + root5) / (2 * root5)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            ids, inverse = np.unique(batch["u"].to_numpy(), return_inverse=True)
-            weights = np.stack([np.where(_uniform(ids, b, seed) < p_low, low, high) for b in range(draws)])
+            inverse, names = pd.factorize(batch["u"])
+            weights = np.where(_uniform(names.tolist(), draws, seed) < p_low, low, high)
             for key, part in batch.groupby(["g", "t"]):
                 values = weights[:, inverse[part.index.to_numpy()]] @ part["w"].to_numpy()
                 total[key] = total.get(key, 0.0) + values
@@ -174,47 +183,73 @@ def dynamic_effects(att: DataFrame, cell_draws: DataFrame | None = None) -> Data
 
 
 def twfe_event_study(
-    panel: DataFrame, unit: str, period: str, event_time: str, treated: str, outcome: str, reference: int = -1, tolerance: float = 1e-10, maximum_rounds: int = 200
+    panel: DataFrame, unit: str, period: str, event_time: str, treated: str, outcome: str, reference: int = -1
 ) -> DataFrame:
     """Outcome on event-time-by-treated dummies with unit and period effects.
 
-    Two-way demeaning alternates group means until they vanish (one pass on a balanced
-    panel); the normal equations and the unit-clustered meat are aggregates.
+    A row touches two regressors at most, its period and its event time, so it is kept as the
+    numbers of these two. Unit effects are eliminated exactly (Schur complement): a unit
+    takes the outer product of its regressor counts, divided by its rows, from the normal
+    equations. Units with the same counts are counted together before their products are made. What
+    is left is one small system over periods and event times, solved once; periods are then
+    eliminated from it, and event times that can't be told apart get the least solution.
+    Clustered errors need each unit's residual sums weighted with the rows of the solution.
     """
-    times = [r[0] for r in panel.where(F.col(treated).cast("int") == 1).select(event_time).distinct().orderBy(event_time).collect()]
-    times = [t for t in times if t is not None and t != reference]
     hit = F.col(treated).cast("int") == 1
-    names = [f"v{i}" for i in range(len(times) + 1)]
     data = panel.select(
-        F.col(unit).alias("unit"),
-        F.col(period).alias("period"),
-        F.col(outcome).cast("double").alias("v0"),
-        *[F.when(hit & (F.col(event_time) == t), 1.0).otherwise(0.0).alias(f"v{i + 1}") for i, t in enumerate(times)],
-    )
+        F.col(unit).alias("unit"), F.col(period).cast("bigint").alias("p"), F.col(outcome).cast("double").alias("y"),
+        F.when(hit & (F.col(event_time) != reference), F.col(event_time)).cast("bigint").alias("e"),
+    )
     data = cut(data)
-    for _ in range(maximum_rounds):
-        own = data.groupBy("unit").agg(*[F.avg(v).alias(f"m_{v}") for v in names])
-        data = data.join(own, "unit").select("unit", "period", *[(F.col(v) - F.col(f"m_{v}")).alias(v) for v in names])
-        common = cut(data.groupBy("period").agg(*[F.avg(v).alias(f"m_{v}") for v in names]))
-        data = cut(data.join(small_side(common), "period").select("unit", "period", *[(F.col(v) - F.col(f"m_{v}")).alias(v) for v in names]))
-        left = data.groupBy("unit").agg(*[F.abs(F.avg(v)).alias(v) for v in names]).agg(F.max(F.greatest(*names) if len(names) > 1 else F.col("v0"))).first()[0]
-        if (left or 0.0) < tolerance:
-            break
-    else:
-        raise RuntimeError(f"the demeaning did not settle in {maximum_rounds} rounds")
-    k = len(times)
-    xtx = [F.sum(F.col(f"v{i + 1}") * F.col(f"v{j + 1}")) for i in range(k) for j in range(k)]
-    xty = [F.sum(F.col(f"v{i + 1}") * F.col("v0")) for i in range(k)]
-    row = data.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit").alias("units"), F.count_distinct("period").alias("periods"), F.array(*xtx).alias("a"), F.array(*xty).alias("b")).first()
-    inverse = np.linalg.pinv(np.array(row.a).reshape(k, k))
-    beta = inverse @ np.array(row.b)
-    residual = F.col("v0")
-    for i in range(k):
-        residual = residual - F.lit(float(beta[i])) * F.col(f"v{i + 1}")
-    scores = data.withColumn("u", residual).groupBy("unit").agg(*[F.sum(F.col(f"v{i + 1}") * F.col("u")).alias(f"s{i}") for i in range(k)])
-    meat = scores.agg(F.array(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i in range(k) for j in range(k)]).alias("m")).first().m
-    clusters, n, params = row.units, row.n, k + row.periods
+    # one pass over the rows: per unit and regressor the count and sum of outcomes (kind 0 period, 1 event time)
+    touched = F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("kind"), F.col("p").alias("at")), F.when(F.col("e").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("e").alias("at"))))))
+    cells = data.select("unit", "y", touched.alias("x")).groupBy("unit", "x").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("s"))
+    cells = cut(cells)
+    of_period = F.col("x.kind") == 0
+    units = cells.groupBy("unit").agg(
+        F.sum(F.when(of_period, F.col("c"))).cast("double").alias("n"), F.sum(F.when(of_period, F.col("s"))).alias("total"), F.sort_array(F.collect_list(F.struct("x", "c"))).alias("pattern")
+    )  # a unit's pattern is as long as the calendar at most
+    units = cut(units)
+    patterns = units.groupBy("pattern", "n").agg(F.count(F.lit(1)).alias("units"))
+    left = patterns.select("n", "units", "pattern", F.explode("pattern").alias("a")).select("n", "units", "a", F.explode("pattern").alias("b"))
+    outer = left.groupBy(F.col("a.x").alias("a"), F.col("b.x").alias("b")).agg((-F.sum(F.col("units") * F.col("a.c") * F.col("b.c") / F.col("n"))).alias("v"))
+    direct = cells.groupBy(F.col("x").alias("a")).agg(F.sum("c").cast("double").alias("v")).select("a", F.col("a").alias("b"), "v")
+    period_of, event_of = F.struct(F.lit(0).alias("kind"), F.col("p").alias("at")), F.struct(F.lit(1).alias("kind"), F.col("e").alias("at"))
+    crossed = data.where("e IS NOT NULL").groupBy("p", "e").agg(F.count(F.lit(1)).cast("double").alias("v"))
+    crossed = crossed.select(period_of.alias("a"), event_of.alias("b"), "v").unionByName(crossed.select(event_of.alias("a"), period_of.alias("b"), "v"))
+    system = outer.unionByName(direct).unionByName(crossed).groupBy("a", "b").agg(F.sum("v").alias("v")).collect()  # calendar squared
+    means = cells.join(units.select("unit", "n", "total"), "unit")
+    right = means.groupBy("x").agg(F.sum(F.col("s") - F.col("c") * F.col("total") / F.col("n")).alias("v")).collect()
+    clusters = units.count()
+    places = sorted({(r.x.kind, r.x.at) for r in right})
+    number = {at: i for i, at in enumerate(places)}
+    matrix, moments = np.zeros((len(places), len(places))), np.zeros(len(places))
+    for r in system:
+        matrix[number[r.a.kind, r.a.at], number[r.b.kind, r.b.at]] += r.v
+    for r in right:
+        moments[number[r.x.kind, r.x.at]] = r.v
+    n_periods = sum(kind == 0 for kind, _ in places)
+    times = [at for kind, at in places if kind == 1]
+    inner = np.linalg.pinv(matrix[:n_periods, :n_periods])
+    cross = matrix[n_periods:, :n_periods] @ inner
+    inverse = np.linalg.pinv(matrix[n_periods:, n_periods:] - cross @ matrix[:n_periods, n_periods:])
+    beta = inverse @ (moments[n_periods:] - cross @ moments[:n_periods])
+    gamma = inner @ (moments[:n_periods] - matrix[:n_periods, n_periods:] @ beta)
+    rows_of = np.hstack([-inverse @ cross, inverse])  # maps a unit's score over all regressors to its share of each estimate
+    spark = data.sparkSession
+    values = [(int(k), int(at), float(v), [float(x) for x in rows_of[:, i]]) for i, ((k, at), v) in enumerate(zip(places, [*gamma, *beta], strict=True))]
+    known = spark.createDataFrame(values, "kind int, at bigint, v double, w array<double>")
+    by_period, by_event = (F.broadcast(known.where(F.col("kind") == k).select(F.col("at").alias(name), F.col("v").alias(f"v_{name}"), F.col("w").alias(f"w_{name}"))) for k, name in ((0, "p"), (1, "e")))
+    fitted = data.join(by_period, "p").join(by_event, "e", "left")
+    raw = fitted.withColumn("u", F.col("y") - F.col("v_p") - F.coalesce("v_e", F.lit(0.0)))
+    own = raw.groupBy("unit").agg(F.avg("u").alias("m"))
+    none = F.array(*[F.lit(0.0)] * len(times))
+    weight = F.zip_with("w_p", F.coalesce("w_e", none), lambda a, b: a + b)
+    scored = raw.join(own, "unit").select("unit", F.posexplode(weight).alias("i", "w"), (F.col("u") - F.col("m")).alias("u"))
+    spread = scored.groupBy("unit", "i").agg(F.sum(F.col("w") * F.col("u")).alias("h")).groupBy("i").agg(F.sum(F.col("h") * F.col("h")).alias("v"))
+    variance = {r.i: r.v for r in spread.collect()}
+    n = data.count()
+    params = len(times) + n_periods
     small = clusters / (clusters - 1) * (n - 1) / (n - params)
-    cov = inverse @ np.array(meat).reshape(k, k) @ inverse * small
-    rows = [(int(t), float(beta[i]), float(max(cov[i, i], 0.0) ** 0.5), int(n), int(clusters)) for i, t in enumerate(times)]
-    return data.sparkSession.createDataFrame(rows, "event_time bigint, estimate double, cluster_se double, n bigint, clusters bigint")
+    out = [(int(t), float(beta[i]), float(max(variance.get(i, 0.0) * small, 0.0) ** 0.5), int(n), int(clusters)) for i, t in enumerate(times)]
+    return spark.createDataFrame(out, "event_time bigint, estimate double, cluster_se double, n bigint, clusters bigint")
