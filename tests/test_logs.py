@@ -1,3 +1,4 @@
+import hashlib
 import gzip
 import json
 
@@ -145,11 +146,36 @@ def test_gzip_chunks_and_resumable_ingest(spark, tmp_path):
     assert spark.read.parquet(paths["accepted"]).count() == 2
     receipts = spark.read.parquet(paths["receipts"]).collect()
     assert sorted(r.log_count for r in receipts) == [1, 2]
+    for r in receipts:
+        raw = (source / r.chunk.rsplit("/", 1)[1]).read_bytes()
+        assert (r.content_bytes, r.content_sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
     chunk("c.jsonl.gz", [log("supply", [A, B, 7], [C, 1], index=5)])
     with pytest.raises(Exception, match="repeated keys"):
         run()
 
 
+def test_only_batches_that_may_hold_a_key_are_read(spark, tmp_path):
+    from tallyweave.streaming import ingest
+
+    ledger = str(tmp_path / "ledger")
+    table = spark.range(9000).selectExpr("id DIV 3000 AS batch", "id AS block_number", "concat('x', id) AS name")
+    for batch in range(3):
+        ingest.batch_ledger(table.where(F.col("batch") == batch), ["block_number", "name"]).write.parquet(f"{ledger}/batch_id={batch}")
+    keys = ["block_number", "name"]
+
+    def suspects(condition, batch_id=9):
+        return sorted(ingest.suspect_batches(spark, ledger, table.where(condition), keys, batch_id))
+
+    for batch in range(3):
+        for inside in (3000 * batch, 3000 * batch + 2999):
+            assert suspects(F.col("block_number") == inside) == [batch]
+    assert suspects("block_number IN (1, 4000, 8999)") == [0, 1, 2] and suspects("block_number = 1", 0) == []
+    other = table.where("block_number % 100 = 7").withColumn("name", F.concat(F.lit("y"), "name"))
+    seen = [ingest.suspect_batches(spark, ledger, other.where(F.col("block_number") == n), keys, 9) for n in range(7, 1000, 100)]
+    assert sum(map(len, seen)) <= 1  # same blocks, other names
+    assert ingest.suspect_batches(spark, str(tmp_path / "none"), table, keys, 9) == []
+
+
 def test_transfer_normalisation(spark):
     data = [("2024-01-01", 1, "0xt", 0, 1, "0xAB", A, B, "1250000"), ("2024-01-01", 2, "0xu", 0, 1, "0xab", A, B, "1" + "0" * 60)]
     df = spark.createDataFrame(data, "timestamp string, block_number bigint, tx_hash string, log_index int, chain_id bigint, token_address string, from_address string, to_address string, raw_value string")
