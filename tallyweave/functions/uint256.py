@@ -36,12 +36,14 @@ def _resolve(limbs: list[Column] | Column) -> Column:
 def _decimal_limbs(text: Column) -> list[Column]:
     width = LIMB_DIGITS * LIMBS
     digits = F.regexp_replace(F.trim(text), r"^\+?0*", "")
-    wide = F.raise_error(F.concat(F.lit("amount beyond 256 bits: "), digits))
-    padded = F.when(F.length(digits) > width, wide).otherwise(F.lpad(digits, width, "0"))
-    return [
+    padded = F.lpad(digits, width, "0")
+    limbs = [
         F.substring(padded, width - LIMB_DIGITS * (i + 1) + 1, LIMB_DIGITS).cast("bigint")
         for i in range(LIMBS)
     ]
+    # the highest limb alone is checked, so the others share one padded text
+    wide = F.raise_error(F.concat(F.lit("amount beyond 256 bits: "), digits)).cast("bigint")
+    return [*limbs[:-1], F.when(F.length(digits) > width, wide).otherwise(limbs[-1])]
 
 
 def sum_parts(amount: Column | str, prefix: str) -> list[Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import uint256
-from tallyweave.functions.columns import ratio
+from tallyweave.functions.columns import blank_to_null, distinct_present, ratio
 from tallyweave.operators.concentration import (
     concentration,
     concentration_of_units,
@@ -14,6 +14,7 @@ from tallyweave.operators.concentration import (
     unit_weights,
 )
 from tallyweave.operators.sizing import small_side
+from tallyweave.session import cut
 
 ROLES = ["actor_address", "beneficiary_address", "counterparty_address"]
 
@@ -124,7 +125,10 @@ def overlap_panel(
 def incidence_concentration(df: DataFrame, by: list[str], roles: list[str] = ROLES) -> DataFrame:
     """Concentration with each address counted once per event over its roles."""
     rows = incidences(df.select(*by, *roles), roles)
-    out = concentration(rows, by, "address", top=())
+    return _incidence_columns(concentration(rows, by, "address", top=()), by)
+
+
+def _incidence_columns(out: DataFrame, by: list[str]) -> DataFrame:
     return out.select(
         *by,
         F.col("units").alias("active_addresses"),
@@ -135,23 +139,40 @@ def incidence_concentration(df: DataFrame, by: list[str], roles: list[str] = ROL
     )
 
 
-def _distinct_counts(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
-    """Row count and exact distinct counts, each from its own two-step aggregate."""
-    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("event_count"))
-    for name, source in columns.items():
-        distinct = df.select(*by, source).distinct().groupBy(*by).agg(F.count(source).alias(name))
-        out = out.join(distinct, by, "left")
-    return out
+def _cell_measures(df: DataFrame, by: list[str], distinct: dict[str, str], sums: list[Column] = (), roles: list[str] = ROLES) -> DataFrame:
+    """Events, exact distinct counts, incidence concentration and sums per group, from one scan of the events.
+
+    An event becomes a few facts: itself, its value in each counted column, and each address that takes
+    part in it. Facts are counted per group, kind and value, mostly before the shuffle, and that
+    one table of counts gives all measures. ``sums`` are aggregates over the events, named with a
+    leading underscore; they come back under their names.
+    """
+    def fact(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+
+    counted = [F.when(F.col(c).isNotNull(), fact(name, F.col(c))) for name, c in distinct.items()]
+    parties = F.transform(distinct_present([blank_to_null(r) for r in roles]), lambda a: fact("_unit", a))
+    facts = F.concat(F.array_compact(F.array(fact("_event", F.lit("")), *counted)), F.coalesce(parties, F.array().cast("array<struct<kind:string,value:string>>")))
+    own = [c for c in ("amount_raw", "secondary_amount_raw") if c in df.columns]
+    rows = df.select(*by, *own, F.explode(facts).alias("_f")).select(*by, F.col("_f.kind").alias("_kind"), F.col("_f.value").alias("_value"), *own)
+    rows = rows.withColumns({c: F.when(F.col("_kind") == "_event", F.col(c)) for c in own})
+    weights = cut(rows.groupBy(*by, "_kind", "_value").agg(F.count(F.lit(1)).alias("weight"), *sums))
+    names = [c for c in weights.columns if c not in (*by, "_kind", "_value", "weight")]
+    events = F.col("_kind") == "_event"
+    counts = weights.groupBy(*by).agg(
+        F.sum(F.when(events, F.col("weight"))).cast("bigint").alias("event_count"), *[F.count_if(F.col("_kind") == name).alias(name) for name in distinct],
+        *[F.sum(F.when(events, F.col(c))).alias(c) for c in names],
+    )
+    units = weights.where("_kind = '_unit'").select(*by, F.col("_value").alias("address"), "weight")
+    return counts.join(_incidence_columns(concentration_of_units(units, by, top=()), by), by, "left")
 
 
 def action_panel(df: DataFrame, by: list[str], minimum: int, maximum: int, actions: list[str], week: str = "event_week") -> DataFrame:
     """Dense week-by-action panel: events, transactions, reserves, incidence concentration."""
     keys = [*by, week, "action"]
-    counts = _distinct_counts(df, keys, {"transaction_count": "tx_hash", "reserve_count": "reserve_address"})
-    conc = incidence_concentration(df, keys)
+    measures = _cell_measures(df, keys, {"transaction_count": "tx_hash", "reserve_count": "reserve_address"})
     cells = spine(df, by, minimum, maximum, week).withColumn("action", F.explode(F.array(*[F.lit(a) for a in actions])))
-    dense = cells.join(counts, keys, "left").join(conc, keys, "left")
-    return fill_zero(dense, keys)
+    return fill_zero(cells.join(measures, keys, "left"), keys)
 
 
 def reserve_panel(df: DataFrame, by: list[str], week: str = "event_week") -> DataFrame:
@@ -161,12 +182,11 @@ def reserve_panel(df: DataFrame, by: list[str], week: str = "event_week") -> Dat
     parts = uint256.sum_parts("amount_raw", "_p")
     if has_second:
         parts = parts + uint256.sum_parts("secondary_amount_raw", "_s")
-    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count"), *parts)
-    sums = sums.withColumn("total_amount_raw", uint256.render_sum("_p")).drop(*uint256.part_names("_p"))
+    out = _cell_measures(df, keys, {"transaction_count": "tx_hash"}, parts)
+    out = out.withColumn("total_amount_raw", uint256.render_sum("_p")).drop(*uint256.part_names("_p"))
     if has_second:
-        sums = sums.withColumn("total_secondary_amount_raw", uint256.render_sum("_s")).drop(*uint256.part_names("_s"))
-    transactions = df.select(*keys, "tx_hash").distinct().groupBy(*keys).agg(F.count("tx_hash").alias("transaction_count"))
-    return sums.join(transactions, keys).join(incidence_concentration(df, keys), keys, "left")
+        out = out.withColumn("total_secondary_amount_raw", uint256.render_sum("_s")).drop(*uint256.part_names("_s"))
+    return out
 
 
 def beneficiary_metrics(df: DataFrame, by: list[str], unit: str = "beneficiary_address") -> DataFrame:
