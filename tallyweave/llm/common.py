@@ -20,6 +20,13 @@ HOT_SHARE = 1_000
 CHUNK_BYTES = 1 << 18
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def key_match(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of ``keys``, named ``_k_<key>`` on the right side."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys])

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.llm.common import fresh
+
 #: Edits allowed, as a share of an item's length.
 ERROR_RATE = 0.12
 #: Characters of items that one pass over the documents looks for.
@@ -180,10 +182,12 @@ def find_items(
     arrow = to_arrow_schema(schema).field("items").type
     for ids, texts in _blocks(benchmark, item, item_text):
         whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-        out = out.withColumn("_text", whole).mapInArrow(search(Items.of(texts, rate), ids), schema)
+        out = out.select("*", whole.alias(fresh(out, "_text"))).mapInArrow(search(Items.of(texts, rate), ids), schema)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """``docs`` without the rows in which an item of ``benchmark`` occurs; columns pass through."""
-    return find_items(docs, benchmark, **options).filter(F.size("items") == 0).drop("items")
+    held = fresh(docs, "items")
+    found = find_items(docs.withColumnRenamed("items", held) if held != "items" else docs, benchmark, **options)
+    return found.filter(F.size("items") == 0).drop("items").withColumnRenamed(held, "items").select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.common import checked, components, join_groups, mix, span_hashes, text_chunks, words
+from tallyweave.llm.common import checked, components, fresh, join_groups, mix, span_hashes, text_chunks, words
 from tallyweave.session import cut
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -343,12 +343,13 @@ def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     kept = cut(kept.filter("_n > 1"))
     marked = join_groups(found, kept, ["class_set"], "_n", "inner")
     mine = F.col("_best.k").eqNullSafe(F.col(key)) & (F.col("_best.m") == F.col("text_md5"))
-    rows = marked.groupBy(F.col(key).alias("_key"), F.col("text_md5").alias("_md5")).agg(F.max(mine).alias("_first"), F.count(F.lit(1)).alias("_same"))
-    rows = cut(rows.filter("not _first or _same > 1"))  # rows that go, and kept rows that are repeated
-    tagged = docs.withColumn("_own_md5", F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    of_key, of_text, first, same, own = (fresh(docs, c) for c in ("_key", "_md5", "_first", "_same", "_own_md5"))
+    rows = marked.groupBy(F.col(key).alias(of_key), F.col("text_md5").alias(of_text)).agg(F.max(mine).alias(first), F.count(F.lit(1)).alias(same))
+    rows = cut(rows.filter(~F.col(first) | (F.col(same) > 1)))  # rows that go, and kept rows that are repeated
+    tagged = docs.withColumn(own, F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
     side = checked(rows)
-    tagged = tagged.join(side, tagged[key].eqNullSafe(side["_key"]) & (tagged["_own_md5"] == side["_md5"]), "left")
+    tagged = tagged.join(side, tagged[key].eqNullSafe(side[of_key]) & (tagged[own] == side[of_text]), "left")
     names = docs.columns
-    single = tagged.filter("_first is null").select(*names)
-    repeated = tagged.filter("_first").dropDuplicates(["_key", "_md5"]).select(*names)
+    single = tagged.filter(F.col(first).isNull()).select(*names)
+    repeated = tagged.filter(F.col(first)).dropDuplicates([of_key, of_text]).select(*names)
     return single.unionByName(repeated)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.common import span_hashes, text_chunks, words
+from tallyweave.llm.common import fresh, span_hashes, text_chunks, words
 
 #: Labelled rows that are learned from: those with the smallest hashes, a third of them from each label at least if there are so many.
 SAMPLE = 3000
@@ -189,7 +189,7 @@ def score_quality(docs: DataFrame, space: Space, text: str = "text") -> DataFram
     """
     kept = docs.drop("score", "predicted")
     names = kept.columns
-    rows = kept.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = kept.select("*", F.coalesce(F.col(text).cast("string"), F.lit("")).alias(fresh(kept, "_text")))
     schema = T.StructType([*[kept.schema[c] for c in names], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -289,7 +289,7 @@ c AS (
          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
          sum(length(text) + length(regexp_replace(text, '[^\\\\<\\[\\]]', '', 'g'))
              + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11
-                    ELSE 16 + length(role) + length(regexp_replace(role, '[^\\\\<\\[\\]]', '', 'g')) END) + 3 * ((count(*) + 511) // 512) AS formatted_chars
+                    ELSE 16 + length(role) + length(regexp_replace(role, '[^\\\\<\\[\\]]', '', 'g')) END) + 3 AS formatted_chars
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256,
        CAST(formatted_chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_rewrites

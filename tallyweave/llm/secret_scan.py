@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.llm.common import fresh
 from tallyweave.session import cut
 
 #: Pieces of the corpus that training may use: those with the smallest hashes.
@@ -531,9 +532,10 @@ def scan_secrets(docs: DataFrame, field: Field | None = None, text: str = "text"
     """
     model = field or train(docs, text)
     weights, moves = model.weights, model.moves.tolist()
-    kept = docs.drop("secrets").withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    kept = docs.drop("secrets")
+    rows = kept.select("*", F.coalesce(F.col(text).cast("string"), F.lit("")).alias(fresh(kept, "_text")))
     spot = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
-    names = [c for c in kept.columns if c != "_text"]
+    names = kept.columns
     schema = T.StructType([*[kept.schema[c] for c in names], T.StructField("secrets", spot)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -552,12 +554,13 @@ def scan_secrets(docs: DataFrame, field: Field | None = None, text: str = "text"
                 found.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(found, arrow)], [*names, "secrets"])
 
-    return kept.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, schema)
 
 
 def redact(docs: DataFrame, field: Field | None = None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret span of ``text`` replaced by ``mark``; overlapping spans become one mark."""
-    scanned = scan_secrets(docs, field, text)
+    """``docs`` with every secret span of ``text`` replaced by ``mark``; overlapping spans become one mark. Columns pass through."""
+    held = fresh(docs, "secrets")
+    scanned = scan_secrets(docs.withColumnRenamed("secrets", held) if held != "secrets" else docs, field, text)
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc, span):  # noqa: ANN001, ANN202
@@ -568,4 +571,5 @@ def redact(docs: DataFrame, field: Field | None = None, text: str = "text", mark
         )
 
     cleaned = F.aggregate("secrets", state, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), (acc["at"] + 1).cast("int"))))
-    return scanned.withColumn(text, F.when(F.size("secrets") > 0, cleaned).otherwise(F.col(text))).drop("secrets")
+    clean = scanned.withColumn(text, F.when(F.size("secrets") > 0, cleaned).otherwise(F.col(text))).drop("secrets")
+    return clean.withColumnRenamed(held, "secrets").select(*docs.columns)

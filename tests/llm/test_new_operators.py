@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyweave.llm import period_runs, queries, sequence_files, turn_repair
+from tallyweave.llm import decontaminate, ngram_join, period_runs, quality_classifier, queries, secret_scan, sequence_files, turn_repair
 from tallyweave.session import scratch_folder
 
 from .fixtures import SCHEMA, documents, prose
@@ -155,6 +155,31 @@ def test_damage_follows_the_checksum(spark):
     assert got == +want
 
 
+# ---- columns that have names of the operators' own
+
+CLASHES = ["_text", "_key", "_md5", "_first", "_same", "_own_md5", "_w", "_l", "_row", "_size", "items", "secrets", "score_", "_pos", "_seg", "start"]
+
+
+@pytest.mark.parametrize("stage", ["near", "clean", "scored", "redacted"])
+def test_stages_pass_clashing_columns_through(spark, stage):
+    rows = [(i, prose(40, i % 5), *range(len(CLASHES))) for i in range(10)] + [(11, "password: hunter2secret9x " + prose(40, 77), *range(len(CLASHES)))]
+    table = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{c} int" for c in CLASHES]]))
+    if stage == "near":
+        out, count = ngram_join.one_per_class(table), 6
+    elif stage == "clean":
+        out, count = decontaminate.decontaminate(table, spark.createDataFrame([(1, prose(40, 3))], "item_id long, text string")), 9
+    elif stage == "scored":
+        labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+        out, count = quality_classifier.score_quality(table, quality_classifier.train(table.select("doc_id", "text"), labels)).drop("score", "predicted"), 11
+    else:
+        out, count = secret_scan.redact(table), 11
+    got = out.collect()
+    assert out.columns == table.columns and len(got) == count
+    assert all(tuple(r)[2:] == tuple(range(len(CLASHES))) for r in got)
+    secret = [r["text"] for r in got if r["doc_id"] == 11][0]
+    assert ("hunter2" in secret) == (stage != "redacted") and ("[SECRET]" in secret) == (stage == "redacted")
+
+
 # ---- periodic runs
 
 
