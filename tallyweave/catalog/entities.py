@@ -67,9 +67,12 @@ def code_classes(spark, folder):
 def registry(spark, folder):
     """Registry of the event addresses; labels for contracts come from the address itself."""
     universe = E.address_universe(T.actions(spark, folder).withColumn("chain_id", F.lit(1)))[0]
-    facts = E.classify_code(code_records(universe.select("address")))
+    return E.versioned_registry(universe, E.classify_code(code_records(universe.select("address"))), address_labels(universe), "v1")
+
+
+def address_labels(universe):
     label = F.col("address")
-    labels = universe.where((label % 7).isin(2, 3, 4, 5) & (label % 2 == 0)).select(
+    return universe.where((label % 7).isin(2, 3, 4, 5) & (label % 2 == 0)).select(
         "address",
         F.concat(F.lit("ent"), (label % 11).cast("string")).alias("entity_id"),
         F.when(label % 3 == 0, F.lit("economic_actor")).otherwise(F.lit("protocol_infrastructure")).alias("entity_scope"),
@@ -77,7 +80,6 @@ def registry(spark, folder):
         F.lit(1).cast("bigint").alias("valid_from_block"),
         F.lit(9).cast("bigint").alias("valid_to_block"),
     )
-    return E.versioned_registry(universe, facts, labels, "v1")
 
 
 REGISTRY = f"""inc AS (SELECT DISTINCT event_week, action, log_index, unnest([actor_address, beneficiary_address, counterparty_address]) AS address FROM actions),
@@ -385,6 +387,22 @@ def cohort_support(spark, folder):
     )
 
 
+@query(
+    "a28_acquisition_windows",
+    f"""WITH {COHORTS}, {DONORS}, ws2 AS (SELECT wf.id, wf.event_week, clean, dirty, req, count(*) FILTER (a AND b AND c) AS el FROM wf LEFT JOIN dn ON dn.target = wf.id AND dn.event_week = wf.event_week GROUP BY ALL),
+g AS (SELECT id, count(*) FILTER (clean) AS cp, count(*) FILTER (req) AS rq, count(*) FILTER (req AND el >= 1) AS sup, coalesce(min(el) FILTER (req), 0) AS mn FROM ws2 GROUP BY ALL),
+h AS (SELECT id, chain, act, opened <= act - to_days(112) AND cp >= 8 AND sup = rq AND mn >= 1 AND NOT bundled AS gate FROM g JOIN c2 USING (id))
+SELECT id AS cohort_id, chain, CAST(act - to_days(112) AS VARCHAR)[1:10] AS first_day, CAST(act + to_days(119) AS VARCHAR)[1:10] AS end_day, gate AS activation_did_design_gate,
+ CASE WHEN gate THEN 'causal-diagnostics-pending-data-and-assumptions' ELSE 'descriptive-and-network-comparison' END AS default_analysis_role FROM h""",
+)
+def acquisition_windows(spark, folder):
+    base, weeks = cohorts(spark, folder), flagged_weeks(spark, folder)
+    gate = D.cohort_support(D.week_support(weeks, D.donor_support(weeks, base)), base).select("cohort_id", "activation_did_design_gate")
+    support = gate.join(base.select("cohort_id", "chain", "activation_utc"), "cohort_id")
+    day = [F.to_date(c).cast("string").alias(n) for c, n in (("window_start_utc", "first_day"), ("window_end_utc_exclusive", "end_day"))]
+    return D.acquisition_windows(support).select("cohort_id", "chain", *day, "activation_did_design_gate", "default_analysis_role")
+
+
 def plan_inputs(spark, folder):
     base = cohorts(spark, folder)
     n = F.col("cohort_id")

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyweave.catalog.entities import LINKS, PERIOD_ACTIONS, REGISTRY, address_labels, bound_sql, code_records, links, periods
 from tallyweave.catalog.gates import boundary_table
 from tallyweave.catalog.panels import order_panel
-from tallyweave.catalog.registry import ORDER_ACTIONS, query, r, rounded
+from tallyweave.catalog.registry import ACTIONS, ORDER_ACTIONS, query, r, rounded
 from tallyweave.catalog.sources import SRC
+from tallyweave.operators import bounds as B
+from tallyweave.operators import calendars as K
+from tallyweave.operators import entities, panels
+from tallyweave.operators.sizing import with_scalar
 from tallyweave.plans import studies
 from tallyweave.sources import tables as T
 
@@ -56,3 +61,56 @@ def comparison(spark, folder):
     panel = order_panel(spark, folder)
     out = studies.comparison_study(panel, "chain", "MACHINERY", "BUILDING", {"active": "active"}, specs(spark, [("all_weeks", -400, -1, 1, 400, 3)]), 3)
     return rounded(out["estimates"].select("outcome_id", "specification", "n", "estimate"), 8)
+
+
+@query(
+    "study_entity_layer",
+    f"""WITH {ACTIONS}, {REGISTRY}, t AS (SELECT count(*) FILTER (econ) AS resolved FROM rg)
+SELECT 'address_types' AS part, kind || '/' || presence AS name, count(*) AS addresses, CAST(sum(ev) AS BIGINT) AS incidences FROM rg GROUP BY kind, presence
+UNION ALL SELECT 'infrastructure', family, count(*), CAST(sum(ev) AS BIGINT) FROM rg WHERE contract GROUP BY family
+UNION ALL SELECT 'registry', 'all', count(*), CAST(sum(ev) AS BIGINT) FROM rg
+UNION ALL SELECT 'weekly_action', 'cells', {(T.LAST_DAY - T.FIRST_DAY + 1) * len(T.ACTIONS)}, CAST(sum(ev) AS BIGINT) FROM rg
+UNION ALL SELECT 'weekly', 'cells', {T.LAST_DAY - T.FIRST_DAY + 1}, CAST(sum(ev) AS BIGINT) FROM rg""",
+)
+def entity_layer(spark, folder):
+    """All parts of the entity layer, each with its rows or addresses and the incidences it accounts for."""
+    actions = T.actions(spark, folder).withColumn("chain_id", F.lit(1))
+    universe = entities.address_universe(actions)[0]
+    parts = studies.entity_layer(actions, code_records(universe.select("address")), address_labels(universe), "v1", T.FIRST_DAY, T.LAST_DAY, T.ACTIONS)
+
+    def part(name, key, addresses, incidences):
+        return parts[name].groupBy(F.lit(name).alias("part"), key.alias("name")).agg(addresses.cast("bigint").alias("addresses"), F.sum(incidences).cast("bigint").alias("incidences"))
+
+    rows = F.count(F.lit(1))
+    out = part("address_types", F.concat_ws("/", "address_type", "code_presence_class"), F.sum("address_count"), "event_incidence_count")
+    out = out.unionByName(part("infrastructure", F.col("infrastructure_family_id"), F.sum("address_count"), "event_incidence_count"))
+    out = out.unionByName(part("registry", F.lit("all"), rows, "event_incidence_count"))
+    for name in ("weekly_action", "weekly"):
+        out = out.unionByName(part(name, F.lit("cells"), rows, "event_incidence_count"))
+    return out
+
+
+@query(
+    "study_release_results",
+    f"""WITH {ACTIONS}, {LINKS}, {PERIOD_ACTIONS}, {bound_sql('period', 'pa')}, ev AS (SELECT max(h) FILTER (period = 'post') - 1 AS lo, 1 - max(h) FILTER (period = 'pre') AS hi FROM m2),
+n AS (SELECT CAST(chain_id AS VARCHAR) AS chain, count(*) AS events FROM actions GROUP BY ALL)
+SELECT chain, events AS event_count, events AS snapshot_events, (SELECT count(DISTINCT action) FROM actions) AS guarded_estimates, 'hhi' AS metric, {r('lo')} AS change_lower, {r('hi')} AS change_upper FROM n, ev""",
+)
+def release_results(spark, folder):
+    """The released results of both chains from their tables; a promoted row makes the job fail."""
+    return released(spark, folder, "diagnostic_not_causal")
+
+
+def released(spark, folder, status):
+    actions = T.actions(spark, folder).withColumn("chain", F.col("chain_id").cast("string"))
+    participation = panels.beneficiary_panel(actions, ["chain"], T.FIRST_DAY, T.LAST_DAY)
+    layers = F.explode(F.array(F.lit("all_actions"), F.col("action"))).alias("layer")
+    structure = actions.select("chain", layers).groupBy("chain", "layer").agg(F.count(F.lit(1)).alias("snapshot_events"))
+    estimates = actions.groupBy("action").agg(F.count(F.lit(1)).alias("n")).withColumns({"post_horizon": F.lit(16), "causal_status": F.lit(status)})
+    bounds = B.change_bounds(B.identified_set(K.assign_periods(actions, periods(spark)), links(spark, folder), ["period"]))
+    out = studies.release_results(participation, structure, estimates, bounds)
+    guarded = out["failed_design_horizon_16"].agg(F.count("causal_status").alias("guarded_estimates"))
+    bound = out["economic_actor_hhi_change_bound"].select("metric", "change_lower", "change_upper")
+    means = out["weekly_beneficiary_hhi"].select("chain")
+    joined = out["event_totals"].join(means, "chain").join(out["all_actions_structural_snapshot"].drop("layer"), "chain")
+    return rounded(with_scalar(with_scalar(joined, guarded), bound))

@@ -46,6 +46,13 @@ def test_query_matches_its_sql(spark, sql, name):
     assert left == canonical(result.fetchall(), [names.index(c) for c in ordered])
 
 
+def test_a_promoted_estimate_stops_the_release(spark):
+    from tallyweave.catalog.studies import released
+
+    with pytest.raises(Exception, match="promoted past"):
+        released(spark, FOLDER, "causal").collect()
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
     assert len(QUERIES) - len(ORACLE) < 20
