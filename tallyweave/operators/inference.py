@@ -228,15 +228,19 @@ def event_study(gaps: DataFrame, by: list[str], first: int, last: int, gap: str
     return attach(gaps, base, by).withColumn("gap_relative_to_clean_pre_mean", F.col(gap) - F.col("pre_mean_gap"))
 
 
-def common_panel(panel: DataFrame, calendar: DataFrame, by: list[str], active: str, minimum: int, maximum: int, week: str = "event_week", strict: bool = True) -> DataFrame:
+def common_panel(panel: DataFrame, calendar: DataFrame, by: list[str], active: str, minimum: int, maximum: int, week: str = "event_week", strict: bool = True, expected: list[tuple] | None = None) -> DataFrame:
     """Chains on one calendar with the log1p participation outcome.
 
-    Each chain must have exactly one row per week of the window; ``strict`` checks it.
+    Each chain must have exactly one row per week of the window; ``strict`` checks it, for the
+    chains that ``expected`` names (values of ``by``) or else for those of ``panel`` in any week.
     """
     inside = panel.where(F.col(week).between(minimum, maximum))
     if strict:
         width = maximum - minimum + 1
         counts = inside.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(week).alias("_d"))
+        wanted = panel.sparkSession.createDataFrame(expected, inside.select(*by).schema) if expected else panel.select(*by)
+        same = [F.col(f"_w{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)]
+        counts = wanted.distinct().toDF(*[f"_w{i}" for i in range(len(by))]).join(counts, same, "left").fillna(0, ["_n", "_d"])
         broken = counts.where((F.col("_n") != width) | (F.col("_d") != width)).limit(1).collect()
         if broken:
             raise ValueError(f"a chain lacks one row per week: {broken[0].asDict()}")

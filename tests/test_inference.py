@@ -200,3 +200,16 @@ def test_support_and_plan(spark):
         D.acquisition_plan(support, treatments(spark), markets.where("chain_id < 2"), donors(spark))
     gate = D.verification_gate(donors(spark), 2).first()
     assert (gate.selected, gate.verified, gate.support_audit_eligible, gate.all_verified) == (3, 2, True, False)
+
+
+def test_an_absent_chain_breaks_the_common_panel(spark):
+    from tallyweave.operators.inference import common_panel
+
+    panel = spark.createDataFrame([("a", w, w + 5) for w in range(-2, 3)] + [("b", 9, 1)], "chain string, event_week int, active int")
+    weeks = panel.select("event_week").distinct()
+    whole = panel.where("chain = 'a'")
+    assert common_panel(whole, weeks, ["chain"], "active", -2, 2).count() == 5
+    assert common_panel(whole, weeks, ["chain"], "active", -2, 2, expected=[("a",)]).count() == 5
+    for table, expected in ((whole, [("a",), ("c",)]), (panel, None)):
+        with pytest.raises(ValueError, match="lacks one row per week"):
+            common_panel(table, weeks, ["chain"], "active", -2, 2, expected=expected)
