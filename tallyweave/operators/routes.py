@@ -9,8 +9,8 @@ from tallyweave.functions import uint256
 from tallyweave.functions.columns import all_present, both, exact_integer_text, integer_kind, is_nonnegative_integer_text, present
 from tallyweave.operators.contracts import ContractError, duplicate_keys, require_columns
 from tallyweave.operators.sizing import with_scalar
-from tallyweave.sources.fingerprint import dataset_fingerprint
 from tallyweave.session import cut
+from tallyweave.sources.fingerprint import SLICES, digest_slices, row_text
 
 # Required provenance of a route event and columns of a paired message
 ROUTE_COLUMNS = (
@@ -29,30 +29,46 @@ METRIC_COLUMNS = (
 def pair_messages(source: DataFrame, destination: DataFrame, key: str = "message_id") -> tuple[DataFrame, DataFrame]:
     """Source events with their destination, and a one-row audit.
 
-    An id seen twice at the destination pairs nothing. Duplicates are found on counts, so the
-    join has one row per id on the destination side.
+    An id seen twice at the destination pairs nothing; :func:`duplicate_ids` lists such ids. Each side
+    is read once: arrivals are counted and digested per id, the sources are written with what they
+    met, and the audit sums up these two tables. Its fingerprints are those of
+    ``dataset_fingerprint`` of the source, the destination and the pairs.
     """
-    arrivals = destination.where(present(key)).groupBy(key).agg(
+    arrivals = cut(destination.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
         F.first("tx_hash").alias("destination_tx_hash"),
         F.first("log_index").alias("destination_log_index"),
         F.first("block_number").alias("destination_block"),
+        *digest_slices(row_text(destination.columns), "_d"),
+    ))
+    known = ["destination_tx_hash", "destination_log_index", "destination_block"]
+    single = arrivals.where(present(key) & (F.col("_n") == 1)).select(key, *known, F.lit(True).alias("_met"))
+    matched = cut(source.join(single, key, "left"))
+    met = F.coalesce(F.col("_met"), F.lit(False))
+    paired = matched.where(met).drop("_met")
+    sources = matched.agg(
+        F.count(F.lit(1)).alias("source_event_count"), F.count_if(met).alias("paired_event_count"), F.count_if(present(key) & ~met).alias("unmatched_source_count"),
+        *digest_slices(row_text(source.columns), "_s"), *digest_slices(F.when(met, row_text(paired.columns)), "_p"),
+    )
+    slices = [F.coalesce(F.sum(f"_d{i}"), F.lit(0)).cast("decimal(38,0)").alias(f"_d{i}") for i in range(SLICES)]
+    targets = arrivals.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("destination_event_count"), F.count_if(present(key) & (F.col("_n") > 1)).alias("duplicate_destination_id_count"), *slices
     )
-    single = arrivals.where("_n = 1").drop("_n")
-    paired = source.where(present(key)).join(single, key)
-    unmatched = source.where(present(key)).join(single.select(key), key, "left_anti")
-    parts = [
-        source.agg(F.count(F.lit(1)).alias("source_event_count")),
-        destination.agg(F.count(F.lit(1)).alias("destination_event_count")),
-        paired.agg(F.count(F.lit(1)).alias("paired_event_count")),
-        unmatched.agg(F.count(F.lit(1)).alias("unmatched_source_count")),
-        arrivals.where("_n > 1").agg(F.count(F.lit(1)).alias("duplicate_destination_id_count")),
-        dataset_fingerprint(paired).select(F.col("fingerprint").alias("paired_fingerprint")),
-    ]
-    audit = parts[0]
-    for part in parts[1:]:
-        audit = with_scalar(audit, part)
-    return paired, audit.withColumn("bridge_route_gate_passed", F.lit(False))
+
+    def fingerprint(count: str, prefix: str) -> Column:
+        return F.sha2(F.concat_ws(":", F.col(count).cast("string"), *[F.col(f"{prefix}{i}").cast("string") for i in range(SLICES)]), 256)
+
+    audit = with_scalar(sources, targets).select(
+        "source_event_count", "destination_event_count", "paired_event_count", "unmatched_source_count", "duplicate_destination_id_count",
+        fingerprint("source_event_count", "_s").alias("source_fingerprint"), fingerprint("destination_event_count", "_d").alias("destination_fingerprint"),
+        fingerprint("paired_event_count", "_p").alias("paired_fingerprint"), F.lit(False).alias("bridge_route_gate_passed"),
+    )
+    return paired, audit
+
+
+def duplicate_ids(destination: DataFrame, key: str = "message_id") -> DataFrame:
+    """Ids that arrive more than once, with how often."""
+    return destination.where(present(key)).groupBy(key).agg(F.count(F.lit(1)).alias("arrivals")).where("arrivals > 1")
 
 
 def route_gate(df: DataFrame, strict: bool = True) -> DataFrame:

@@ -193,6 +193,12 @@ def test_duplicate_destination_pairs_nothing(spark):
     source = spark.createDataFrame([("m1", "a", 0, 1), ("m2", "b", 0, 2), (None, "c", 0, 3)], names)
     target = spark.createDataFrame([("m1", "x", 0, 5), ("m1", "y", 0, 6), ("m2", "z", 1, 7)], names)
     paired, audit = R.pair_messages(source, target)
+    from tallyweave.sources.fingerprint import dataset_fingerprint
+
+    told = audit.first()
+    for name, table in (("source", source), ("destination", target), ("paired", paired)):
+        assert told[f"{name}_fingerprint"] == dataset_fingerprint(table).first().fingerprint
+    assert R.duplicate_ids(target).count() == told.duplicate_destination_id_count
     assert [(r.message_id, r.destination_tx_hash) for r in paired.collect()] == [("m2", "z")]
     row = audit.first()
     assert (row.unmatched_source_count, row.duplicate_destination_id_count, row.paired_event_count) == (1, 1, 1)
