@@ -11,7 +11,7 @@ from tallyweave.operators.graph import components
 from tallyweave.operators.intervals import containing
 from tallyweave.operators.ordering import global_ordinal
 from tallyweave.operators.panels import fill_zero
-from tallyweave.operators.sizing import attach, small_side
+from tallyweave.operators.sizing import attach, shuffled, small_side
 from tallyweave.session import cut
 
 # Reported metrics and assumptions, in report order
@@ -46,15 +46,17 @@ def active_counts(spans: DataFrame, constraints: DataFrame, by: list[str]) -> Da
 def present_links(units: DataFrame, spans: DataFrame, constraints: DataFrame, by: list[str]) -> DataFrame:
     """Active links with both ends in the group: ``by``, ``src``, ``dst``.
 
-    Units that no link names are left out first. The others meet the links of their own address
-    only, in the blocks of their group's span.
+    Units meet the links of their own address only, at most links x groups pairs, of which those
+    valid over the group's span remain. Both tables grow with the input and are shuffled.
     """
-    links = constraints.select(F.col("left_address").alias("address"), "right_address", "valid_from_block", "valid_to_block")
-    here = units.select(*by, "address")
-    named = attach(here.join(links.select("address").distinct(), "address", "left_semi"), small_side(spans.select(*by, "minimum_block", "maximum_block")), by)
-    found = containing(named, links, "minimum_block", "valid_from_block", "valid_to_block", ["address"]).where("valid_to_block >= maximum_block")
-    pairs = found.select(*by, F.col("address").alias("src"), F.col("right_address").alias("dst")).distinct()
-    return pairs.join(here.withColumnRenamed("address", "dst"), [*by, "dst"], "left_semi").select(*by, "src", "dst", F.lit(1).alias("weight"))
+    links = constraints.select(F.col("left_address").alias("src"), F.col("right_address").alias("dst"), "valid_from_block", "valid_to_block")
+    links = links.where("valid_from_block <= valid_to_block")
+    here = units.select(*by, F.col("address").alias("src"))
+    found = here.join(shuffled(links), "src")
+    placed = attach(found, small_side(spans.select(*by, "minimum_block", "maximum_block")), by)
+    active = placed.where("valid_from_block <= minimum_block AND valid_to_block >= maximum_block")
+    pairs = active.select(*by, "src", "dst").distinct()
+    return pairs.join(shuffled(here.withColumnRenamed("src", "dst")), [*by, "dst"], "left_semi").select(*by, "src", "dst", F.lit(1).alias("weight"))
 
 
 def component_weights(units: DataFrame, present: DataFrame, by: list[str]) -> DataFrame:
@@ -66,7 +68,7 @@ def component_weights(units: DataFrame, present: DataFrame, by: list[str]) -> Da
     if not present.limit(1).count():
         return units.select(*by, F.col("address").alias("component"), "weight")
     labels = components(present, by).withColumnRenamed("node", "address")
-    merged = units.join(labels, [*by, "address"], "left")
+    merged = units.join(shuffled(labels), [*by, "address"], "left")
     return merged.groupBy(*by, F.coalesce("component", "address").alias("component")).agg(F.sum("weight").alias("weight"))
 
 

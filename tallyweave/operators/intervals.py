@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.operators.sizing import small_side
+from tallyweave.operators.sizing import BROADCAST_ROWS, shuffled
 from tallyweave.session import pin
 
 #: Ends of intervals are moved into this range, so that no sum overflows.
@@ -46,8 +46,9 @@ def containing(points: DataFrame, intervals: DataFrame, point: str, low: str, hi
     """Every row of ``points`` with every interval [low, high] that contains its ``point``, equal in ``on``.
 
     Intervals are cut into dyadic blocks and a point names the one block of each level that holds
-    it, so the join is on equal (level, block, ``on``) and finds each pair once. The columns of the two
-    tables other than ``on`` must differ.
+    it, so the join is on equal (level, block, ``on``) and finds each pair once. The side that is counted
+    to be small is broadcast; if neither is, both are shuffled, as the blocks are many more than Spark
+    expects. The columns of the two tables other than ``on`` must differ.
     """
     on = on or []
     points, intervals = points.where(F.col(point).isNotNull()), intervals.where(F.col(low) <= F.col(high))
@@ -57,7 +58,13 @@ def containing(points: DataFrame, intervals: DataFrame, point: str, low: str, hi
     cut_up = cut_up.withColumns({"_level": F.col("_b.level"), "_block": F.col("_b.block")}).drop("_b")
     near = F.greatest(F.least(F.col(point).cast("bigint"), F.lit(FAR)), F.lit(-FAR))
     tagged = points.withColumn("_level", F.explode(levels)).withColumn("_block", _shift(near, F.col("_level")))
-    return small_side(tagged).join(cut_up, [*on, "_level", "_block"]).drop("_level", "_block")
+    if tagged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        tagged = F.broadcast(tagged)
+    elif cut_up.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        cut_up = F.broadcast(cut_up)
+    else:
+        tagged = shuffled(tagged)
+    return tagged.join(cut_up, [*on, "_level", "_block"]).drop("_level", "_block")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, right_at: str, name: str, ties: bool = True, forward: bool = False) -> DataFrame:

@@ -367,3 +367,17 @@ def test_a_cycle_with_a_long_tail_takes_few_writes(spark, monkeypatch):
     cores = G.core_numbers(spark.createDataFrame(edges, "src long, dst long, weight int"), [])
     assert {r.core: r.n for r in cores.groupBy("core").agg(F.count("*").alias("n")).collect()} == {2: 3, 1: 5000}
     assert len(writes) <= 40
+
+
+def test_many_node_values_are_not_broadcast(spark):
+    """Written node values look small on disk; beyond the broadcast limit they must be shuffled."""
+    from tallyweave.operators.sizing import BROADCAST_ROWS
+    from tallyweave.session import cut
+
+    few, many = (spark.range(n).select(F.lit(0).alias("k"), F.col("id").alias("src"), (F.col("id") + n).alias("dst"), F.lit(1).alias("weight")) for n in (50, BROADCAST_ROWS + 10))
+    for edges, wide in ((few, False), (many, True)):
+        arcs = G.Arcs(edges, ["k"])
+        state = cut(edges.select("k", F.col("src").alias("node"), F.lit(1.0).alias("x")))
+        plan = arcs.gather(state, ["x"], [F.sum("x").alias("y")])._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" not in plan) if wide else True
+        assert arcs.many is wide

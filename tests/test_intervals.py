@@ -108,3 +108,27 @@ def test_stacked_panels_equal_single_groupings(spark):
             mine = [e for e in events if (e[1] == at if keys == ["event_week"] else (e[1], e[2]) == at if len(keys) == 2 else (0 if at == "pre" else 1) <= e[1] <= (1 if at == "pre" else 2))]
             low, high = min(e[0] for e in mine), max(e[0] for e in mine)
             assert row["accepted_must_link_constraint_count"] == sum(a <= low and b >= high for *_, a, b in links)
+
+
+def test_large_interval_sides_are_not_broadcast(spark):
+    """Blocks are many more than Spark expects of a narrow table: the join must not be planned from its estimate."""
+    many = sizing.BROADCAST_ROWS + 10
+    points = spark.range(many).select(F.col("id").alias("address"), (F.col("id") % 1000).alias("at"))
+    spans = spark.range(many).select(F.col("id").alias("address"), F.lit(0).cast("long").alias("a"), F.lit(1023).cast("long").alias("b"))
+    found = I.containing(points, spans, "at", "a", "b", ["address"])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == many
+
+
+def test_links_of_many_units_are_not_broadcast(spark):
+    units = spark.range(5000).select(F.lit(1).alias("g"), F.col("id").alias("address"), F.lit(1).alias("weight"))
+    spans = spark.createDataFrame([(1, 5, 8)], "g int, minimum_block long, maximum_block long")
+    links = spark.range(4000).select(
+        F.col("id").alias("constraint_id"), F.col("id").alias("left_address"), (F.col("id") + 1).alias("right_address"),
+        (F.col("id") % 7).alias("valid_from_block"), F.when(F.col("id") % 2 == 0, 9).otherwise(F.col("id") % 10).cast("long").alias("valid_to_block"),
+    )
+    present = B.present_links(units, spans, links, ["g"])
+    plan = present._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(strategy=merge)") == 2
+    expected = {(i, i + 1) for i in range(4000) if i % 7 <= 5 and (9 if i % 2 == 0 else i % 10) >= 8}
+    assert {(row.src, row.dst) for row in present.collect()} == expected
