@@ -153,7 +153,7 @@ def bound_panels(
     """Week-by-action (dense), week (observed) and period panels of identified sets.
 
     The events are read once, into units per week, action and address. The three groupings are
-    stacked under one group key, so their links, components and metrics come from one run.
+    stacked under one numbered group key, so their links, components and metrics come from one run.
     """
     from tallyweave.operators.panels import spine
 
@@ -164,13 +164,13 @@ def bound_panels(
     cells = fine.withColumns({"_set": F.lit("cell")} | {c: none[c] for c in named[2:]})
     weeks = fine.withColumns({"_set": F.lit("week")} | {c: none[c] for c in named[1:]})
     framed = assign_periods(fine, periods.select(*named[2:])).withColumns({"_set": F.lit("period"), "event_week": none["event_week"], "action": none["action"]})
-    group = F.to_json(F.struct("_set", *named))
-    stacked = cells.unionByName(weeks).unionByName(framed).withColumn("_group", group).groupBy("_group", "_set", *named, "address").agg(
+    stacked = cells.unionByName(weeks).unionByName(framed)
+    # a number in place of the group's names, which every unit, link and label would carry
+    labels = cut(stacked.select("_set", *named).distinct().withColumn("_group", F.monotonically_increasing_id()))
+    units = attach(stacked, small_side(labels), ["_set", *named]).groupBy("_group", "address").agg(
         F.sum("weight").alias("weight"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[F.sum(name).alias(name) for name in flags]
     )
-    units = cut(stacked)
-    labels = units.select("_group", "_set", *named).distinct()
-    sets = cut(labels.join(_identified(units.drop("_set", *named), constraints, ["_group"], flags), "_group").drop("_group"))
+    sets = cut(labels.join(_identified(cut(units), constraints, ["_group"], flags), "_group").drop("_group"))
 
     def only(kind: str, *keep: str) -> DataFrame:
         return sets.where(F.col("_set") == kind).drop("_set", *[c for c in named if c not in keep])
