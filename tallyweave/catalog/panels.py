@@ -266,13 +266,13 @@ def pre_post_means(spark, folder):
     return rounded(P.pre_post(order_panel(spark, folder), ["chain"], ["active", "hhi"]))
 
 
-# engines cast doubles to eighteen decimals each in their way, which can show in the fifteenth digit of a mean
+# a double becomes the decimal that its shortest text names, rounded at eighteen places, and a sum the double nearest to it; DuckDB's casts scale in binary
 @query(
     "a20_pre_post_decimal_text",
     f"""WITH {ORDER_ACTIONS}, {WEEKLY},
 p AS (SELECT chain, count(*) FILTER (event_week < 0) AS pre_weeks, count(*) FILTER (event_week > 0) AS post_weeks,
-  CAST(sum(CAST(hhi AS DECIMAL(38, 18))) FILTER (event_week < 0) AS DOUBLE) / count(*) FILTER (event_week < 0) AS pre,
-  CAST(sum(CAST(hhi AS DECIMAL(38, 18))) FILTER (event_week > 0) AS DOUBLE) / count(*) FILTER (event_week > 0) AS post FROM wk GROUP BY ALL)
+  CAST(CAST(sum(CAST(CAST(hhi AS VARCHAR) AS DECIMAL(38, 18))) FILTER (event_week < 0) AS VARCHAR) AS DOUBLE) / count(*) FILTER (event_week < 0) AS pre,
+  CAST(CAST(sum(CAST(CAST(hhi AS VARCHAR) AS DECIMAL(38, 18))) FILTER (event_week > 0) AS VARCHAR) AS DOUBLE) / count(*) FILTER (event_week > 0) AS post FROM wk GROUP BY ALL)
 SELECT chain, pre_weeks, post_weeks, format('{{:.15g}}', pre) AS pre_mean_hhi, format('{{:.15g}}', post) AS post_mean_hhi, format('{{:.15g}}', post / pre - 1) AS relative_change FROM p""",
 )
 def pre_post_decimal_text(spark, folder):

@@ -1,4 +1,4 @@
-"""Column expressions shared by the operators. All stay inside whole-stage codegen."""
+"""Column expressions shared by the operators. All but the rounded text stay inside whole-stage codegen."""
 
 from __future__ import annotations
 
@@ -144,8 +144,10 @@ def significant_text(c: Column | str, digits: int = 15) -> Column:
 
     The text is built from mantissa and exponent, so nothing is cut and nothing overflows.
     """
+    from tallyweave.functions.stats import scientific
+
     value = col(c).cast("double")
-    written = F.format_string(f"%.{digits - 1}e", value)
+    written = scientific(value, F.lit(digits))
     sign = F.when(written.startswith("-") & (value != 0), F.lit("-")).otherwise(F.lit(""))
     figures = F.replace(F.ltrim(F.substring_index(written, "e", 1), F.lit("-")), F.lit("."), F.lit(""))
     power = F.substring_index(written, "e", -1).cast("int")

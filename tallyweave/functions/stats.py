@@ -16,6 +16,12 @@ def erfc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.erfc(v) if v == v else float("nan"))
 
 
+@F.pandas_udf(T.StringType())
+def scientific(x: pd.Series, digits: pd.Series) -> pd.Series:
+    """Mantissa and exponent of the double itself. Java rounds its shortest text once more, which is wrong where that text ends in a five."""
+    return pd.Series([f"{v:.{d - 1}e}" if math.isfinite(v) else None for v, d in zip(x, digits, strict=True)], dtype=object)
+
+
 SOLUTION = T.StructType(
     [T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))]
 )

@@ -174,3 +174,21 @@ def test_route_integers_by_type(spark, value, passes):
     schema = ", ".join(f"{c} {kind if c == 'amount_wei' else 'string'}" for c in ROUTE_COLUMNS)
     table = spark.createDataFrame([tuple(r[c] for c in ROUTE_COLUMNS) for r in gate_rows(amount_wei=value)], schema)
     assert route_gate(table).first().bridge_route_gate_passed is passes
+
+
+def test_decimal_text_of_means_equals_its_sql(spark, tmp_path):
+    """Weeks of many customers: doubles become decimals by their text on both sides, to the last digit."""
+    duckdb = pytest.importorskip("duckdb")
+    from tallyweave.catalog import load
+
+    queries, oracle = load()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE customer AS SELECT i AS c_custkey, 'S' || CAST(i % 40 AS VARCHAR) AS c_mktsegment, CAST(0 AS INTEGER) AS c_nationkey FROM range(4000) t(i)")
+    con.execute(
+        """CREATE TABLE orders AS SELECT i AS o_orderkey, CAST(hash(i) % 4000 AS BIGINT) AS o_custkey, '1-URGENT' AS o_orderpriority, CAST(1 AS DOUBLE) AS o_totalprice,
+        TIMESTAMP '1998-02-01' + to_days(CAST(hash(i + 7) % 150 AS INTEGER)) AS o_orderdate FROM range(60000) t(i)"""
+    )
+    for name in ("customer", "orders"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    found = {tuple(row) for row in queries["a20_pre_post_decimal_text"](spark, str(tmp_path)).collect()}
+    assert found == set(con.execute(oracle["a20_pre_post_decimal_text"]).fetchall())
