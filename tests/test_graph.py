@@ -381,3 +381,25 @@ def test_many_node_values_are_not_broadcast(spark):
         plan = arcs.gather(state, ["x"], [F.sum("x").alias("y")])._jdf.queryExecution().executedPlan().toString()
         assert ("BroadcastHashJoin" not in plan) if wide else True
         assert arcs.many is wide
+
+
+def test_radius_of_a_two_sided_graph_is_decided_early(spark, monkeypatch):
+    """Heavy two-sided graphs swing between plus and minus the radius; bounds on both sides end the search."""
+    rng = np.random.default_rng(4)
+    weight = rng.integers(500, 1500, (6, 40))
+    data = [(0, i, 100 + j, int(weight[i, j])) for i in range(6) for j in range(40)]
+    edges = spark.createDataFrame(data, "k int, src long, dst long, weight long")
+    radius = np.linalg.svd(weight.astype(float), compute_uv=False)[0]
+    found = []
+    rounds = G._radius_rounds(edges, ["k"], 1e-9, 40)
+    for _, low, high, settled in rounds:
+        found.append((low, high))
+        assert low <= radius * (1 + 1e-12) and high >= radius * (1 - 1e-12)
+        if settled:
+            break
+    assert len(found) < 40 and abs(found[-1][0] / radius - 1) < 1e-9
+    calls, gather = [], G.Arcs.gather
+    monkeypatch.setattr(G.Arcs, "gather", lambda self, *args, **kw: calls.append(1) or gather(self, *args, **kw))
+    with pytest.raises(ValueError):
+        G.katz_bonacich(edges, None, ["k"], 1.05 / radius)
+    assert len(calls) < 10
