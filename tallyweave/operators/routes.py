@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import uint256
 from tallyweave.functions.columns import all_present, both, exact_integer_text, integer_kind, is_nonnegative_integer_text, present
 from tallyweave.operators.contracts import ContractError, duplicate_keys, require_columns
-from tallyweave.operators.sizing import with_scalar
+from tallyweave.operators.sizing import small_side, with_scalar
 from tallyweave.session import cut
 from tallyweave.sources.fingerprint import SLICES, digest_slices, row_text
 
@@ -24,6 +24,7 @@ METRIC_COLUMNS = (
     "week", "message_id", "source_chain", "destination_chain", "route_id", "amount_wei", "local_activity_wei",
     "source_tx_hash", "destination_tx_hash", "verification_status",
 )
+TASK_KEYS = 1_000_000  # keys of route events that one task counts
 
 
 def pair_messages(source: DataFrame, destination: DataFrame, key: str = "message_id") -> tuple[DataFrame, DataFrame]:
@@ -75,7 +76,8 @@ def route_gate(df: DataFrame, strict: bool = True) -> DataFrame:
     """One-row verdict over route events; it fails closed with a reason.
 
     Repeated source keys, destination keys or message ids are refused outright when the
-    provenance is otherwise complete.
+    provenance is otherwise complete. Keys are counted by their 64-bit hash in tasks whose number
+    follows the rows; the keys of hashes that repeat are counted themselves.
     """
     require_columns(df, ROUTE_COLUMNS, "route events")
     kinds = dict(df.dtypes)
@@ -91,19 +93,23 @@ def route_gate(df: DataFrame, strict: bool = True) -> DataFrame:
         "destination_keys": ["destination_chain_id", "destination_tx_hash", "destination_log_index"],
         "message_ids": ["message_id"],
     }
-    # one scan: a row is counted as itself, under its route and under each of its keys
-    facts = [F.struct(F.lit("event").alias("kind"), F.lit("").alias("value"))]
-    facts += [F.when(F.col("route_id").isNotNull(), F.struct(F.lit("route").alias("kind"), F.col("route_id").cast("string").alias("value")))]
-    facts += [F.struct(F.lit(name).alias("kind"), F.to_json(F.struct(*columns)).alias("value")) for name, columns in keys.items()]
-    rows = df.select(F.coalesce(complete, F.lit(False)).alias("_complete"), F.explode(F.array_compact(F.array(*facts))).alias("_f"))
-    counted = rows.groupBy(F.col("_f.kind").alias("kind"), F.col("_f.value").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count_if("_complete").alias("whole"))
-    event = F.col("kind") == "event"
-    verdict = counted.agg(
-        F.coalesce(F.sum(F.when(event, F.col("n"))), F.lit(0)).alias("event_rows"),
-        F.coalesce(F.sum(F.when(event, F.col("whole"))), F.lit(0)).alias("verified_rows"),
-        F.count_if(F.col("kind") == "route").alias("verified_route_count"),
-        *[F.count_if((F.col("kind") == name) & (F.col("n") > 1)).alias(f"duplicate_{name}") for name in keys],
-    )
+    names = list(keys)
+    routes = df.groupBy(F.col("route_id").cast("string").alias("_route")).agg(F.count(F.lit(1)).alias("n"), F.count_if(complete).alias("whole"))
+    verdict = cut(routes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("event_rows"), F.coalesce(F.sum("whole"), F.lit(0)).alias("verified_rows"), F.count("_route").alias("verified_route_count")
+    ))
+    # nearly all keys differ, so they are dealt out by a hash before they are counted, to tasks of bounded size
+    tasks = max(1, -(-verdict.first().event_rows * len(names) // TASK_KEYS))
+    hashed = [F.struct(F.lit(i).alias("kind"), F.xxhash64(*keys[name]).alias("hash")) for i, name in enumerate(names)]
+    counted = df.select(F.explode(F.array(*hashed)).alias("_f")).select("_f.*").repartition(tasks, "kind", "hash").groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("n"))
+    again = cut(counted.where("n > 1").select("kind", "hash"))
+    repeats = again
+    if again.limit(1).count():
+        # hashes that repeat: their keys themselves are counted, as two keys can share a hash
+        spelled = [F.struct(F.lit(i).alias("kind"), F.xxhash64(*keys[name]).alias("hash"), F.to_json(F.struct(*keys[name])).alias("value")) for i, name in enumerate(names)]
+        found = df.select(F.explode(F.array(*spelled)).alias("_f")).select("_f.*").join(small_side(again), ["kind", "hash"], "left_semi")
+        repeats = found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    verdict = with_scalar(verdict, repeats.agg(*[F.count_if(F.col("kind") == i).alias(f"duplicate_{name}") for i, name in enumerate(names)]))
     all_verified = F.col("verified_rows") == F.col("event_rows")
     repeated = sum((F.col(f"duplicate_{name}") for name in keys), F.lit(0)) > 0
     reason = (

@@ -176,6 +176,23 @@ def test_route_gate(spark):
         R.route_gate(route_rows(spark).drop("route_id"))
 
 
+def test_route_gate_counts_keys_in_tasks_that_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_KEYS", 10)
+    dealt, original = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, n, *columns: dealt.append(n) or original(self, n, *columns))
+    assert R.route_gate(route_rows(spark, 20)).first().bridge_route_gate_passed
+    assert dealt == [6]
+
+
+def test_route_gate_counts_keys_not_hashes(spark, monkeypatch):
+    """Keys that share a hash are no repeated keys; keys that repeat are told with and without a refusal."""
+    monkeypatch.setattr(R.F, "xxhash64", lambda *columns: F.lit(7).cast("bigint"))
+    assert R.route_gate(route_rows(spark, 3)).first().bridge_route_gate_passed
+    row = R.route_gate(route_rows(spark, 3).union(route_rows(spark, 1)), strict=False).first()
+    assert (row.event_rows, row.duplicate_source_keys, row.duplicate_destination_keys, row.duplicate_message_ids) == (4, 1, 1, 1)
+    assert row.withheld_reason == "duplicate_route_keys"
+
+
 def test_route_metrics(spark):
     data = [("w", f"m{i}", "c", "d", f"r{i}", a, "100", f"s{i}", f"t{i}", "onchain_verified_paired") for i, a in enumerate(["60", "40"])]
     df = spark.createDataFrame(data, ", ".join(f"{c} string" for c in R.METRIC_COLUMNS))
