@@ -56,3 +56,14 @@ def test_a_promoted_estimate_stops_the_release(spark):
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
     assert len(QUERIES) - len(ORACLE) < 20
+
+
+def test_diff_status_reads_its_sides_once_in_no_fixed_number_of_tasks(spark, sql, monkeypatch):
+    dealt, original = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, n, *columns: dealt.append(n) or original(self, n, *columns))
+    out = QUERIES["j13_diff_status"](spark, FOLDER)
+    assert not any(isinstance(n, int) for n in dealt)
+    assert not any(path.endswith("events.parquet") for path in out.inputFiles())
+    result = sql.execute(ORACLE["j13_diff_status"])
+    names = sorted(d[0] for d in result.description)
+    assert canonical([tuple(r) for r in out.select(*names).collect()], range(len(names))) == canonical(result.fetchall(), [[d[0] for d in result.description].index(c) for c in names])
