@@ -403,3 +403,38 @@ def test_radius_of_a_two_sided_graph_is_decided_early(spark, monkeypatch):
     with pytest.raises(ValueError):
         G.katz_bonacich(edges, None, ["k"], 1.05 / radius)
     assert len(calls) < 10
+
+
+def test_rounds_do_not_shuffle_arcs(spark, monkeypatch):
+    """A laid-out graph keeps its partitioning: a round shuffles node values and messages to hubs, no arc and no message to others."""
+    from tallyweave.session import cut
+
+    monkeypatch.setattr(G, "TASK_ARCS", 50)  # more than one partition
+    data = [(0, 1000 + i % 3, i, 1 + i % 5) for i in range(120)]
+    flat = spark.createDataFrame(data, "k int, src long, dst long, weight int")
+    for arcs in (G.TwoWayArcs(G.both_ways(flat, ["k"]), ["k"], 8), G.Arcs(G.both_ways(flat, ["k"]), ["k"], 8)):
+        assert arcs.hubs.count() == 3 and not arcs.mixed and arcs.between is None and arcs.table.count() == 240
+        arcs.many = True
+        state = cut(arcs.nodes.select("k", "node", (F.col("node") * 1.0).alias("x")))
+        got = arcs.gather(state, ["x"], [F.sum(F.col("weight") * F.col("x")).alias("y")])
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        expected = {}
+        for _, a, b, w in data:
+            expected[a] = expected.get(a, 0) + w * b
+            expected[b] = expected.get(b, 0) + w * a
+        assert {r.node: r.y for r in got.collect()} == expected
+    plain = G.Arcs(G.both_ways(flat, ["k"]), ["k"])
+    assert plain.hubs is None
+    plain.many = True
+    plan = plain.gather(state, ["x"], [F.sum("x").alias("y")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_hub_graphs_have_the_same_cores(spark, monkeypatch):
+    """Weekly cores of graphs with hubs, arcs between others and isolated pairs, by both layouts."""
+    data = [(w, a, b) for w in (0, 1) for a in range(3) for b in range(3, 40) if (a + b + w) % 2] + [(w, b, b + 1) for w in (0, 1) for b in range(10, 20)] + [(1, 90, 91)]
+    events = spark.createDataFrame(data, "event_week int, actor_address int, beneficiary_address int")
+    plain = rows(G.core_persistence(events, []), "node")
+    monkeypatch.setattr(G, "FEW_ARCS", 0)
+    monkeypatch.setattr(G, "HUB_ARCS", 6)
+    assert rows(G.core_persistence(events, []), "node") == plain and len(plain) == 42
