@@ -438,3 +438,74 @@ def test_hub_graphs_have_the_same_cores(spark, monkeypatch):
     monkeypatch.setattr(G, "FEW_ARCS", 0)
     monkeypatch.setattr(G, "HUB_ARCS", 6)
     assert rows(G.core_persistence(events, []), "node") == plain and len(plain) == 42
+
+
+def _hub_graph(spark):
+    """Two graphs of three linked hubs, many nodes around them and arcs between others."""
+    rows = []
+    for g, people in (("a", 60), ("b", 90)):
+        for i in range(people):
+            rows += [(g, f"h{h}", f"n{i:03d}", float(1 + (i * (h + 3)) % 7)) for h in range(3) if (i + h) % 3 or i % 5 == 0]
+        rows += [(g, f"n{i:03d}", f"n{i + 1:03d}", 2.0) for i in range(0, people - 1, 4)]
+        rows += [(g, "h0", "h1", 3.0), (g, "h1", "h2", 1.0)]
+    return spark.createDataFrame(rows, "g string, src string, dst string, weight double").where("src <> dst")
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_array_sums_over_hubs_are_the_plain_sums(spark, monkeypatch, links):
+    """Whole arrays added up in tasks, several chunks a batch, are what the sums of each element are; nulls count as zero."""
+    flat = _hub_graph(spark)
+    flat = flat if links else flat.where("src LIKE 'h%' AND dst LIKE 'n%'")
+    arcs = G.TwoWayArcs(G.both_ways(flat, ["g"]), ["g"], cell_rows=10)
+    assert arcs.hubs.count() == 6 and arcs.mixed == links and (arcs.between is not None) == links
+    one = F.when((F.col("g") == "b"), F.crc32("node") % 97 / 8.0)
+    state = G.cut(arcs.nodes.select("g", "node", F.array(F.crc32("node") % 89 / 4.0, one).alias("c")))
+    monkeypatch.setattr(G, "CHUNK_ARCS", 5)
+    got = rows(arcs.gather_array(state, "c", 2, "m"), "g", "node")
+    want = rows(arcs.gather(state, ["c"], [F.sum(F.col("weight") * F.col("c")[i]).alias(f"m{i}") for i in range(2)]), "g", "node")
+    assert len(got) == len(want) == 156
+    for key, row in want.items():
+        assert got[key]["m"] == [row["m0"], row["m1"] or 0.0]
+
+
+def test_continuous_fits_in_blocks_match_whole_graphs(spark):
+    """Blocks of eight nodes and hubs give the fits and coreness of graphs sorted whole, ties of equal nodes included."""
+    flat = _hub_graph(spark)
+    d = CP.degrees(flat, ["g"])
+    starts = CP.cut(d.select("g", "node", F.col("degree").alias("s0"), F.col("weighted_degree").alias("s1"), F.lit(1.0).alias("s2"), (-F.col("degree")).alias("s3")))
+    whole, blocks = (CP.fit_rombach(flat, starts, ["g"], alphas=(0.5,), betas=(0.8,), **more) for more in ({}, {"cell_rows": 10, "block": 8}))
+    a, b = rows(whole[0], "g", "node"), rows(blocks[0], "g", "node")
+    assert len(a) == 156 and a.keys() == b.keys()
+    assert all(abs(a[k]["rombach_coreness"] - b[k]["rombach_coreness"]) < 1e-9 for k in a)
+    f, h = rows(whole[1], "g"), rows(blocks[1], "g")
+    assert all(f[k]["rounds"] == h[k]["rounds"] and abs(f[k]["raw_quality"] - h[k]["raw_quality"]) < 1e-12 for k in f)
+
+
+def test_template_values_of_tasks_are_those_of_columns(spark):
+    n = np.repeat([1.0, 2.0, 7.0, 160.0], 9)
+    cases = [(float(r), float(k), a, b) for k in set(n) for r in range(1, int(k) + 1) for a in CP.ALPHAS for b in CP.BETAS]
+    df = spark.createDataFrame(cases, "r double, n double, a double, b double")
+    got = df.select("*", CP.rombach_template(F.col("r"), F.col("n"), F.col("a"), F.col("b")).alias("v")).toPandas()
+    assert (CP.template_values(*(got[c].to_numpy() for c in "rnab")) == got["v"].to_numpy()).all()
+
+
+def test_queries_run_no_step_that_they_do_not_return(spark, monkeypatch):
+    """Candidates need no swaps and no PageRank, and the binary core no weekly cores."""
+    from tallyweave.catalog import load
+
+    def never(*_, **__):
+        raise AssertionError("not needed")
+
+
+    queries = load()[0]
+    monkeypatch.setattr(CP, "refine_core", never)
+    monkeypatch.setattr(CP, "pagerank", never)
+    monkeypatch.setattr(G, "pagerank", never)
+    assert queries["g13_candidate_scores"](spark, "/root/testdata/sf0.001").count() == 6
+    small = spark.createDataFrame([(i % 2, i % 7, 10 + i % 5, 0) for i in range(60)], "chain_id int, actor_address int, beneficiary_address int, event_week int")
+    coreness = spark.createDataFrame([(0, 0, 1.0)], "chain_id int, node int, rombach_coreness double")
+    monkeypatch.setattr(CP, "core_persistence", never)
+    monkeypatch.setattr(CP, "pagerank", lambda edges, by: G.nodes_of(edges, by).select(*by, "node", F.col("in_strength").cast("double").alias("pagerank")))
+    monkeypatch.setattr(CP, "fit_rombach", lambda *_, **__: (coreness, coreness))
+    monkeypatch.setattr(CP, "fit_borgatti_everett", lambda *_, **__: (coreness, coreness.limit(1), coreness))
+    assert CP.binary_summary(small, ["chain_id"]).count() == 1
