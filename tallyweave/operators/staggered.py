@@ -200,27 +200,28 @@ def twfe_event_study(
         F.col(unit).alias("unit"), F.col(period).cast("bigint").alias("p"), F.col(outcome).cast("double").alias("y"),
         F.when(hit & (F.col(event_time) != reference), F.col(event_time)).cast("bigint").alias("e"),
     )
-    data = cut(data)
-    # one pass over the rows: per unit and regressor the count and sum of outcomes (kind 0 period, 1 event time)
+    # rows meet their unit once: later sums by unit find it whole in a task and shuffle one row of it
+    cells = cut(data.repartition("unit").groupBy("unit", "p", "e").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("s")))
     touched = F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("kind"), F.col("p").alias("at")), F.when(F.col("e").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("e").alias("at"))))))
-    cells = data.select("unit", "y", touched.alias("x")).groupBy("unit", "x").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("s"))
-    cells = cut(cells)
-    of_period = F.col("x.kind") == 0
     units = cells.groupBy("unit").agg(
-        F.sum(F.when(of_period, F.col("c"))).cast("double").alias("n"), F.sum(F.when(of_period, F.col("s"))).alias("total"), F.sort_array(F.collect_list(F.struct("x", "c"))).alias("pattern")
+        F.sum("c").cast("double").alias("n"), F.sum("s").alias("total"), F.sort_array(F.collect_list(F.struct("p", "e", "c"))).alias("pattern")
     )  # a unit's pattern is as long as the calendar at most
-    units = cut(units)
-    patterns = units.groupBy("pattern", "n").agg(F.count(F.lit(1)).alias("units"))
-    left = patterns.select("n", "units", "pattern", F.explode("pattern").alias("a")).select("n", "units", "a", F.explode("pattern").alias("b"))
+    units = units.groupBy("pattern", "n").agg(F.count(F.lit(1)).alias("units"), F.sum(F.col("total") / F.col("n")).alias("means"))
+    patterns = cut(units.withColumn("id", F.monotonically_increasing_id()))
+    counts = patterns.select("id", "n", "units", "means", F.explode("pattern").alias("_r")).select("id", "n", "units", "means", "_r.*")
+    counts = cut(counts.select("id", "n", "units", "means", "c", touched.alias("x")).groupBy("id", "n", "units", "means", "x").agg(F.sum("c").alias("c")))
+    lists = counts.groupBy("id", "n", "units").agg(F.collect_list(F.struct("x", "c")).alias("pattern"))
+    left = lists.select("n", "units", "pattern", F.explode("pattern").alias("a")).select("n", "units", "a", F.explode("pattern").alias("b"))
     outer = left.groupBy(F.col("a.x").alias("a"), F.col("b.x").alias("b")).agg((-F.sum(F.col("units") * F.col("a.c") * F.col("b.c") / F.col("n"))).alias("v"))
-    direct = cells.groupBy(F.col("x").alias("a")).agg(F.sum("c").cast("double").alias("v")).select("a", F.col("a").alias("b"), "v")
+    direct = counts.groupBy(F.col("x").alias("a")).agg(F.sum(F.col("units") * F.col("c")).cast("double").alias("v")).select("a", F.col("a").alias("b"), "v")
     period_of, event_of = F.struct(F.lit(0).alias("kind"), F.col("p").alias("at")), F.struct(F.lit(1).alias("kind"), F.col("e").alias("at"))
-    crossed = data.where("e IS NOT NULL").groupBy("p", "e").agg(F.count(F.lit(1)).cast("double").alias("v"))
+    crossed = cells.where("e IS NOT NULL").groupBy("p", "e").agg(F.sum("c").cast("double").alias("v"))
     crossed = crossed.select(period_of.alias("a"), event_of.alias("b"), "v").unionByName(crossed.select(event_of.alias("a"), period_of.alias("b"), "v"))
     system = outer.unionByName(direct).unionByName(crossed).groupBy("a", "b").agg(F.sum("v").alias("v")).collect()  # calendar squared
-    means = cells.join(units.select("unit", "n", "total"), "unit")
-    right = means.groupBy("x").agg(F.sum(F.col("s") - F.col("c") * F.col("total") / F.col("n")).alias("v")).collect()
-    clusters = units.count()
+    moments_of = cells.groupBy("p", "e").agg(F.sum("s").alias("s")).select("s", touched.alias("x")).select("x", F.col("s").alias("v"))
+    moments_of = moments_of.unionByName(counts.select("x", (-F.col("means") * F.col("c")).alias("v")))
+    right = moments_of.groupBy("x").agg(F.sum("v").alias("v")).collect()
+    clusters, n = (int(x or 0) for x in patterns.agg(F.sum("units"), F.sum(F.col("units") * F.col("n"))).first())
     places = sorted({(r.x.kind, r.x.at) for r in right})
     number = {at: i for i, at in enumerate(places)}
     matrix, moments = np.zeros((len(places), len(places))), np.zeros(len(places))
@@ -240,15 +241,15 @@ def twfe_event_study(
     values = [(int(k), int(at), float(v), [float(x) for x in rows_of[:, i]]) for i, ((k, at), v) in enumerate(zip(places, [*gamma, *beta], strict=True))]
     known = spark.createDataFrame(values, "kind int, at bigint, v double, w array<double>")
     by_period, by_event = (F.broadcast(known.where(F.col("kind") == k).select(F.col("at").alias(name), F.col("v").alias(f"v_{name}"), F.col("w").alias(f"w_{name}"))) for k, name in ((0, "p"), (1, "e")))
-    fitted = data.join(by_period, "p").join(by_event, "e", "left")
-    raw = fitted.withColumn("u", F.col("y") - F.col("v_p") - F.coalesce("v_e", F.lit(0.0)))
-    own = raw.groupBy("unit").agg(F.avg("u").alias("m"))
-    none = F.array(*[F.lit(0.0)] * len(times))
-    weight = F.zip_with("w_p", F.coalesce("w_e", none), lambda a, b: a + b)
-    scored = raw.join(own, "unit").select("unit", F.posexplode(weight).alias("i", "w"), (F.col("u") - F.col("m")).alias("u"))
-    spread = scored.groupBy("unit", "i").agg(F.sum(F.col("w") * F.col("u")).alias("h")).groupBy("i").agg(F.sum(F.col("h") * F.col("h")).alias("v"))
+    fitted = cells.join(by_period, "p").join(by_event, "e", "left")
+    raw = fitted.withColumn("u", F.col("s") - F.col("c") * (F.col("v_p") + F.coalesce("v_e", F.lit(0.0))))
+    # a unit's score less its mean residual, as sums of the unit: one row a unit holds all estimates
+    weights = [f"(w_p[{i}] + coalesce(w_e[{i}], 0D))" for i in range(len(times))]
+    scored = raw.groupBy("unit").agg(
+        (F.sum("u") / F.sum("c")).alias("m"), *[F.expr(f"cast(array({', '.join(f'sum({w} * {x})' for w in weights)}) AS array<double>)").alias(f"_{x}") for x in ("u", "c")]
+    )
+    spread = scored.select(F.posexplode(F.zip_with("_u", "_c", lambda u, c: u - F.col("m") * c)).alias("i", "h")).groupBy("i").agg(F.sum(F.col("h") * F.col("h")).alias("v"))
     variance = {r.i: r.v for r in spread.collect()}
-    n = data.count()
     params = len(times) + n_periods
     small = clusters / (clusters - 1) * (n - 1) / (n - params)
     out = [(int(t), float(beta[i]), float(max(variance.get(i, 0.0) * small, 0.0) ** 0.5), int(n), int(clusters)) for i, t in enumerate(times)]

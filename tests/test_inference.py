@@ -213,3 +213,31 @@ def test_an_absent_chain_breaks_the_common_panel(spark):
     for table, expected in ((whole, [("a",), ("c",)]), (panel, None)):
         with pytest.raises(ValueError, match="lacks one row per week"):
             common_panel(table, weeks, ["chain"], "active", -2, 2, expected=expected)
+
+
+def test_repeated_rows_reach_a_unit_once(spark, monkeypatch):
+    """Rows of a unit, period and event time are added up before anything else; estimates and errors are those of all rows."""
+    from tallyweave.operators import staggered
+
+    rng = np.random.default_rng(3)
+    data = []
+    for u in range(24):
+        first = (0, 3, 4)[u % 3]
+        data += [(u, p, p - first if first else None, int(first > 0), float(rng.normal() + u)) for p in range(6) for _ in range(1 + (u + p) % 3) if (u + p) % 7]
+    df = spark.createDataFrame(data, "u int, p int, e int, d int, y double")
+    written, cut = [], staggered.cut
+    monkeypatch.setattr(staggered, "cut", lambda x: written.append(cut(x)) or written[-1])
+    got = {r.event_time: r for r in staggered.twfe_event_study(df, "u", "p", "e", "d", "y").collect()}
+    assert written[0].count() == len({r[:2] for r in data}) < len(data)
+    units, periods, times = sorted({r[0] for r in data}), sorted({r[1] for r in data})[1:], sorted({r[2] for r in data if r[2] not in (None, -1)})
+    x = np.array([[u == r[0] for u in units] + [p == r[1] for p in periods] + [t == r[2] for t in times] for r in data], float)
+    y = np.array([r[4] for r in data])
+    inverse = np.linalg.pinv(x.T @ x)
+    beta = np.linalg.pinv(x) @ y
+    assert np.linalg.matrix_rank(x) == x.shape[1]
+    assert [got[t].estimate for t in times] == pytest.approx(beta[-len(times) :], abs=1e-8)
+    scores = np.array([x[[r[0] == u for r in data]].T @ (y - x @ beta)[[r[0] == u for r in data]] for u in units])
+    variance = np.diag(inverse @ scores.T @ scores @ inverse)[-len(times) :]
+    params = len(times) + len(periods) + 1
+    scale = len(units) / (len(units) - 1) * (len(data) - 1) / (len(data) - params)
+    assert [got[t].cluster_se for t in times] == pytest.approx(np.sqrt(variance * scale), abs=1e-8)
