@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import uint256
 from tallyweave.functions.columns import all_present, both, exact_integer_text, integer_kind, is_nonnegative_integer_text, present
 from tallyweave.operators.contracts import ContractError, duplicate_keys, require_columns
-from tallyweave.operators.sizing import small_side, with_scalar
+from tallyweave.operators.sizing import attach, small_side, with_scalar
 from tallyweave.session import cut
 from tallyweave.sources.fingerprint import SLICES, digest_slices, row_text
 
@@ -24,6 +24,7 @@ METRIC_COLUMNS = (
     "week", "message_id", "source_chain", "destination_chain", "route_id", "amount_wei", "local_activity_wei",
     "source_tx_hash", "destination_tx_hash", "verification_status",
 )
+LEAD = 38  # leading digits of local activity that a decimal holds
 TASK_KEYS = 1_000_000  # keys of route events that one task counts
 
 
@@ -144,7 +145,10 @@ def route_metrics(messages: DataFrame, by: list[str] = ["week"], strict: bool =
     require_columns(messages, [c for c in METRIC_COLUMNS if c != "week"] + by, "route messages")
     rows = messages
     if strict:
-        if duplicate_keys(messages, ["message_id"]).limit(1).count():
+        # ids are counted by their hash; only ids of hashes that repeat are counted themselves
+        hashed = messages.select(F.xxhash64("message_id").alias("_hash"), "message_id")
+        again = cut(duplicate_keys(hashed, ["_hash"]).select("_hash"))
+        if again.limit(1).count() and duplicate_keys(hashed.join(small_side(again), "_hash", "left_semi"), ["message_id"]).limit(1).count():
             raise ContractError("repeated message_id")
         good = (
             (F.col("verification_status") == "onchain_verified_paired")
@@ -155,18 +159,28 @@ def route_metrics(messages: DataFrame, by: list[str] = ["week"], strict: bool =
         rows = messages.withColumn("amount_wei", F.when(F.coalesce(good, F.lit(False)), F.col("amount_wei")).otherwise(bad))
     local = F.regexp_replace("local_activity_wei", "^0+(?=.)", "")
     wide = F.raise_error(F.concat(F.lit("local activity beyond 256 bits: "), local))
-    digits = F.when(F.length(local) > 78, wide).otherwise(F.lpad(local, 78, "0"))
-    cells = rows.groupBy(*by, "route_id", "source_chain").agg(
-        F.count(F.lit(1)).alias("_n"), F.max(digits).alias("_local"), *uint256.sum_parts("amount_wei", "_p")
-    )
+    digits = F.when(F.length(local) > 78, wide).otherwise(local)
+    # a text can't be the maximum of a hash aggregate, so rows would be sorted: numbers go by length and leading digits
+    rows = rows.withColumns({"_digits": digits, "_length": F.length(digits), "_lead": F.substring(digits, 1, LEAD).cast(f"decimal({LEAD},0)")})
+    cells = cut(rows.groupBy(*by, "route_id", "source_chain", "_length").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_lead").alias("_lead"), *uint256.sum_parts("amount_wei", "_p")
+    ))
+    longest = cells.groupBy(*by).agg(F.max(F.when(F.col("_length").isNotNull(), F.struct("_length", "_lead"))).alias("_top"))
+    if cells.where(F.col("_length") > LEAD).limit(1).count():
+        text = rows.where(F.col("_length") > LEAD).groupBy(*by).agg(F.max(F.lpad("_digits", 78, "0")).alias("_long"))
+        longest = attach(longest, text, by, "left")
+    else:
+        longest = longest.withColumn("_long", F.lit(None).cast("string"))
+    longest = longest.select(*by, F.coalesce("_long", F.col("_top._lead").cast("string")).alias("_local"))
 
     def flows(key: str) -> DataFrame:
         part = cells.groupBy(*by, key).agg(*uint256.merge_parts("_p"))
         return part.select(*by, key, uint256.parts_double("_p").alias("_f"))
 
     week = cells.groupBy(*by).agg(
-        F.sum("_n").cast("bigint").alias("paired_message_count"), F.max("_local").alias("_local"), *uint256.merge_parts("_p")
+        F.sum("_n").cast("bigint").alias("paired_message_count"), *uint256.merge_parts("_p")
     ).withColumns({"_cross": uint256.parts_double("_p"), "cross_chain_flow_wei": uint256.render_sum("_p")}).drop(*uint256.part_names("_p"))
+    week = attach(week, longest, by)
     f = F.col("_f")
     routes = flows("route_id").groupBy(*by).agg(
         F.count(F.lit(1)).alias("verified_route_count"),

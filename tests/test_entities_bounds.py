@@ -219,3 +219,18 @@ def test_duplicate_destination_pairs_nothing(spark):
     assert [(r.message_id, r.destination_tx_hash) for r in paired.collect()] == [("m2", "z")]
     row = audit.first()
     assert (row.unmatched_source_count, row.duplicate_destination_id_count, row.paired_event_count) == (1, 1, 1)
+
+
+def test_local_activity_of_any_length_needs_no_sorted_rows(spark, monkeypatch):
+    """The largest of short, zero-padded and 78-digit texts, and an id that repeats, without an aggregate over sorted rows."""
+    wide, less = "9" * 38 + "7" * 40, "9" * 38 + "6" * 40
+    values = {"a": ["5", "0012", "9"], "b": [less, wide, "8" * 77], "c": ["0", "00", "0"], "d": ["9" * 38, "1" + "0" * 37, "0" * 50 + "3"]}
+    data = [(w, f"{w}{i}", "1", "2", f"r{i % 2}", "7", v, "s", "d", "onchain_verified_paired") for w, texts in values.items() for i, v in enumerate(texts)]
+    df = spark.createDataFrame(data, ", ".join(f"{c} string" for c in R.METRIC_COLUMNS))
+    plans, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or cut(x))
+    got = {r.week: r.local_activity_wei for r in R.route_metrics(df).collect()}
+    assert got == {"a": "12", "b": wide, "c": "0", "d": "9" * 38}
+    assert len(plans) == 2 and not any("SortAggregate" in p for p in plans)
+    with pytest.raises(Q.ContractError, match="repeated message_id"):
+        R.route_metrics(df.unionByName(df.limit(1)))
