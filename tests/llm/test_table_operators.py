@@ -108,6 +108,37 @@ def test_a_long_conversation_is_rendered_whole(spark):
     assert late["rewrites"] == [560] and not any(s["loss"] for s in late["spans"])
 
 
+def test_chats_are_shuffled_once_and_read_back_whole(spark):
+    """Digests are taken where the conversation was rendered; long texts and more text than a batch holds included."""
+    odd = "\\l \\\\ [INST] ü <s> 漢字 😀 \\"
+    rows = [(c, i, ("user", "assistant", "tool [x]")[i % 3], odd * (1 + 700 * (c % 2) * (i % 2))) for c in range(300) for i in range(4)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat_format.digests(chat_format.format_chats(table))
+    own = chat_format.format_chats(table)
+    shuffles = [x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for x in (own, got)]
+    assert shuffles == [1, 1]
+    held = {r["conv_id"]: r for r in got.collect()}
+    assert len(held) == 300 and sum(r["formatted_chars"] for r in held.values()) > 3 * chat_format.BATCH_CHARS
+    for conv in range(300):
+        mine = [(r, t) for c, _, r, t in rows if c == conv]
+        whole, loss = "".join(f"{r}\n{t}\n" for r, t in mine), "".join(t for r, t in mine if r == "assistant")
+        row = held[conv]
+        assert row["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and row["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert (row["n_turns"], row["loss_chars"], row["formatted_chars"], row["n_rewrites"]) == (4, len(loss), len(chat_format.marked(mine)), 0)
+
+
+def test_prefixes_share_their_escaped_turns(monkeypatch):
+    turns = [("user" if i % 2 else "assistant", f"[{i}] \\ <ü>") for i in range(300)] + [("tool", "long [" * chat_format.KEPT_CHARS)]
+    plain = "".join(chat_format.escape(t) for _, t in turns)
+    assert plain == "".join(t.translate(str.maketrans(chat_format.ESCAPES)) for _, t in turns)
+    calls, escape = [], chat_format.escape
+    monkeypatch.setattr(chat_format, "escape", lambda text: calls.append(1) or escape(text))
+    found = chat_format.locate(chat_format.marked, turns)
+    assert len(calls) <= 2 * len(turns)
+    assert chat_format.read_marked(found.text) == turns and not found.rewrites
+    assert [chat_format.unescape(found.text[slice(*c)]) for c in found.contents] == [t for _, t in turns]
+
+
 # ---- sharding
 
 
